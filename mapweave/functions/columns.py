@@ -19,6 +19,14 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct(*df.columns)).scalar()
 
 
+def record(**columns: Column) -> Column:
+    """A struct with these field names."""
+    parts = []
+    for name, value in columns.items():
+        parts += [F.lit(name), value]
+    return F.named_struct(*parts)
+
+
 def clamp(value: Column, low, high) -> Column:
     return F.least(F.greatest(value, low), high)
 
@@ -33,13 +41,13 @@ def norm(x: Column, y: Column) -> Column:
 
 def rgba(values: Sequence[float]) -> Column:
     """A colour constant."""
-    return F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("rgba", values)])
+    return record(**{k: F.lit(float(v)) for k, v in zip("rgba", values)})
 
 
 def lerp_colour(first: Column, second: Column, t: Column) -> Column:
     """Mix two colours; ``t`` is clamped to 0..1."""
     u = clamp(t, F.lit(0.0), F.lit(1.0))
-    return F.struct(*[(first[k] * (F.lit(1.0) - u) + second[k] * u).alias(k) for k in "rgba"])
+    return record(**{k: first[k] * (F.lit(1.0) - u) + second[k] * u for k in "rgba"})
 
 
 def lookup(key: Column, table: Mapping[str, object], default: Column, make=F.lit) -> Column:

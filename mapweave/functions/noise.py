@@ -17,6 +17,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import record
+
 _SKEW = 0.5 * (3.0**0.5 - 1.0)
 _UNSKEW = (3.0 - 3.0**0.5) / 6.0
 _SCALE = 70.0
@@ -77,7 +79,7 @@ def with_noise(df: DataFrame, name: str, x: Column, y: Column, seed: int) -> Dat
     falloff = [
         f"greatest(5e-1 - {at}_x{k} * {at}_x{k} - {at}_y{k} * {at}_y{k}, 0D) as {at}_f{k}" for k in range(3)
     ]
-    df = df.select("*", _bind(F.struct(x.alias("x"), y.alias("y"))).alias(at))
+    df = df.select("*", _bind(record(x=x, y=y)).alias(at))
     for stage in (cell, inside, half, corners, falloff):
         df = df.selectExpr("*", *stage)
     total = " + ".join(corner(k) for k in range(3))

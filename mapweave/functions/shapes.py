@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import clamp, norm
+from .columns import clamp, norm, record
 
 SHAPE_TYPE = "array<struct<x:double,y:double>>"
 
 
 def point(x, y) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"))
+    return record(x=x, y=y)
 
 
 def _tail(shape: Column) -> Column:
@@ -31,13 +31,13 @@ def _front(shape: Column) -> Column:
 
 def segments(shape: Column) -> Column:
     """Open polyline -> array<struct<p,q>> of its consecutive pairs."""
-    return F.zip_with(_front(shape), _tail(shape), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return F.zip_with(_front(shape), _tail(shape), lambda p, q: record(p=p, q=q))
 
 
 def ring_segments(shape: Column) -> Column:
     """Ring -> array<struct<p,q>>, the last point joined to the first."""
     following = F.concat(_tail(shape), F.slice(shape, F.lit(1), F.lit(1)))
-    return F.zip_with(shape, following, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return F.zip_with(shape, following, lambda p, q: record(p=p, q=q))
 
 
 def ring_sides(shape: Column) -> Column:
@@ -78,16 +78,15 @@ def vertex_mean(shape: Column) -> Column:
 
 def centroid(shape: Column) -> Column:
     """Area-weighted centre; mean for one or two points or no area; the origin for none."""
-    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    start = record(a=F.lit(0.0), x=F.lit(0.0), y=F.lit(0.0))
 
     def add(total, s):
         p, q = s["p"], s["q"]
         cross = p["x"] * q["y"] - q["x"] * p["y"]
-        return F.struct(
-            (total["a"] + cross).alias("a"),
-            (total["x"] + (p["x"] + q["x"]) * cross).alias("x"),
-            (total["y"] + (p["y"] + q["y"]) * cross).alias("y"),
-        )
+        return record(
+            a=total["a"] + cross,
+            x=total["x"] + (p["x"] + q["x"]) * cross,
+            y=total["y"] + (p["y"] + q["y"]) * cross)
 
     sums = F.aggregate(ring_segments(shape), start, add)
     area = sums["a"] / F.lit(2.0)
@@ -134,12 +133,11 @@ def principal_axis(shape: Column) -> Column:
     vertex mean, and the extents along and across that direction."""
     sides = F.transform(
         ring_segments(shape),
-        lambda s, i: F.struct(
-            norm(s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]).alias("len"),
-            (-i).alias("rank"),
-            (s["q"]["x"] - s["p"]["x"]).alias("dx"),
-            (s["q"]["y"] - s["p"]["y"]).alias("dy"),
-        ),
+        lambda s, i: record(
+            len=norm(s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]),
+            rank=-i,
+            dx=s["q"]["x"] - s["p"]["x"],
+            dy=s["q"]["y"] - s["p"]["y"]),
     )
 
     def measured(axis_and_mean):
@@ -149,49 +147,14 @@ def principal_axis(shape: Column) -> Column:
         ay = F.coalesce(longest["dy"] / size, F.lit(0.0))
         along = F.transform(shape, lambda p: (p["x"] - mean["x"]) * ax + (p["y"] - mean["y"]) * ay)
         across = F.transform(shape, lambda p: (p["y"] - mean["y"]) * ax - (p["x"] - mean["x"]) * ay)
-        return F.struct(
-            ax.alias("ax"),
-            ay.alias("ay"),
-            mean["x"].alias("cx"),
-            mean["y"].alias("cy"),
-            (F.array_max(along) - F.array_min(along)).alias("length"),
-            (F.array_max(across) - F.array_min(across)).alias("width"),
-        )
+        return record(
+            ax=ax,
+            ay=ay,
+            cx=mean["x"],
+            cy=mean["y"],
+            length=F.array_max(along) - F.array_min(along),
+            width=F.array_max(across) - F.array_min(across))
 
     # A one-element array binds the longest side and the mean once per row.
-    bound = F.array(F.struct(F.array_max(sides).alias("longest"), vertex_mean(shape).alias("mean")))
+    bound = F.array(record(longest=F.array_max(sides), mean=vertex_mean(shape)))
     return F.get(F.transform(bound, measured), F.lit(0))
-
-
-def tangents(shape: Column) -> Column:
-    """Unit direction at every point of a polyline, array<struct<x,y,tx,ty>>.
-
-    Ends use their one segment, inner points the sum of the two unit directions;
-    a direction shorter than 1e-4 becomes (1, 0)."""
-    size = F.size(shape)
-
-    def unit(dx, dy):
-        n = norm(dx, dy)
-        ok = F.when(n > F.lit(0.0), n)
-        return point(F.coalesce(dx / ok, F.lit(0.0)), F.coalesce(dy / ok, F.lit(0.0)))
-
-    def direction(p, i):
-        before, after = F.get(shape, i - 1), F.get(shape, i + 1)
-        incoming = point(p["x"] - before["x"], p["y"] - before["y"])
-        outgoing = point(after["x"] - p["x"], after["y"] - p["y"])
-        first, second = unit(incoming["x"], incoming["y"]), unit(outgoing["x"], outgoing["y"])
-        raw = (
-            F.when(i == 0, outgoing)
-            .when(i == size - 1, incoming)
-            .otherwise(point(first["x"] + second["x"], first["y"] + second["y"]))
-        )
-        n = norm(raw["x"], raw["y"])
-        ok = F.when(n >= F.lit(1e-4), n)
-        return F.struct(
-            p["x"].alias("x"),
-            p["y"].alias("y"),
-            F.coalesce(raw["x"] / ok, F.lit(1.0)).alias("tx"),
-            F.coalesce(raw["y"] / ok, F.lit(0.0)).alias("ty"),
-        )
-
-    return F.transform(shape, direction)

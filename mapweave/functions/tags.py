@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import lookup, rgba
+from .columns import lookup, record, rgba
 from .fixed_values import NAMED_COLOURS
 
 _INTEGER = r"^\s*([+-]?[0-9]+)"
@@ -66,7 +66,7 @@ def hex_colour(text: Column) -> Column:
     part = lambda at: F.conv(F.substring(full, at, 2), 16, 10).cast("double") / F.lit(255.0)
     return F.when(
         full.rlike("^[0-9A-Fa-f]{6}$"),
-        F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b"), F.lit(1.0).alias("a")),
+        record(r=part(1), g=part(3), b=part(5), a=F.lit(1.0)),
     )
 
 

@@ -10,72 +10,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, shapes, tags
-from ..functions.columns import norm
+from ..functions.columns import norm, record
 from ..functions.fixed_values import ROAD_LIFT, ROOF_PITCH
+from . import lines
 
 CORNERS = [f"{axis}{i}" for i in range(4) for axis in "xyz"]
 FACE_COLUMNS = ["osm_id", "part", "face", *CORNERS, "nx", "ny", "nz", "color"]
 
 
-def _corner(x: Column, height: Column, y: Column) -> Column:
-    """A local point lifted into space."""
-    return F.struct(x.alias("x"), height.alias("y"), (-y).alias("z"))
+def _corner(i: int, x: Column, height: Column, y: Column) -> list[Column]:
+    """Columns of corner ``i``: a local point lifted into space."""
+    return [x.alias(f"x{i}"), height.alias(f"y{i}"), (-y).alias(f"z{i}")]
 
 
-def _face_row(corners: list[Column], normal: Column) -> list[Column]:
-    """Corner and normal columns of one face."""
-    out = []
-    for i in range(4):
-        for axis in "xyz":
-            value = corners[i][axis] if i < len(corners) else F.lit(None).cast("double")
-            out.append(value.alias(f"{axis}{i}"))
-    return out + [normal[axis].alias(f"n{axis}") for axis in "xyz"]
+def _no_corner(i: int) -> list[Column]:
+    return [F.lit(None).cast("double").alias(f"{axis}{i}") for axis in "xyz"]
 
 
-def _wall_normal(p: Column, q: Column) -> Column:
-    """Horizontal unit normal, to the right of the wall as seen from above; NULL for a wall of no length."""
-    ex, ez = q["x"] - p["x"], -(q["y"] - p["y"])
-    n = norm(ex, ez)
-    ok = F.when(n > F.lit(0.0), n)
-    return F.struct((ez / ok).alias("x"), F.when(ok.isNotNull(), F.lit(0.0)).alias("y"), (-ex / ok).alias("z"))
+def _with_upward_normal(rows: DataFrame, third: str) -> DataFrame:
+    """Add ``nx, ny, nz``, the upward unit normal of corner 0, corner 1 and the point ``third``.
 
-
-def _upward_normal(a: Column, b: Column, c: Column) -> Column:
-    """Unit normal of the plane of three corners, pointing up; NULL when they are in line."""
-    u = {k: b[k] - a[k] for k in "xyz"}
-    v = {k: c[k] - a[k] for k in "xyz"}
-    cross = {
-        "x": u["y"] * v["z"] - v["y"] * u["z"],
-        "y": u["z"] * v["x"] - v["z"] * u["x"],
-        "z": u["x"] * v["y"] - v["x"] * u["y"],
-    }
-    length = F.sqrt(cross["x"] * cross["x"] + cross["y"] * cross["y"] + cross["z"] * cross["z"])
-    up = F.when(cross["y"] < F.lit(0.0), F.lit(-1.0)).otherwise(F.lit(1.0))
-    scale = up / F.when(length > F.lit(0.0), length)
-    return F.struct(*[(cross[k] * scale).alias(k) for k in "xyz"])
+    NULL when the three are in line.  Written in steps, so that each value is computed once."""
+    u = {k: F.col(f"{k}1") - F.col(f"{k}0") for k in "xyz"}
+    v = {k: F.col(f"{k}{third}") - F.col(f"{k}0") for k in "xyz"}
+    crossed = rows.select(
+        "*",
+        (u["y"] * v["z"] - v["y"] * u["z"]).alias("kx"),
+        (u["z"] * v["x"] - v["z"] * u["x"]).alias("ky"),
+        (u["x"] * v["y"] - v["x"] * u["y"]).alias("kz"),
+    )
+    length = F.sqrt(F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky") + F.col("kz") * F.col("kz"))
+    up = F.when(F.col("ky") < F.lit(0.0), F.lit(-1.0)).otherwise(F.lit(1.0))
+    scaled = crossed.select("*", (up / F.nullif(length, F.lit(0.0))).alias("scale"))
+    return scaled.select("*", *[(F.col(f"k{k}") * F.col("scale")).alias(f"n{k}") for k in "xyz"])
 
 
-def _sides(buildings: DataFrame, *extra: Column) -> DataFrame:
-    """One row per side of every footprint: osm_id, height, face, p, q and the extra columns."""
+def _sides(buildings: DataFrame, **extra: Column) -> DataFrame:
+    """One row per side of every footprint: osm_id, height, face, px, py, qx, qy and the extra columns."""
     return (
         buildings.where(F.size("footprint") >= 3)
+        .select("osm_id", "height", "footprint", *[v.alias(k) for k, v in extra.items()])
         .select("osm_id", "height", *extra, F.posexplode(shapes.ring_sides(F.col("footprint"))).alias("face", "side"))
-        .select("*", F.col("side.p").alias("p"), F.col("side.q").alias("q"))
-        .drop("side")
+        .select(
+            "osm_id", "height", *extra, "face", F.col("side.p.x").alias("px"), F.col("side.p.y").alias("py"),
+            F.col("side.q.x").alias("qx"), F.col("side.q.y").alias("qy"),
+        )
     )
 
 
 def wall_faces(buildings: DataFrame) -> DataFrame:
-    """One upright quad per side of a footprint."""
+    """One upright quad per side of a footprint; its normal is NULL when the side has no length."""
     colour = tags.parse_colour(F.col("building_color"), classify.wall_colour(F.col("type")))
-    rows = _sides(buildings, colour.alias("color"))
-    p, q, h, floor = F.col("p"), F.col("q"), F.col("height"), F.lit(0.0)
-    corners = [
-        _corner(p["x"], floor, p["y"]), _corner(q["x"], floor, q["y"]),
-        _corner(q["x"], h, q["y"]), _corner(p["x"], h, p["y"]),
-    ]
+    rows = _sides(buildings, color=colour)
+    ex, ez = F.col("qx") - F.col("px"), -(F.col("qy") - F.col("py"))
+    rows = rows.select("*", ex.alias("ex"), ez.alias("ez")).select(
+        "*", F.nullif(norm(F.col("ex"), F.col("ez")), F.lit(0.0)).alias("length")
+    )
+    floor, top = F.lit(0.0), F.col("height")
     return rows.select(
-        "osm_id", F.lit("wall").alias("part"), "face", *_face_row(corners, _wall_normal(p, q)), "color"
+        "osm_id", F.lit("wall").alias("part"), "face",
+        *_corner(0, F.col("px"), floor, F.col("py")), *_corner(1, F.col("qx"), floor, F.col("qy")),
+        *_corner(2, F.col("qx"), top, F.col("qy")), *_corner(3, F.col("px"), top, F.col("py")),
+        (F.col("ez") / F.col("length")).alias("nx"),
+        F.when(F.col("length").isNotNull(), F.lit(0.0)).alias("ny"),
+        (-F.col("ex") / F.col("length")).alias("nz"),
+        "color",
     )
 
 
@@ -87,37 +86,47 @@ def gabled_roof_faces(buildings: DataFrame) -> DataFrame:
     """One quad per side up to a ridge along the longest side."""
     rows = _sides(
         buildings.where(F.col("roof_type") == "Gabled"),
-        _roof_colour().alias("color"),
-        shapes.principal_axis(F.col("footprint")).alias("axis"),
-    )
-    a, p, q, h = F.col("axis"), F.col("p"), F.col("q"), F.col("height")
-    half, top = a["length"] * F.lit(0.5), h + a["width"] * F.lit(0.5) * F.lit(ROOF_PITCH)
-    start = _corner(a["cx"] - a["ax"] * half, top, a["cy"] - a["ay"] * half)
-    end = _corner(a["cx"] + a["ax"] * half, top, a["cy"] + a["ay"] * half)
-    first, second = _corner(p["x"], h, p["y"]), _corner(q["x"], h, q["y"])
+        color=_roof_colour(), axis=shapes.principal_axis(F.col("footprint")),
+    ).select("*", "axis.*")
+    half = F.col("length") * F.lit(0.5)
+    ridge = F.col("height") + F.col("width") * F.lit(0.5) * F.lit(ROOF_PITCH)
     # The side of the ridge decides which ridge end spans the plane of the face.
-    across = ((p["y"] + q["y"]) * F.lit(0.5) - a["cy"]) * a["ax"] - ((p["x"] + q["x"]) * F.lit(0.5) - a["cx"]) * a["ay"]
-    normal = _upward_normal(first, second, F.when(across > F.lit(0.0), start).otherwise(end))
-    return rows.select(
-        "osm_id", F.lit("roof").alias("part"), "face", *_face_row([first, second, end, start], normal), "color"
+    across = ((F.col("py") + F.col("qy")) * F.lit(0.5) - F.col("cy")) * F.col("ax") - (
+        (F.col("px") + F.col("qx")) * F.lit(0.5) - F.col("cx")
+    ) * F.col("ay")
+    placed = rows.select(
+        "osm_id", "face", "color", across.alias("across"),
+        *_corner(0, F.col("px"), F.col("height"), F.col("py")),
+        *_corner(1, F.col("qx"), F.col("height"), F.col("qy")),
+        *_corner(2, F.col("cx") + F.col("ax") * half, ridge, F.col("cy") + F.col("ay") * half),
+        *_corner(3, F.col("cx") - F.col("ax") * half, ridge, F.col("cy") - F.col("ay") * half),
+    )
+    third = [
+        F.when(F.col("across") > F.lit(0.0), F.col(f"{k}3")).otherwise(F.col(f"{k}2")).alias(f"{k}_third") for k in "xyz"
+    ]
+    return _with_upward_normal(placed.select("*", *third), "_third").select(
+        "osm_id", F.lit("roof").alias("part"), "face", *CORNERS, "nx", "ny", "nz", "color"
     )
 
 
 def pointed_roof_faces(buildings: DataFrame) -> DataFrame:
     """One triangle per side up to an apex over the vertex mean (hipped and pyramidal roofs)."""
-    shape = F.col("footprint")
+    pointed = buildings.where(F.col("roof_type").isin("Hipped", "Pyramidal")).withColumn(
+        "mean", shapes.vertex_mean(F.col("footprint"))
+    )
     rows = _sides(
-        buildings.where(F.col("roof_type").isin("Hipped", "Pyramidal")),
-        _roof_colour().alias("color"),
-        shapes.vertex_mean(shape).alias("mean"),
-        shapes.clearance(shape, shapes.vertex_mean(shape)).alias("clearance"),
-    )
-    p, q, h, m = F.col("p"), F.col("q"), F.col("height"), F.col("mean")
-    apex = _corner(m["x"], h + F.col("clearance") * F.lit(ROOF_PITCH), m["y"])
-    first, second = _corner(p["x"], h, p["y"]), _corner(q["x"], h, q["y"])
-    return rows.select(
-        "osm_id", F.lit("roof").alias("part"), "face",
-        *_face_row([first, second, apex], _upward_normal(first, second, apex)), "color",
+        pointed, color=_roof_colour(), mean=F.col("mean"),
+        clearance=shapes.clearance(F.col("footprint"), F.col("mean")),
+    )
+    placed = rows.select(
+        "osm_id", "face", "color",
+        *_corner(0, F.col("px"), F.col("height"), F.col("py")),
+        *_corner(1, F.col("qx"), F.col("height"), F.col("qy")),
+        *_corner(2, F.col("mean.x"), F.col("height") + F.col("clearance") * F.lit(ROOF_PITCH), F.col("mean.y")),
+        *_no_corner(3),
+    )
+    return _with_upward_normal(placed, "2").select(
+        "osm_id", F.lit("roof").alias("part"), "face", *CORNERS, "nx", "ny", "nz", "color"
     )
 
 
@@ -128,23 +137,20 @@ def building_faces(buildings: DataFrame) -> DataFrame:
 
 def road_faces(roads: DataFrame) -> DataFrame:
     """One flat quad per road segment, as wide as the road, mitred along the point directions."""
-    rows = (
-        roads.where(F.size("polyline") >= 2)
-        .select(
-            "osm_id", (F.col("width") * F.lit(0.5)).alias("half"),
+    rows = lines.segment_directions(
+        roads.select(
+            "osm_id", "polyline", (F.col("width") * F.lit(0.5)).alias("half"),
             classify.road_colour(F.col("type")).alias("color"),
-            shapes.tangents(F.col("polyline")).alias("t"),
-        )
-        .select("osm_id", "half", "color", F.posexplode(shapes.segments(F.col("t"))).alias("face", "side"))
-        .select("*", F.col("side.p").alias("p"), F.col("side.q").alias("q"))
+        ),
+        "polyline",
     )
-    p, q, half, lift = F.col("p"), F.col("q"), F.col("half"), F.lit(ROAD_LIFT)
-    left = lambda t: _corner(t["x"] + t["ty"] * half, lift, t["y"] - t["tx"] * half)
-    right = lambda t: _corner(t["x"] - t["ty"] * half, lift, t["y"] + t["tx"] * half)
-    up = F.struct(F.lit(0.0).alias("x"), F.lit(1.0).alias("y"), F.lit(0.0).alias("z"))
+    half, lift = F.col("half"), F.lit(ROAD_LIFT)
+    left = lambda k: (F.col(f"{k}x") + F.col(f"{k}ty") * half, lift, F.col(f"{k}y") - F.col(f"{k}tx") * half)
+    right = lambda k: (F.col(f"{k}x") - F.col(f"{k}ty") * half, lift, F.col(f"{k}y") + F.col(f"{k}tx") * half)
     return rows.select(
-        "osm_id", F.lit("ribbon").alias("part"), "face",
-        *_face_row([left(p), right(p), right(q), left(q)], up), "color",
+        "osm_id", F.lit("ribbon").alias("part"), F.col("i").alias("face"),
+        *_corner(0, *left("p")), *_corner(1, *right("p")), *_corner(2, *right("q")), *_corner(3, *left("q")),
+        F.lit(0.0).alias("nx"), F.lit(1.0).alias("ny"), F.lit(0.0).alias("nz"), "color",
     )
 
 
@@ -153,9 +159,9 @@ def triangles(faces: DataFrame, *keys: str) -> DataFrame:
     keep = list(keys) or ["osm_id", "part", "face"]
 
     def corner_row(picks, half):
-        return F.struct(
-            F.lit(half).alias("half"),
-            *[F.col(f"{axis}{at}").alias(f"{axis}{i}") for i, at in enumerate(picks) for axis in "xyz"],
+        return record(
+            half=F.lit(half),
+            **{f"{axis}{i}": F.col(f"{axis}{at}") for i, at in enumerate(picks) for axis in "xyz"},
         )
 
     # Ribbons and discs are wound the other way round than walls and roofs.
@@ -200,7 +206,7 @@ def index_faces(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every face brings its own corners, four numbers apart, as in a draw list."""
     last = F.when(F.col("x3").isNull(), F.lit(3)).otherwise(F.lit(4))
-    corner = F.array(*[F.struct(*[F.col(f"{axis}{i}").alias(axis) for axis in "xyz"]) for i in range(4)])
+    corner = F.array(*[record(**{axis: F.col(f"{axis}{i}") for axis in "xyz"}) for i in range(4)])
     vertices = faces.select(
         "osm_id", "part", (F.col("face") * 4).alias("base"),
         F.posexplode(F.slice(corner, F.lit(1), last)).alias("at", "v"),
@@ -209,8 +215,8 @@ def index_faces(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
     flat = F.col("part") == "ribbon"
 
     def tri(half, a, b, c):
-        return F.struct(
-            F.lit(half).alias("half"), (base + a).alias("a"), (base + b).alias("b"), (base + c).alias("c")
+        return record(
+            half=F.lit(half), a=base + a, b=base + b, c=base + c
         )
 
     pair = F.when(flat, F.array(tri(0, 0, 2, 1), tri(1, 0, 3, 2))).otherwise(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import ImportConfig
 from ..functions import classify, geodesy, shapes, tags
 from ..functions.columns import one_row
-from ..functions.fixed_values import NATURAL_AREAS
+from ..functions.fixed_values import AREA_VALUES, NATURAL_AREAS, ROAD_VALUES
 from ..functions.tags import tag
 from .simplify import simplify
 
@@ -49,15 +49,15 @@ def _with_shape(kept: DataFrame, shaped: DataFrame, minimum: int) -> DataFrame:
     return kept.drop("node_refs").join(shaped.where(F.size("shape") >= minimum), "way_id")
 
 
+_ROAD_WORDS = [word for words in ROAD_VALUES.values() for word in words]
+
+
 def road_ways(ways: DataFrame, config: ImportConfig = ImportConfig()) -> DataFrame:
     """Ways with a known road class, with all road attributes; still without a shape."""
-    road = classify.road_class(tag("highway"))
-    chosen = ways.where(tag("highway").isNotNull() & (road != classify.UNKNOWN))
-    if not config.import_roads:
-        chosen = chosen.where(F.lit(False))
-    return chosen.select(
-        "way_id", "node_refs",
-        road.alias("type"),
+    chosen = ways.where(tag("highway").isin(_ROAD_WORDS) & F.lit(config.import_roads))
+    road = F.col("type")
+    return chosen.select("way_id", "node_refs", "tags", classify.road_class(tag("highway")).alias("type")).select(
+        "way_id", "node_refs", "type",
         classify.road_width(tag("width"), tag("lanes"), road).alias("width"),
         classify.road_lanes(tag("lanes"), road).alias("lanes"),
         tags.speed_limit(tag("maxspeed")).alias("speed_limit"),
@@ -70,19 +70,19 @@ def road_ways(ways: DataFrame, config: ImportConfig = ImportConfig()) -> DataFra
 
 def building_ways(ways: DataFrame, config: ImportConfig = ImportConfig()) -> DataFrame:
     """Closed ways with a building tag of any value, with all building attributes."""
+    chosen = ways.where(
+        tag("building").isNotNull() & is_closed(F.col("node_refs")) & F.lit(config.import_buildings)
+    )
     height = classify.building_height(
         tag("height"), tag("building:levels"), tag("building"),
         config.metres_per_level, config.default_building_height,
     )
-    chosen = ways.where(tag("building").isNotNull() & is_closed(F.col("node_refs")))
-    if not config.import_buildings:
-        chosen = chosen.where(F.lit(False))
-    return chosen.select(
+    return chosen.select("way_id", "node_refs", "tags", height.alias("height")).select(
         "way_id", "node_refs",
         classify.building_class(tag("building")).alias("type"),
         classify.roof_class(tag("roof:shape"), tag("building:roof:shape")).alias("roof_type"),
-        height.alias("height"),
-        classify.building_levels(tag("building:levels"), height, config.metres_per_level).alias("levels"),
+        "height",
+        classify.building_levels(tag("building:levels"), F.col("height"), config.metres_per_level).alias("levels"),
         tags.name_or_empty(tag("name")).alias("name"),
         tag("roof:colour").alias("roof_color"),
         tag("building:colour").alias("building_color"),
@@ -102,26 +102,34 @@ def _area_class() -> Column:
     return classify.area_class(tag("natural"), tag("waterway"), tag("leisure"), tag("landuse"), tag("amenity"))
 
 
+def _is_area(config: ImportConfig) -> Column:
+    """Way rows of an area class that the switches let in, closed and without a building tag.
+
+    Class and switches only need a closer look when some switch is off."""
+    known = F.lit(False)
+    for key, labels in AREA_VALUES.items():
+        known = known | F.coalesce(tag(key).isin([w for words in labels.values() for w in words]), F.lit(False))
+    chosen = known & tag("building").isNull() & is_closed(F.col("node_refs"))
+    if config.import_water and config.import_natural and config.import_landuse:
+        return chosen
+    return chosen & area_imported(_area_class(), config)
+
+
 def area_ways(ways: DataFrame, config: ImportConfig = ImportConfig()) -> DataFrame:
-    """Closed ways of a known area class without a building tag."""
-    area = _area_class()
-    return ways.where(
-        tag("building").isNull()
-        & (area != classify.UNKNOWN)
-        & area_imported(area, config)
-        & is_closed(F.col("node_refs"))
-    ).select("way_id", "node_refs", area.alias("type"), tags.name_or_empty(tag("name")).alias("name"))
+    """Area ways with all area attributes; still without a shape."""
+    return ways.where(_is_area(config)).select(
+        "way_id", "node_refs", _area_class().alias("type"), tags.name_or_empty(tag("name")).alias("name")
+    )
 
 
 def candidate_ways(ways: DataFrame, config: ImportConfig = ImportConfig()) -> DataFrame:
     """Ways that some kind of feature can be made of: the only ones worth resolving.
 
     Resolving these once serves all three kinds with a single join to the nodes."""
-    closed = is_closed(F.col("node_refs"))
     return ways.where(
-        (classify.road_class(tag("highway")) != classify.UNKNOWN)
-        | (closed & tag("building").isNotNull())
-        | (closed & (_area_class() != classify.UNKNOWN) & area_imported(_area_class(), config))
+        (F.coalesce(tag("highway").isin(_ROAD_WORDS), F.lit(False)) & F.lit(config.import_roads))
+        | (tag("building").isNotNull() & is_closed(F.col("node_refs")) & F.lit(config.import_buildings))
+        | _is_area(config)
     )
 
 

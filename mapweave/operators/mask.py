@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import WorldConfig
 from ..functions import shapes
-from ..functions.columns import clamp, norm, smoothstep
+from ..functions.columns import clamp, norm, record, smoothstep
 from .raster import _blend
 
 MASK = ["ix", "iz"]
@@ -30,7 +30,7 @@ def mask_size(world: WorldConfig) -> tuple[int, int]:
     return tuple(math.ceil((hi - lo) / world.mask_cell) + 1 for lo, hi in zip(world.world_min, world.world_max))
 
 
-def mask_definition(spark: SparkSession, limits: DataFrame, world: WorldConfig) -> DataFrame:
+def mask_definition(limits: DataFrame, world: WorldConfig) -> DataFrame:
     """One row: cells per side, cell side and origin, for world limits given as a row."""
     cell = F.lit(world.mask_cell)
     count = lambda lo, hi: (F.ceil((F.col(hi) - F.col(lo)) / cell) + 1).cast("int")
@@ -126,7 +126,7 @@ def polygon_cells(polygons: DataFrame, world: WorldConfig) -> DataFrame:
         "osm_id", "iz",
         F.explode(F.transform(
             F.sequence(F.lit(0), F.floor(F.size("at") / 2).cast("int") - 1),
-            lambda k: F.struct(F.get("at", k * 2).alias("x_from"), F.get("at", k * 2 + 1).alias("x_to")),
+            lambda k: record(x_from=F.get("at", k * 2), x_to=F.get("at", k * 2 + 1)),
         )).alias("s"),
     )
     inside = (
@@ -211,13 +211,14 @@ def _corner_weights(mask: DataFrame, width: int, height: int) -> DataFrame:
     On the last column and row a square repeats its border."""
     ix, iz = F.col("ix"), F.col("iz")
 
-    def give(dx: int, dz: int) -> list[Column]:
+    def give(dx: int, dz: int) -> Column:
         # This weight as corner (dx, dz) of the square at (ix - dx, iz - dz).
-        return [(ix - dx).alias("ix"), (iz - dz).alias("iz")] + [
-            (F.col("weight") if (a, b) == (dx, dz) else F.lit(0.0)).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)
-        ]
+        weights = {
+            f"c{a}{b}": F.col("weight") if (a, b) == (dx, dz) else F.lit(0.0) for a in (0, 1) for b in (0, 1)
+        }
+        return record(ix=ix - dx, iz=iz - dz, **weights)
 
-    squares = F.array(*[F.struct(*give(dx, dz)) for dx in (0, 1) for dz in (0, 1)])
+    squares = F.array(*[give(dx, dz) for dx in (0, 1) for dz in (0, 1)])
     lent = mask.select(F.inline(squares)).where("ix >= 0 and iz >= 0")
     summed = lent.groupBy("ix", "iz").agg(*[F.max(f"c{a}{b}").alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)])
     last_x, last_z = ix == width - 1, iz == height - 1

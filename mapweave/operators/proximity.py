@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import rgba
+from ..functions.columns import record, rgba
 from ..functions.fixed_values import (
     JUNCTION_COLOUR, JUNCTION_DISTANCE, JUNCTION_LIFT, JUNCTION_RADIUS_PER_WIDTH, JUNCTION_SEGMENTS,
 )
@@ -43,7 +43,7 @@ def near_pairs(points: DataFrame, leaders: DataFrame, distance: float, group: li
     crowded cell is a skewed key on the points side only, which adaptive
     execution can split because a cell meets at most 25 leaders."""
     around = F.array(
-        *[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx in _REACH for dy in _REACH]
+        *[record(cx=F.col("cx") + dx, cy=F.col("cy") + dy) for dx in _REACH for dy in _REACH]
     )
     spread = leaders.select(
         *group, F.col("idx").alias("leader"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.inline(around)
@@ -61,8 +61,8 @@ def road_ends(roads: DataFrame, *group: str) -> DataFrame:
 
     ``idx`` gives the order that decides between road ends: by road id, start before end."""
     ends = F.array(
-        F.struct(F.lit(0).alias("end"), F.get("polyline", F.lit(0)).alias("p")),
-        F.struct(F.lit(1).alias("end"), F.element_at("polyline", -1).alias("p")),
+        record(end=F.lit(0), p=F.get("polyline", F.lit(0))),
+        record(end=F.lit(1), p=F.element_at("polyline", -1)),
     )
     return roads.where(F.size("polyline") >= 2).select(*group, "osm_id", "width", F.inline(ends)).select(
         *group, (F.col("osm_id") * 2 + F.col("end")).alias("idx"), F.col("p.x").alias("x"), F.col("p.y").alias("y"),

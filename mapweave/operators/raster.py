@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import SurfaceConfig, TerrainConfig, WorldConfig
-from ..functions.columns import clamp, lerp_colour, norm, rgba, smoothstep
+from ..functions.columns import clamp, lerp_colour, norm, record, rgba, smoothstep
 from ..functions.noise import with_fractal, with_ridges
 
 GRID = ["cx", "cz"]
@@ -35,13 +35,16 @@ def single_grid(spark: SparkSession, config: TerrainConfig) -> DataFrame:
 def chunk_grid(chunks: DataFrame, world: WorldConfig) -> DataFrame:
     """Cells of the given chunks (``cx, cz``); no heights yet.
 
-    Keys are spread over the tasks first, then each is expanded where it lands."""
+    Keys are spread over the tasks first, then each is expanded where it lands.
+    The number of tasks is given outright: by size alone, adaptive execution
+    would put the short list of keys into one task."""
     t = world.terrain
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     west = F.lit(float(world.world_min[0])) + F.col("cx") * F.lit(float(world.chunk_size))
     north = F.lit(float(world.world_min[1])) + F.col("cz") * F.lit(float(world.chunk_size))
     line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     return (
-        chunks.select("cx", "cz").repartition("cx", "cz")
+        chunks.select("cx", "cz").repartition(tasks, "cx", "cz")
         .select("cx", "cz", line(t.resolution_z).alias("iz"))
         .select("cx", "cz", line(t.resolution_x).alias("ix"), "iz")
         .select(
@@ -101,12 +104,12 @@ def with_neighbours(cells: DataFrame, width: int, height: int, diagonal: bool =
 
     NULL beyond the grid.  With ``diagonal``, also ``hru``, the cell after in both.
     Work is split in blocks of at most BLOCK x BLOCK cells, each with a border of
-    copied cells, so even one huge grid is spread over many tasks, and both
-    windows use the same partitioning."""
+    copied cells, so even one huge grid is spread over many tasks.  Both windows
+    ask for the same partitioning, which freshly made chunks already have."""
     blocks_x, blocks_z = -(-width // BLOCK), -(-height // BLOCK)
     kept = cells.columns
     if blocks_x == blocks_z == 1:
-        placed, keys, own = cells.repartition(*GRID), GRID, F.lit(True)
+        placed, keys, own = cells, GRID, F.lit(True)
     else:
         def near(index: str, count: int) -> Column:
             at = F.floor(F.col(index) / BLOCK).cast("int")
@@ -115,18 +118,23 @@ def with_neighbours(cells: DataFrame, width: int, height: int, diagonal: bool =
             after = F.when((inner == BLOCK - 1) & (at < count - 1), at + 1)
             return F.array_compact(F.array(at, before, after))
 
-        placed = (
-            cells.select("*", F.explode(near("ix", blocks_x)).alias("bx"))
-            .select("*", F.explode(near("iz", blocks_z)).alias("bz"))
-            .repartition(*GRID, "bx", "bz")
+        placed = cells.select("*", F.explode(near("ix", blocks_x)).alias("bx")).select(
+            "*", F.explode(near("iz", blocks_z)).alias("bz")
         )
         keys = [*GRID, "bx", "bz"]
         own = (F.floor(F.col("ix") / BLOCK) == F.col("bx")) & (F.floor(F.col("iz") / BLOCK) == F.col("bz"))
-    row = Window.partitionBy(*keys, "iz").orderBy("ix")
-    column = Window.partitionBy(*keys, "ix").orderBy("iz")
-    found = placed.select("*", F.lag("h").over(row).alias("hl"), F.lead("h").over(row).alias("hr"))
-    extra = [F.lead("hr").over(column).alias("hru")] if diagonal else []
-    found = found.select("*", F.lag("h").over(column).alias("hd"), F.lead("h").over(column).alias("hu"), *extra)
+
+    def beside(value: str, along: str, across: str, by: int) -> Column:
+        """The value ``by`` cells on along one index, NULL when that cell is missing."""
+        window = Window.partitionBy(*keys).orderBy(across, along)
+        other = F.lag(F.struct(along, across, value), -by).over(window)
+        return F.when((other[along] == F.col(along) + by) & (other[across] == F.col(across)), other[value])
+
+    found = placed.select("*", beside("h", "ix", "iz", -1).alias("hl"), beside("h", "ix", "iz", 1).alias("hr"))
+    extra = [beside("hr", "iz", "ix", 1).alias("hru")] if diagonal else []
+    found = found.select(
+        "*", beside("h", "iz", "ix", -1).alias("hd"), beside("h", "iz", "ix", 1).alias("hu"), *extra
+    )
     return found.where(own).select(*kept, "hl", "hr", "hd", "hu", *(["hru"] if diagonal else []))
 
 
@@ -160,7 +168,7 @@ def thermal_pass(cells: DataFrame, config: TerrainConfig) -> DataFrame:
     )
     sides = F.array(
         F.struct("ix", "iz", (-F.col("gift")).alias("h")),
-        F.struct(F.col("to_ix").alias("ix"), F.col("to_iz").alias("iz"), F.col("gift").alias("h")),
+        record(ix=F.col("to_ix"), iz=F.col("to_iz"), h=F.col("gift")),
     )
     moved = gifts.select("cx", "cz", F.inline(sides)).select(*CELL, F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("z"), "h")
     return (
@@ -257,8 +265,12 @@ def surface_vertices(
     )
 
 
-def surface_triangles(cells: DataFrame, config: TerrainConfig, lod_level: int = 0) -> DataFrame:
-    """Two triangles per square of every 2^lod-th cell; nothing when fewer than two cells remain."""
+def surface_triangles(
+    cells: DataFrame, config: TerrainConfig, step_x: float, step_z: float, lod_level: int = 0
+) -> DataFrame:
+    """Two triangles per square of every 2^lod-th cell; nothing when fewer than two cells remain.
+
+    ``step_x, step_z`` are the distances between neighbouring cells."""
     step = 1 << lod_level
     width, height = (config.resolution_x - 1) // step + 1, (config.resolution_z - 1) // step + 1
     coarse = cells.where(
@@ -268,17 +280,28 @@ def surface_triangles(cells: DataFrame, config: TerrainConfig, lod_level: int =
     if width < 2 or height < 2:
         coarse = coarse.where(F.lit(False))
     coarse = coarse.select(
-        "cx", "cz", (F.col("ix") / step).cast("int").alias("ix"), (F.col("iz") / step).cast("int").alias("iz"), "x", "z", "h"
+        "cx", "cz", F.floor(F.col("ix") / step).cast("int").alias("ix"),
+        F.floor(F.col("iz") / step).cast("int").alias("iz"), "x", "z", "h",
     )
     near = with_neighbours(coarse, max(width, 1), max(height, 1), diagonal=True).where(
         F.col("hr").isNotNull() & F.col("hu").isNotNull()
     )
+
+    def corner(h: str, right: int, up: int) -> tuple[Column, Column, Column]:
+        return (
+            F.col("x") + F.lit(right * step * step_x), F.col(h), -(F.col("z") + F.lit(up * step * step_z))
+        )
+
+    c00, c10, c01, c11 = corner("h", 0, 0), corner("hr", 1, 0), corner("hu", 0, 1), corner("hru", 1, 1)
+
+    def triangle(half: int, *corners) -> Column:
+        return record(
+            half=F.lit(half),
+            **{f"{axis}{i}": v for i, c in enumerate(corners) for axis, v in zip("xyz", c)},
+        )
+
     return near.select(
-        "cx", "cz", "ix", "iz",
-        F.inline(F.array(
-            F.struct(F.lit(0).alias("half"), F.lit("00,10,01").alias("corners"), F.col("h").alias("h0"), F.col("hr").alias("h1"), F.col("hu").alias("h2")),
-            F.struct(F.lit(1).alias("half"), F.lit("10,11,01").alias("corners"), F.col("hr").alias("h0"), F.col("hru").alias("h1"), F.col("hu").alias("h2")),
-        )),
+        *CELL, F.inline(F.array(triangle(0, c00, c10, c01), triangle(1, c10, c11, c01)))
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import TileConfig
-from ..functions.columns import clamp, one_row
+from ..functions.columns import clamp, one_row, record
 from .extents import box_measures
 
 
@@ -43,26 +43,25 @@ def point_tiles(points: DataFrame, grid: DataFrame) -> DataFrame:
     return points.select("*", tile_x(F.col("x"), g).alias("tx"), tile_y(F.col("y"), g).alias("ty"))
 
 
-def feature_tiles(features: DataFrame, grid: DataFrame) -> DataFrame:
-    """kind, osm_id, tx, ty: every tile that holds a vertex of the feature, once.
+def with_tiles(features: DataFrame, shape: str, grid: DataFrame) -> DataFrame:
+    """One copy of each feature row per tile it has a vertex in, with ``tx, ty``.
 
     A feature's tiles are made distinct inside its row, so no shuffle is needed."""
-    g = one_row(grid)
+    g = F.col("__grid")
     keys = F.array_distinct(
-        F.transform(
-            "shape", lambda p: F.struct(tile_x(p["x"], g).alias("tx"), tile_y(p["y"], g).alias("ty"))
-        )
+        F.transform(shape, lambda p: record(tx=tile_x(p["x"], g), ty=tile_y(p["y"], g)))
+    )
+    return (
+        features.select("*", one_row(grid).alias("__grid"))
+        .select(*features.columns, F.inline(keys).alias("tx", "ty"))
     )
-    return features.select("kind", "osm_id", F.inline(keys).alias("tx", "ty"))
 
 
-def with_tiles(features: DataFrame, shape: str, grid: DataFrame) -> DataFrame:
-    """One copy of each feature row per tile it has a vertex in, with ``tx, ty``."""
-    g = one_row(grid)
-    keys = F.array_distinct(
-        F.transform(shape, lambda p: F.struct(tile_x(p["x"], g).alias("tx"), tile_y(p["y"], g).alias("ty")))
-    )
-    return features.select("*", F.inline(keys).alias("tx", "ty"))
+def feature_tiles(features: DataFrame, grid: DataFrame) -> DataFrame:
+    """kind, osm_id, tx, ty: every tile that holds a vertex of the feature, once.
+
+    A segment that crosses a tile without a vertex in it does not count."""
+    return with_tiles(features, "shape", grid).select("kind", "osm_id", "tx", "ty")
 
 
 def existing_tiles(bridge: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import record
+
 _TAG = "tag array<struct<_k:string,_v:string>>"
 _SCHEMAS = {
     "node": f"_id long, _lat double, _lon double, {_TAG}",
@@ -43,11 +45,10 @@ def read_map_xml(spark: SparkSession, path: str) -> RawMap:
         )
         return raw.withColumn(
             "pos",
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("start"),
-                F.monotonically_increasing_id().alias("row"),
-            ),
+            record(
+                file=F.col("_metadata.file_path"),
+                start=F.col("_metadata.file_block_start"),
+                row=F.monotonically_increasing_id()),
         )
 
     nodes = elements("node").select(
@@ -83,8 +84,8 @@ def known_members(members: Column) -> Column:
     empty = F.array().cast("array<struct<_type:string,_ref:long,_role:string>>")
     return F.transform(
         F.filter(F.coalesce(members, empty), lambda m: m["_type"].isin(MEMBER_TYPES)),
-        lambda m: F.struct(
-            m["_type"].alias("type"), m["_ref"].alias("ref"), F.coalesce(m["_role"], F.lit("")).alias("role")
+        lambda m: record(
+            type=m["_type"], ref=m["_ref"], role=F.coalesce(m["_role"], F.lit(""))
         ),
     )
 
