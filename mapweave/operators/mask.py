@@ -49,12 +49,13 @@ def _cell_z(iz: Column, world: WorldConfig) -> Column:
     return F.lit(float(world.world_min[1])) + iz * F.lit(world.mask_cell)
 
 
-def _index_range(low: Column, high: Column, origin: float, count: int, world: WorldConfig) -> Column:
-    """Indices from below ``low`` to above ``high``, inside the mask; empty when they do not meet it."""
+def _expand(rows: DataFrame, name: str, low: Column, high: Column, origin: float, count: int, world: WorldConfig) -> DataFrame:
+    """One row per mask index ``name`` from just below ``low`` to just above ``high``, inside the mask."""
     cell = F.lit(world.mask_cell)
     first = F.greatest(F.floor((low - F.lit(float(origin))) / cell), F.lit(0)).cast("int")
     last = F.least(F.ceil((high - F.lit(float(origin))) / cell), F.lit(count - 1)).cast("int")
-    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    bounded = rows.select("*", first.alias("first"), last.alias("last")).where("first <= last")
+    return bounded.select(*rows.columns, F.explode(F.sequence("first", "last")).alias(name))
 
 
 def _eased(distance: Column, radius: Column, falloff: float) -> Column:
@@ -65,34 +66,41 @@ def _eased(distance: Column, radius: Column, falloff: float) -> Column:
     )
 
 
-def _band_rows(pieces: DataFrame, reach: Column, world: WorldConfig, *keep: str) -> DataFrame:
-    """Cells around segments ``ax, ay, bx, by``: one row per mask row first, spread, then per cell.
+def _band_cells(pieces: DataFrame, world: WorldConfig) -> DataFrame:
+    """Cells around segments ``osm_id, ax, ay, bx, by`` within ``reach``: adds ix, iz, cell place x, z,
+    the segment's step ex, ey and ``foot``, the nearest share of the segment (0..1).
 
+    Segments are cut into mask rows first, and these are spread, then cut into cells.
     Within a mask row only the stretch of the segment that comes within reach is
-    widened, so a long slanted segment does not fill its whole box."""
+    widened, so a long slanted segment does not fill its whole box.  Every value
+    has a column of its own, so nothing is computed twice."""
     width, height = mask_size(world)
     west, north = world.world_min
-    rows = pieces.select(
-        "*", reach.alias("reach"),
-        F.explode(_index_range(
-            F.least("ay", "by") - reach, F.greatest("ay", "by") + reach, north, height, world
-        )).alias("iz"),
+    ex, ey = F.col("ex"), F.col("ey")
+    one, zero = F.lit(1.0), F.lit(0.0)
+    stepped = pieces.select("*", (F.col("bx") - F.col("ax")).alias("ex"), (F.col("by") - F.col("ay")).alias("ey"))
+    stepped = stepped.select("*", (ex * ex + ey * ey).alias("square"))
+    rows = _expand(
+        stepped, "iz", F.least("ay", "by") - F.col("reach"), F.greatest("ay", "by") + F.col("reach"), north, height, world
     ).select("*", _cell_z(F.col("iz"), world).alias("z"))
-    # Share of the segment inside the row's strip z +- reach; a level segment is inside as a whole.
-    rise = F.col("by") - F.col("ay")
-    steep = F.when(F.abs(rise) > F.lit(1e-9), rise)
-    t = lambda z: clamp((z - F.col("ay")) / steep, F.lit(0.0), F.lit(1.0))
-    first, second = t(F.col("z") - F.col("reach")), t(F.col("z") + F.col("reach"))
-    at = lambda share: F.col("ax") + share * (F.col("bx") - F.col("ax"))
-    x1, x2 = F.coalesce(at(first), F.col("ax")), F.coalesce(at(second), F.col("bx"))
-    spread = rows.select(
-        *keep, "ax", "ay", "bx", "by", "reach", "iz", "z",
-        (F.least(x1, x2) - F.col("reach")).alias("x_from"), (F.greatest(x1, x2) + F.col("reach")).alias("x_to"),
-    ).repartition("iz", *keep)
-    return spread.select(
-        *keep, "ax", "ay", "bx", "by", "iz", "z",
-        F.explode(_index_range(F.col("x_from"), F.col("x_to"), west, width, world)).alias("ix"),
+    # Shares of the segment inside the strip z +- reach; a level segment is inside as a whole.
+    steep = F.abs(ey) > F.lit(1e-9)
+    share = lambda edge: clamp((edge - F.col("ay")) / ey, zero, one)
+    rows = rows.select(
+        "*", F.when(steep, share(F.col("z") - F.col("reach"))).otherwise(zero).alias("s1"),
+        F.when(steep, share(F.col("z") + F.col("reach"))).otherwise(one).alias("s2"),
+    )
+    rows = rows.select("*", (F.col("ax") + F.col("s1") * ex).alias("x1"), (F.col("ax") + F.col("s2") * ex).alias("x2"))
+    # The number of tasks is given outright: these rows are few but grow into many cells.
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartition(tasks, "iz", "osm_id")
+    cells = _expand(
+        spread, "ix", F.least("x1", "x2") - F.col("reach"), F.greatest("x1", "x2") + F.col("reach"), west, width, world
     ).select("*", _cell_x(F.col("ix"), world).alias("x"))
+    along = (F.col("x") - F.col("ax")) * ex + (F.col("z") - F.col("ay")) * ey
+    return cells.select(
+        "*", F.when(F.col("square") > zero, clamp(along / F.col("square"), zero, one)).otherwise(zero).alias("foot")
+    )
 
 
 def polygon_cells(polygons: DataFrame, world: WorldConfig) -> DataFrame:
@@ -103,16 +111,14 @@ def polygon_cells(polygons: DataFrame, world: WorldConfig) -> DataFrame:
     Around: cells within the blend distance of a side.
     A cell may come more than once; its highest weight counts."""
     width, height = mask_size(world)
-    west, north = world.world_min
+    west, north = (float(v) for v in world.world_min)
     sides = polygons.where(F.size("shape") >= 3).select(
         "osm_id", F.inline(shapes.ring_segments(F.col("shape"))).alias("p", "q")
     ).select(
         "osm_id", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by")
     )
     crossing = (
-        sides.select(
-            "*", F.explode(_index_range(F.least("ay", "by"), F.greatest("ay", "by"), north, height, world)).alias("iz")
-        )
+        _expand(sides, "iz", F.least("ay", "by"), F.greatest("ay", "by"), north, height, world)
         .select("*", _cell_z(F.col("iz"), world).alias("z"))
         .where((F.col("ay") > F.col("z")) != (F.col("by") > F.col("z")))
         .select(
@@ -124,29 +130,26 @@ def polygon_cells(polygons: DataFrame, world: WorldConfig) -> DataFrame:
     # A row of one ring holds as many crossings as the ring has sides there: bounded by the ring's own row.
     spans = crossing.groupBy("osm_id", "iz").agg(F.sort_array(F.collect_list("at")).alias("at")).select(
         "osm_id", "iz",
-        F.explode(F.transform(
+        F.inline(F.transform(
             F.sequence(F.lit(0), F.floor(F.size("at") / 2).cast("int") - 1),
             lambda k: record(x_from=F.get("at", k * 2), x_to=F.get("at", k * 2 + 1)),
-        )).alias("s"),
+        )).alias("x_from", "x_to"),
     )
     inside = (
-        spans.select(
-            "osm_id", "iz", "s.x_from", "s.x_to",
-            F.explode(_index_range(F.col("s.x_from"), F.col("s.x_to"), west, width, world)).alias("ix"),
-        )
-        .where((_cell_x(F.col("ix"), world) >= F.col("x_from")) & (_cell_x(F.col("ix"), world) < F.col("x_to")))
+        _expand(spans, "ix", F.col("x_from"), F.col("x_to"), west, width, world)
+        .select("*", _cell_x(F.col("ix"), world).alias("x"))
+        .where("x >= x_from and x < x_to")
         .select("osm_id", "ix", "iz", F.lit(1.0).alias("weight"))
     )
     # Sides shorter than a centimetre are left out of the distance, as their ends belong to other sides.
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    around = _band_rows(
-        sides.where(dx * dx + dy * dy >= F.lit(1e-4)), F.lit(float(world.blend_distance)), world, "osm_id"
+    around = _band_cells(
+        sides.where(dx * dx + dy * dy >= F.lit(1e-4)).withColumn("reach", F.lit(float(world.blend_distance))), world
     )
-    away = shapes.distance_to_segment(
-        F.col("x"), F.col("z"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), degenerate=0.0
-    )
-    band = around.select(
-        "osm_id", "ix", "iz", _eased(away, F.lit(0.0), world.blend_distance).alias("weight")
+    foot = F.col("foot")
+    away = norm(F.col("x") - (F.col("ax") + F.col("ex") * foot), F.col("z") - (F.col("ay") + F.col("ey") * foot))
+    band = around.select("osm_id", "ix", "iz", away.alias("away")).select(
+        "osm_id", "ix", "iz", _eased(F.col("away"), F.lit(0.0), world.blend_distance).alias("weight")
     ).where("weight > 0")
     return inside.unionByName(band)
 
@@ -163,28 +166,20 @@ def line_cells(lines: DataFrame, world: WorldConfig) -> DataFrame:
     ).select(
         "osm_id", "radius", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by")
     )
-    cells = _band_rows(
-        pieces, F.greatest(F.col("radius"), F.lit(0.0)) + F.lit(float(world.blend_distance)), world, "osm_id", "radius"
+    reach = F.greatest(F.col("radius"), F.lit(0.0)) + F.lit(float(world.blend_distance))
+    cells = _band_cells(pieces.withColumn("reach", reach), world)
+    steps = F.greatest(F.floor(F.sqrt("square") / F.lit(world.mask_cell * 0.5)), F.lit(2))
+    marked = cells.select("*", steps.alias("steps")).select("*", F.floor(F.col("foot") * F.col("steps")).alias("before"))
+    marked = marked.select(
+        "*", (F.col("before") / F.col("steps")).alias("t1"),
+        (F.least(F.col("before") + 1, F.col("steps")) / F.col("steps")).alias("t2"),
     )
-    ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    square = ex * ex + ey * ey
-    steps = F.greatest(F.floor(F.sqrt(square) / F.lit(world.mask_cell * 0.5)), F.lit(2))
-    foot = clamp(
-        F.coalesce(
-            ((F.col("x") - F.col("ax")) * ex + (F.col("z") - F.col("ay")) * ey) / F.when(square > F.lit(0.0), square),
-            F.lit(0.0),
-        ),
-        F.lit(0.0), F.lit(1.0),
+    away = lambda t: norm(
+        F.col("x") - (F.col("ax") + F.col("ex") * F.col(t)), F.col("z") - (F.col("ay") + F.col("ey") * F.col(t))
     )
-    marked = cells.select("*", steps.alias("steps"), F.floor(foot * steps).alias("before"))
-
-    def away(k: Column) -> Column:
-        t = k / F.col("steps")
-        return norm(F.col("x") - (F.col("ax") + ex * t), F.col("z") - (F.col("ay") + ey * t))
-
-    distance = F.least(away(F.col("before")), away(F.least(F.col("before") + 1, F.col("steps"))))
-    return marked.select(
-        "osm_id", "ix", "iz", _eased(distance, F.col("radius"), world.blend_distance).alias("weight")
+    found = marked.select("osm_id", "ix", "iz", "radius", away("t1").alias("d1"), away("t2").alias("d2"))
+    return found.select("osm_id", "ix", "iz", "radius", F.least("d1", "d2").alias("away")).select(
+        "osm_id", "ix", "iz", _eased(F.col("away"), F.col("radius"), world.blend_distance).alias("weight")
     ).where("weight > 0")
 
 

@@ -9,9 +9,22 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# The JVM does not turn methods above 8000 bytes into machine code.  With this limit
+# Spark compiles such a stage operator by operator instead, which is many times
+# faster for the long arithmetic of masks and rasters.
+SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings the operators are made for; call it once per session."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and the benchmark.  On a cluster, use the session it gives you."""
-    return (
+    return tune(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("mapweave")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
