@@ -204,8 +204,8 @@ STEPS["tile"] = "select distinct tx, ty from bridge"
 STEPS["box"] = """
 select tx, ty, gx + tx * 5e2 as min_x, 0e0 as min_y, -(gy + ty * 5e2 + 5e2) as min_z,
   gx + tx * 5e2 + 5e2 as max_x, 2e2 as max_y, -(gy + ty * 5e2) as max_z from tile, grid"""
-STEPS["world"] = """
-select min(min_x) - 5e2 as wx0, -max(max_z) - 5e2 as wz0, max(max_x) + 5e2 as wx1, -min(min_z) + 5e2 as wz1 from box"""
+STEPS["fitted"] = "select min(min_x) - 5e2 as fx0, -max(max_z) - 5e2 as fz0, max(max_x) + 5e2 as fx1, -min(min_z) + 5e2 as fz1 from box"
+STEPS["world"] = f"select {r('fx0')} as wx0, {r('fz0')} as wz0, {r('fx1')} as wx1, {r('fz1')} as wz1 from fitted"
 STEPS["chunk"] = """
 select cx, cz from (select unnest(range(0, cast(ceil((wx1 - wx0) / 5e2) as bigint))) as cx, * from world),
   lateral (select unnest(range(0, cast(ceil((wz1 - wz0) / 5e2) as bigint))) as cz)"""
@@ -680,7 +680,7 @@ select distinct cx, cz from (select *, unnest(range(z0, z1 + 1)) as cz from (
   select *, unnest(range(cast(floor((ex - 8e2 - wx0) / 5e2) as bigint), cast(ceil((ex + 8e2 - wx0) / 5e2) as bigint) + 1)) as cx,
     cast(floor((ez - 8e2 - wz0) / 5e2) as bigint) as z0, cast(ceil((ez + 8e2 - wz0) / 5e2) as bigint) as z1 from eye, world))
 where wx0 + cx * 5e2 + 5e2 >= wx0 and wx0 + cx * 5e2 <= wx1 and wz0 + cz * 5e2 + 5e2 >= wz0 and wz0 + cz * 5e2 <= wz1
-  and (cx, cz) not in (select (cx, cz) from gen_chunk)""")
+  and (cx, cz) not in (select (cx, cz) from gen_chunk join chunk using (cx, cz))""")
 
 # --- rasters ----------------------------------------------------------------------------------
 

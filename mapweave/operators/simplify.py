@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +11,6 @@ from ..functions.shapes import SHAPE_TYPE
 
 def _simplifier(tolerance: float):
     """Arrow-batched function over shapes; each shape is one feature's own point list."""
-    import pandas as pd
-
     def keep(shape):
         import numpy as np
 

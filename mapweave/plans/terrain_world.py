@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,16 @@ from ..operators import mask, raster, tiles
 
 
 def fitted_world(boxes: DataFrame, world: WorldConfig) -> WorldConfig:
-    """The settings with world limits around all tile boxes (one aggregated row is read)."""
+    """The settings with world limits around all tile boxes (one aggregated row is read).
+
+    Limits are kept in whole millimetres: chunk counts depend on them by a ceiling,
+    and should not hang on the last bit of a cosine."""
     row = tiles.fit_world(boxes, world.chunk_size).first()
     if row is None:
         return world
+    mm = lambda v: math.floor(v * 1000.0 + 0.5) / 1000.0
     return replace(
-        world, world_min=(row.world_min_x, row.world_min_z), world_max=(row.world_max_x, row.world_max_z)
+        world, world_min=(mm(row.world_min_x), mm(row.world_min_z)), world_max=(mm(row.world_max_x), mm(row.world_max_z))
     )
 
 
