@@ -474,9 +474,14 @@ def _rings(spark, sf) -> DataFrame:
     return m.buildings.select("osm_id", F.col("footprint").alias("shape"))
 
 
+def _painted(spark, sf, strips, shapes_: DataFrame, *keys: str) -> DataFrame:
+    w = _world(spark, sf)
+    return mask.blend(mask.paint(strips(shapes_, w), w), *keys)
+
+
 @query
 def jon7_polygon_cells(spark, sf):
-    cells = mask.blend(mask.polygon_cells(_rings(spark, sf), _world(spark, sf)), "osm_id")
+    cells = _painted(spark, sf, mask.polygon_strips, _rings(spark, sf), "osm_id")
     return cells.groupBy("osm_id").agg(
         F.count(F.lit(1)).alias("cells"), F.count_if(F.col("weight") == 1.0).alias("full"), r(F.sum("weight")).alias("weight")
     )
@@ -485,7 +490,7 @@ def jon7_polygon_cells(spark, sf):
 @query
 def jon8_line_cells(spark, sf):
     lines_ = imported(spark, sf).roads.select("osm_id", F.col("polyline").alias("shape"), "width")
-    cells = mask.blend(mask.line_cells(lines_, _world(spark, sf)), "osm_id")
+    cells = _painted(spark, sf, mask.line_strips, lines_, "osm_id")
     return cells.groupBy("osm_id").agg(
         F.count(F.lit(1)).alias("cells"), F.count_if(F.col("weight") == 1.0).alias("full"), r(F.sum("weight")).alias("weight")
     )
@@ -626,7 +631,7 @@ def agg16_feature_boxes(spark, sf):
 def agg17_mask_blend(spark, sf):
     m = imported(spark, sf)
     rings = m.areas.where("type <> 'Water'").select("osm_id", F.col("polygon").alias("shape"))
-    return rounded(mask.blend(mask.polygon_cells(rings, _world(spark, sf))), 4, "weight")
+    return rounded(_painted(spark, sf, mask.polygon_strips, rings), 4, "weight")
 
 
 @query

@@ -5,9 +5,12 @@ the weight only falls with distance, the highest weight over all pieces of all
 features is the weight of the nearest one; so pieces are handled one by one and a
 single max per cell, combined before the shuffle, brings them together.
 
-Pieces are first cut into grid rows and spread by row, then expanded to cells.
-So a feature as large as the map is filled by many tasks, and the work follows
-the covered cells, not cells times edges.
+A piece is cut into strips first, one per mask row it reaches.  A strip is one
+short row of numbers: a range of cells and what their weights follow from.  The
+strips are shuffled, by mask row and a salt, and only then expanded to cells.  So
+a feature as large as the map is filled by many tasks, cells are never shuffled
+before they are combined, and the work follows the covered cells, not cells
+times sides.
 """
 
 from __future__ import annotations
@@ -49,77 +52,103 @@ def _cell_z(iz: Column, world: WorldConfig) -> Column:
     return F.lit(float(world.world_min[1])) + iz * F.lit(world.mask_cell)
 
 
-def _expand(rows: DataFrame, name: str, low: Column, high: Column, origin: float, count: int, world: WorldConfig) -> DataFrame:
-    """One row per mask index ``name`` from just below ``low`` to just above ``high``, inside the mask."""
-    cell = F.lit(world.mask_cell)
-    first = F.greatest(F.floor((low - F.lit(float(origin))) / cell), F.lit(0)).cast("int")
-    last = F.least(F.ceil((high - F.lit(float(origin))) / cell), F.lit(count - 1)).cast("int")
-    bounded = rows.select("*", first.alias("first"), last.alias("last")).where("first <= last")
-    return bounded.select(*rows.columns, F.explode(F.sequence("first", "last")).alias(name))
+def _clip(low: Column, high: Column, count: int) -> list[Column]:
+    """Columns ``first, last`` of an index range inside the mask."""
+    return [
+        F.greatest(low, F.lit(0)).cast("int").alias("first"), F.least(high, F.lit(count - 1)).cast("int").alias("last")
+    ]
+
+
+def _below(value: Column, origin: float, world: WorldConfig) -> Column:
+    return F.floor((value - F.lit(float(origin))) / F.lit(world.mask_cell))
+
+
+def _above(value: Column, origin: float, world: WorldConfig) -> Column:
+    return F.ceil((value - F.lit(float(origin))) / F.lit(world.mask_cell))
 
 
-def _eased(distance: Column, radius: Column, falloff: float) -> Column:
-    """1 up to the radius, falling smoothly to 0 at radius + falloff."""
-    t = (distance - radius) / F.lit(float(falloff))
-    return F.when(distance <= radius, F.lit(1.0)).when(
-        distance <= radius + F.lit(float(falloff)), F.lit(1.0) - smoothstep(t)
+def _rows(pieces: DataFrame, low: Column, high: Column, world: WorldConfig) -> DataFrame:
+    """One row per mask row from just below ``low`` to just above ``high``: adds iz and its place z."""
+    north = world.world_min[1]
+    limits = _clip(_below(low, north, world), _above(high, north, world), mask_size(world)[1])
+    return (
+        pieces.select("*", *limits).where("first <= last")
+        .select(*pieces.columns, F.explode(F.sequence("first", "last")).alias("iz"))
+        .select("*", _cell_z(F.col("iz"), world).alias("z"))
     )
 
 
-def _band_cells(pieces: DataFrame, world: WorldConfig) -> DataFrame:
-    """Cells around segments ``osm_id, ax, ay, bx, by`` within ``reach``: adds ix, iz, cell place x, z,
-    the segment's step ex, ey and ``foot``, the nearest share of the segment (0..1).
+# A strip: cells first..last of mask row iz; the place of cell 0 and of the row as seen
+# from the segment's start; the segment's step and 1 / its squared length; the number
+# of points it is sampled with (0: none, every point of it counts); the full radius.
+STRIP = ["osm_id", "iz", "first", "last", "west", "north", "ex", "ey", "inverse", "samples", "radius"]
 
-    Segments are cut into mask rows first, and these are spread, then cut into cells.
-    Within a mask row only the stretch of the segment that comes within reach is
-    widened, so a long slanted segment does not fill its whole box.  Every value
-    has a column of its own, so nothing is computed twice."""
-    width, height = mask_size(world)
-    west, north = world.world_min
-    ex, ey = F.col("ex"), F.col("ey")
+
+def _segment_strips(pieces: DataFrame, world: WorldConfig) -> DataFrame:
+    """Strips around segments ``osm_id, ax, ay, bx, by, radius, samples``, within radius + blend distance.
+
+    Only the stretch of the segment that comes within reach of a mask row is
+    widened, so a long slanted segment does not fill its whole box."""
+    ex, ey, reach = F.col("ex"), F.col("ey"), F.col("reach")
     one, zero = F.lit(1.0), F.lit(0.0)
-    stepped = pieces.select("*", (F.col("bx") - F.col("ax")).alias("ex"), (F.col("by") - F.col("ay")).alias("ey"))
-    stepped = stepped.select("*", (ex * ex + ey * ey).alias("square"))
-    rows = _expand(
-        stepped, "iz", F.least("ay", "by") - F.col("reach"), F.greatest("ay", "by") + F.col("reach"), north, height, world
-    ).select("*", _cell_z(F.col("iz"), world).alias("z"))
-    # Shares of the segment inside the strip z +- reach; a level segment is inside as a whole.
+    stepped = pieces.select(
+        "*", (F.col("bx") - F.col("ax")).alias("ex"), (F.col("by") - F.col("ay")).alias("ey"),
+        (F.greatest(F.col("radius"), zero) + F.lit(float(world.blend_distance))).alias("reach"),
+    )
+    rows = _rows(stepped, F.least("ay", "by") - reach, F.greatest("ay", "by") + reach, world)
+    # Shares of the segment inside the row's z +- reach; a level segment is inside as a whole.
     steep = F.abs(ey) > F.lit(1e-9)
     share = lambda edge: clamp((edge - F.col("ay")) / ey, zero, one)
     rows = rows.select(
-        "*", F.when(steep, share(F.col("z") - F.col("reach"))).otherwise(zero).alias("s1"),
-        F.when(steep, share(F.col("z") + F.col("reach"))).otherwise(one).alias("s2"),
+        "*", F.when(steep, share(F.col("z") - reach)).otherwise(zero).alias("s1"),
+        F.when(steep, share(F.col("z") + reach)).otherwise(one).alias("s2"),
     )
     rows = rows.select("*", (F.col("ax") + F.col("s1") * ex).alias("x1"), (F.col("ax") + F.col("s2") * ex).alias("x2"))
-    # The number of tasks is given outright: these rows are few but grow into many cells.
-    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartition(tasks, "iz", "osm_id")
-    cells = _expand(
-        spread, "ix", F.least("x1", "x2") - F.col("reach"), F.greatest("x1", "x2") + F.col("reach"), west, width, world
-    ).select("*", _cell_x(F.col("ix"), world).alias("x"))
-    along = (F.col("x") - F.col("ax")) * ex + (F.col("z") - F.col("ay")) * ey
-    return cells.select(
-        "*", F.when(F.col("square") > zero, clamp(along / F.col("square"), zero, one)).otherwise(zero).alias("foot")
+    west = world.world_min[0]
+    square = ex * ex + ey * ey
+    return rows.select(
+        "osm_id", "iz",
+        *_clip(
+            _below(F.least("x1", "x2") - reach, west, world), _above(F.greatest("x1", "x2") + reach, west, world),
+            mask_size(world)[0],
+        ),
+        (F.lit(float(west)) - F.col("ax")).alias("west"), (F.col("z") - F.col("ay")).alias("north"), "ex", "ey",
+        F.when(square > zero, one / square).otherwise(zero).alias("inverse"), "samples", "radius",
+    ).where("first <= last")
+
+
+def _span_strips(spans: DataFrame, world: WorldConfig) -> DataFrame:
+    """Strips of the cells at x_from <= x < x_to of each ``osm_id, iz``: full weight, decided by the
+    cell's own place and not by the division that finds the range."""
+    west = world.world_min[0]
+    low, high = F.col("low"), F.col("high")
+    at = lambda index: _cell_x(index, world)
+    found = spans.select(
+        "*", _below(F.col("x_from"), west, world).alias("low"), _above(F.col("x_to"), west, world).alias("high")
     )
+    first = low + F.when(at(low) >= F.col("x_from"), 0).when(at(low + 1) >= F.col("x_from"), 1).otherwise(2)
+    last = high - F.when(at(high) < F.col("x_to"), 0).when(at(high - 1) < F.col("x_to"), 1).otherwise(2)
+    none = F.lit(0.0)
+    return found.select(
+        "osm_id", "iz", *_clip(first, last, mask_size(world)[0]),
+        none.alias("west"), none.alias("north"), none.alias("ex"), none.alias("ey"), none.alias("inverse"),
+        none.alias("samples"), F.lit(1e300).alias("radius"),
+    ).where("first <= last")
 
 
-def polygon_cells(polygons: DataFrame, world: WorldConfig) -> DataFrame:
-    """osm_id, ix, iz, weight for ``osm_id, shape`` rings of at least three points.
+def polygon_strips(polygons: DataFrame, world: WorldConfig) -> DataFrame:
+    """Strips of ``osm_id, shape`` rings of at least three points.
 
     Inside: each side gives one crossing per mask row it spans; between the odd
     and the even crossing of a row all cells are inside, as in ray casting.
-    Around: cells within the blend distance of a side.
-    A cell may come more than once; its highest weight counts."""
-    width, height = mask_size(world)
-    west, north = (float(v) for v in world.world_min)
+    Around: cells within the blend distance of a side."""
     sides = polygons.where(F.size("shape") >= 3).select(
         "osm_id", F.inline(shapes.ring_segments(F.col("shape"))).alias("p", "q")
     ).select(
         "osm_id", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by")
     )
     crossing = (
-        _expand(sides, "iz", F.least("ay", "by"), F.greatest("ay", "by"), north, height, world)
-        .select("*", _cell_z(F.col("iz"), world).alias("z"))
+        _rows(sides, F.least("ay", "by"), F.greatest("ay", "by"), world)
         .where((F.col("ay") > F.col("z")) != (F.col("by") > F.col("z")))
         .select(
             "osm_id", "iz",
@@ -135,52 +164,56 @@ def polygon_cells(polygons: DataFrame, world: WorldConfig) -> DataFrame:
             lambda k: record(x_from=F.get("at", k * 2), x_to=F.get("at", k * 2 + 1)),
         )).alias("x_from", "x_to"),
     )
-    inside = (
-        _expand(spans, "ix", F.col("x_from"), F.col("x_to"), west, width, world)
-        .select("*", _cell_x(F.col("ix"), world).alias("x"))
-        .where("x >= x_from and x < x_to")
-        .select("osm_id", "ix", "iz", F.lit(1.0).alias("weight"))
-    )
     # Sides shorter than a centimetre are left out of the distance, as their ends belong to other sides.
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    around = _band_cells(
-        sides.where(dx * dx + dy * dy >= F.lit(1e-4)).withColumn("reach", F.lit(float(world.blend_distance))), world
+    long_sides = sides.where(dx * dx + dy * dy >= F.lit(1e-4)).select(
+        "*", F.lit(0.0).alias("radius"), F.lit(0.0).alias("samples")
     )
-    foot = F.col("foot")
-    away = norm(F.col("x") - (F.col("ax") + F.col("ex") * foot), F.col("z") - (F.col("ay") + F.col("ey") * foot))
-    band = around.select("osm_id", "ix", "iz", away.alias("away")).select(
-        "osm_id", "ix", "iz", _eased(F.col("away"), F.lit(0.0), world.blend_distance).alias("weight")
-    ).where("weight > 0")
-    return inside.unionByName(band)
+    return _span_strips(spans, world).unionByName(_segment_strips(long_sides, world))
 
 
-def line_cells(lines: DataFrame, world: WorldConfig) -> DataFrame:
-    """osm_id, ix, iz, weight for ``osm_id, shape, width`` polylines.
+def line_strips(lines: DataFrame, world: WorldConfig) -> DataFrame:
+    """Strips of ``osm_id, shape, width`` polylines.
 
     A line is a chain of points half a mask cell apart (at least three per
     segment), each levelling its surroundings.  The nearest such point of a cell
-    is one of the two next to its foot on the segment, so they need not be listed."""
+    is the one nearest to its foot on the segment, so they need not be listed."""
     pieces = lines.select(
         "osm_id", (F.col("width") * F.lit(0.5) + F.lit(float(world.flatten_radius))).alias("radius"),
         F.inline(shapes.segments(F.col("shape"))).alias("p", "q"),
     ).select(
         "osm_id", "radius", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by")
     )
-    reach = F.greatest(F.col("radius"), F.lit(0.0)) + F.lit(float(world.blend_distance))
-    cells = _band_cells(pieces.withColumn("reach", reach), world)
-    steps = F.greatest(F.floor(F.sqrt("square") / F.lit(world.mask_cell * 0.5)), F.lit(2))
-    marked = cells.select("*", steps.alias("steps")).select("*", F.floor(F.col("foot") * F.col("steps")).alias("before"))
-    marked = marked.select(
-        "*", (F.col("before") / F.col("steps")).alias("t1"),
-        (F.least(F.col("before") + 1, F.col("steps")) / F.col("steps")).alias("t2"),
+    length = norm(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    samples = F.greatest(F.floor(length / F.lit(world.mask_cell * 0.5)), F.lit(2)).cast("double")
+    return _segment_strips(pieces.select("*", samples.alias("samples")), world)
+
+
+def paint(strips: DataFrame, world: WorldConfig) -> DataFrame:
+    """osm_id, ix, iz, weight of the cells of strips; a cell comes once per strip that reaches it.
+
+    Strips travel by mask row, so that the pieces of a cell meet before cells are
+    combined, and by a salt of feature and place, so that a crowded row is shared
+    by several tasks.  The number of tasks is given outright: strips are few
+    but grow into many cells."""
+    tasks = int(strips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = strips.select(*STRIP).repartition(tasks, F.col("iz"), F.pmod(F.hash("osm_id", "first"), F.lit(8)))
+    cell = F.lit(world.mask_cell)
+    cells = spread.select(
+        *[c for c in STRIP if c not in ("first", "last")], F.explode(F.sequence("first", "last")).alias("ix")
     )
-    away = lambda t: norm(
-        F.col("x") - (F.col("ax") + F.col("ex") * F.col(t)), F.col("z") - (F.col("ay") + F.col("ey") * F.col(t))
+    cells = cells.select("*", (F.col("west") + F.col("ix") * cell).alias("x"))
+    foot = (F.col("x") * F.col("ex") + F.col("north") * F.col("ey")) * F.col("inverse")
+    cells = cells.select("*", clamp(foot, F.lit(0.0), F.lit(1.0)).alias("foot"))
+    nearest = F.floor(F.col("foot") * F.col("samples") + F.lit(0.5)) / F.col("samples")
+    cells = cells.select("*", F.when(F.col("samples") > F.lit(0.0), nearest).otherwise(F.col("foot")).alias("t"))
+    away = norm(F.col("x") - F.col("ex") * F.col("t"), F.col("north") - F.col("ey") * F.col("t"))
+    falloff = F.lit(float(world.blend_distance))
+    beyond = cells.select("osm_id", "ix", "iz", ((away - F.col("radius")) / falloff).alias("beyond")).where("beyond < 1")
+    eased = F.lit(1.0) - smoothstep(F.col("beyond"))
+    return beyond.select(
+        "osm_id", "ix", "iz", F.when(F.col("beyond") <= F.lit(0.0), F.lit(1.0)).otherwise(eased).alias("weight")
     )
-    found = marked.select("osm_id", "ix", "iz", "radius", away("t1").alias("d1"), away("t2").alias("d2"))
-    return found.select("osm_id", "ix", "iz", "radius", F.least("d1", "d2").alias("away")).select(
-        "osm_id", "ix", "iz", _eased(F.col("away"), F.col("radius"), world.blend_distance).alias("weight")
-    ).where("weight > 0")
 
 
 def blend(pieces: DataFrame, *keys: str) -> DataFrame:
@@ -196,7 +229,7 @@ def flatten_mask(roads: DataFrame, buildings: DataFrame, areas: DataFrame, world
         areas.where(F.col("type") != "Water").select("osm_id", F.col("polygon").alias("shape"))
     )
     lines = roads.select("osm_id", F.col("polyline").alias("shape"), "width")
-    return blend(polygon_cells(rings, world).unionByName(line_cells(lines, world)))
+    return blend(paint(polygon_strips(rings, world).unionByName(line_strips(lines, world)), world))
 
 
 def _corner_weights(mask: DataFrame, width: int, height: int) -> DataFrame:

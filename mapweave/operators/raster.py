@@ -124,17 +124,19 @@ def with_neighbours(cells: DataFrame, width: int, height: int, diagonal: bool =
         keys = [*GRID, "bx", "bz"]
         own = (F.floor(F.col("ix") / BLOCK) == F.col("bx")) & (F.floor(F.col("iz") / BLOCK) == F.col("bz"))
 
-    def beside(value: str, along: str, across: str, by: int) -> Column:
-        """The value ``by`` cells on along one index, NULL when that cell is missing."""
+    def both_sides(df: DataFrame, along: str, across: str, before: str, after: str, *more: str) -> DataFrame:
+        """Add the values of the cells before and after along one index, NULL where a cell is missing."""
         window = Window.partitionBy(*keys).orderBy(across, along)
-        other = F.lag(F.struct(along, across, value), -by).over(window)
-        return F.when((other[along] == F.col(along) + by) & (other[across] == F.col(across)), other[value])
+        seen = F.struct(along, across, "h", *more)
+        moved = df.select("*", F.lag(seen).over(window).alias("__b"), F.lead(seen).over(window).alias("__a"))
+        beside = lambda side, by: (F.col(f"{side}.{along}") == F.col(along) + by) & (F.col(f"{side}.{across}") == F.col(across))
+        return moved.select(
+            *df.columns, F.when(beside("__b", -1), F.col("__b.h")).alias(before), F.when(beside("__a", 1), F.col("__a.h")).alias(after),
+            *[F.when(beside("__a", 1), F.col(f"__a.{m}")).alias(f"{m}u") for m in more],
+        )
 
-    found = placed.select("*", beside("h", "ix", "iz", -1).alias("hl"), beside("h", "ix", "iz", 1).alias("hr"))
-    extra = [beside("hr", "iz", "ix", 1).alias("hru")] if diagonal else []
-    found = found.select(
-        "*", beside("h", "iz", "ix", -1).alias("hd"), beside("h", "iz", "ix", 1).alias("hu"), *extra
-    )
+    found = both_sides(placed, "ix", "iz", "hl", "hr")
+    found = both_sides(found, "iz", "ix", "hd", "hu", *(["hr"] if diagonal else []))
     return found.where(own).select(*kept, "hl", "hr", "hd", "hu", *(["hru"] if diagonal else []))
 
 

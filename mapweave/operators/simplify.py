@@ -6,49 +6,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.shapes import SHAPE_TYPE
 
 
-def _simplifier(tolerance: float):
-    """Arrow-batched function over shapes; each shape is one feature's own point list."""
-    def keep(shape):
+def _kept_points(tolerance: float):
+    """Arrow-batched function from the coordinates of shapes to the numbers of the points kept."""
+
+    def kept(x, y):
         import numpy as np
 
-        n = len(shape)
+        n = len(x)
         if n < 3:
-            return list(shape)
-        xy = np.array([(p["x"], p["y"]) for p in shape], dtype="float64")
-        kept = np.zeros(n, dtype=bool)
-        kept[[0, n - 1]] = True
-        open_spans = [(0, n - 1)]
-        while open_spans:
-            low, high = open_spans.pop()
+            return list(range(n))
+        keep = np.zeros(n, dtype=bool)
+        keep[[0, n - 1]] = True
+        spans = [(0, n - 1)]
+        while spans:
+            low, high = spans.pop()
             if high - low < 2:
                 continue
-            start, line, inner = xy[low], xy[high] - xy[low], xy[low + 1 : high]
-            square = float(line @ line)
-            if square < 1e-10:
-                nearest = start
-            else:
-                nearest = start + np.clip((inner - start) @ line / square, 0.0, 1.0)[:, None] * line
-            away = np.sqrt(((inner - nearest) ** 2).sum(axis=1))
+            px, py = x[low + 1 : high] - x[low], y[low + 1 : high] - y[low]
+            lx, ly = x[high] - x[low], y[high] - y[low]
+            square = lx * lx + ly * ly
+            t = np.clip((px * lx + py * ly) / square, 0.0, 1.0) if square >= 1e-10 else 0.0
+            away = np.sqrt((px - t * lx) ** 2 + (py - t * ly) ** 2)
             worst = int(away.argmax())
             if away[worst] > tolerance:
                 middle = low + 1 + worst
-                kept[middle] = True
-                open_spans += [(low, middle), (middle, high)]
-        return [p for p, k in zip(shape, kept) if k]
+                keep[middle] = True
+                spans += [(low, middle), (middle, high)]
+        return np.flatnonzero(keep).tolist()
 
-    @F.pandas_udf(SHAPE_TYPE)
-    def simplified(shapes: pd.Series) -> pd.Series:
-        return shapes.map(keep)
+    @F.pandas_udf("array<int>")
+    def numbers(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([kept(x, y) for x, y in zip(xs, ys)])
 
-    return simplified
+    return numbers
 
 
 def simplify(features: DataFrame, shape: str, tolerance: float) -> DataFrame:
     """Replace ``shape`` by its simplified form: points no farther than ``tolerance`` are dropped.
 
-    The split rule is recursive and has no built-in form, so this is a pandas
-    function per Arrow batch.  It needs no shuffle: a shape lives in its row."""
-    return features.withColumn(shape, _simplifier(tolerance)(F.col(shape)))
+    The split rule is recursive and has no built-in form, so a pandas function
+    decides per Arrow batch which points stay; the coordinates go as plain number
+    lists.  It needs no shuffle: a shape lives in its row."""
+    x, y = F.col(shape)["x"], F.col(shape)["y"]
+    numbered = features.withColumn("__kept", _kept_points(tolerance)(x, y))
+    picked = F.transform("__kept", lambda k: F.get(shape, k))
+    return numbered.withColumn(shape, picked).drop("__kept")
