@@ -465,8 +465,14 @@ def jon6_near_pairs(spark, sf):
     return pairs
 
 
+_WORLDS: dict[tuple[str, str], WorldConfig] = {}
+
+
 def _world(spark, sf, terrain: TerrainConfig = TERRAIN) -> WorldConfig:
-    return terrain_world.fitted_world(_boxes(spark, sf), WorldConfig(terrain=terrain))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WORLDS:
+        _WORLDS[key] = terrain_world.fitted_world(_boxes(spark, sf), WorldConfig())
+    return replace(_WORLDS[key], terrain=terrain)
 
 
 def _rings(spark, sf) -> DataFrame:

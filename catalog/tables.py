@@ -94,6 +94,7 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
+_IMPORTED: dict[tuple[str, str], MapTables] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
@@ -108,6 +109,13 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
 
 def imported(spark: SparkSession, sf_dir: str) -> MapTables:
     """The whole map: nodes and ways stored, then resolved once, then each kind of feature stored."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _IMPORTED:
+        _IMPORTED[key] = _import(spark, sf_dir)
+    return _IMPORTED[key]
+
+
+def _import(spark: SparkSession, sf_dir: str) -> MapTables:
     lazy = import_map(node_table(spark, sf_dir), way_table(spark, sf_dir))
     shaped = stored(spark, sf_dir, "shaped", lambda: lazy.shaped)
     ways = way_table(spark, sf_dir)
