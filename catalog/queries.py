@@ -1002,7 +1002,7 @@ def rst10_slope(spark, sf):
 
 @query
 def rst11_relative_height(spark, sf):
-    return raster.with_relative_height(_cells(spark, sf)).select("cx", "cz", "ix", "iz", r("rel", 4).alias("rel"))
+    return raster.with_relative_height(_cells(spark, sf), TERRAIN).select("cx", "cz", "ix", "iz", r("rel", 4).alias("rel"))
 
 
 def _coloured(mode: str):

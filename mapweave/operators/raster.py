@@ -198,12 +198,20 @@ def with_normals(cells: DataFrame, config: TerrainConfig, step_x: float, step_z:
     ).withColumn("slope", F.degrees(F.acos(clamp(F.col("ny"), F.lit(-1.0), F.lit(1.0)))))
 
 
-def with_relative_height(cells: DataFrame) -> DataFrame:
-    """Add ``rel``: height between the lowest (0) and highest (1) cell of its chunk."""
-    limits = height_range(cells, *GRID)
+def with_relative_height(cells: DataFrame, config: TerrainConfig) -> DataFrame:
+    """Add ``rel``: height between the lowest (0) and highest (1) cell of its chunk.
+
+    Chunks of at most BLOCK x BLOCK cells take their range from a window over the
+    chunk, which keeps the partitioning and computes the cells once.  A larger
+    grid is no group for one task: its range is aggregated and joined back."""
+    if config.resolution_x <= BLOCK and config.resolution_z <= BLOCK:
+        chunk = Window.partitionBy(*GRID)
+        ranged = cells.select("*", F.min("h").over(chunk).alias("min_h"), F.max("h").over(chunk).alias("max_h"))
+    else:
+        ranged = cells.join(height_range(cells, *GRID), GRID)
     spread = F.col("max_h") - F.col("min_h")
     rel = (F.col("h") - F.col("min_h")) / F.when(spread < F.lit(1e-3), F.lit(1.0)).otherwise(spread)
-    return cells.join(limits, GRID).withColumn("rel", rel).drop("min_h", "max_h")
+    return ranged.withColumn("rel", rel).drop("min_h", "max_h")
 
 
 def _by_height(rel: Column, s: SurfaceConfig) -> Column:
@@ -257,7 +265,7 @@ def surface_vertices(
     column; it may be a column expression or a pandas function."""
     shaded = with_normals(cells, config, step_x, step_z)
     if colour is None:
-        shaded = with_relative_height(shaded)
+        shaded = with_relative_height(shaded, config)
         painted = surface_colour(F.col("h"), F.col("slope"), F.col("rel"), surface)
     else:
         painted = colour(F.col("x"), F.col("z"), F.col("h"), F.col("slope"))

@@ -11,30 +11,30 @@ from pyspark.sql import functions as F
 def _kept_points(tolerance: float):
     """Arrow-batched function from the coordinates of shapes to the numbers of the points kept."""
 
-    def kept(x, y):
+    def deviations(x, y, low, high):
+        """Distance of every point between two kept points from the segment they span."""
         import numpy as np
 
+        lx, ly = x[high] - x[low], y[high] - y[low]
+        square = lx * lx + ly * ly
+        px, py = x[low + 1 : high] - x[low], y[low + 1 : high] - y[low]
+        t = np.clip((px * lx + py * ly) / square, 0.0, 1.0) if square >= 1e-10 else 0.0
+        return np.hypot(px - t * lx, py - t * ly)
+
+    def kept(x, y):
         n = len(x)
-        if n < 3:
-            return list(range(n))
-        keep = np.zeros(n, dtype=bool)
-        keep[[0, n - 1]] = True
-        spans = [(0, n - 1)]
+        found, spans = {0, n - 1} if n else set(), [(0, n - 1)]
         while spans:
             low, high = spans.pop()
             if high - low < 2:
                 continue
-            px, py = x[low + 1 : high] - x[low], y[low + 1 : high] - y[low]
-            lx, ly = x[high] - x[low], y[high] - y[low]
-            square = lx * lx + ly * ly
-            t = np.clip((px * lx + py * ly) / square, 0.0, 1.0) if square >= 1e-10 else 0.0
-            away = np.sqrt((px - t * lx) ** 2 + (py - t * ly) ** 2)
+            away = deviations(x, y, low, high)
             worst = int(away.argmax())
             if away[worst] > tolerance:
                 middle = low + 1 + worst
-                keep[middle] = True
+                found.add(middle)
                 spans += [(low, middle), (middle, high)]
-        return np.flatnonzero(keep).tolist()
+        return sorted(found)
 
     @F.pandas_udf("array<int>")
     def numbers(xs: pd.Series, ys: pd.Series) -> pd.Series:
