@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import arrow_sequences
+from mapweave.llm import arrow_sequences, packing
 from mapweave.llm.common import table
 from mapweave.session import scratch_path
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "sequences")
     manifest = arrow_sequences.write_sequences(table(spark, sf_dir, "documents"), folder)
     return arrow_sequences.read_documents(manifest, folder)
 
 
-QUERIES = {f.__name__: f for f in (op5_arrow_sequences,)}
+QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_arrow_sequences)}
 ORACLE: dict[str, str] = {}
