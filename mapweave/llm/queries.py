@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import arrow_sequences, packing
+from mapweave.llm import arrow_sequences, language_id, packing
 from mapweave.llm.common import table
 from mapweave.session import scratch_path
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -19,5 +23,5 @@ def op5_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_sequences.read_documents(manifest, folder)
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_arrow_sequences)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_arrow_sequences)}
 ORACLE: dict[str, str] = {}
