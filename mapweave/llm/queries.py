@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import arrow_sequences, language_id, packing
+from mapweave.llm import arrow_sequences, language_id, packing, toxicity
 from mapweave.llm.common import table
 from mapweave.session import scratch_path
 
@@ -23,5 +23,9 @@ def op5_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_sequences.read_documents(manifest, folder)
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_arrow_sequences)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_arrow_sequences, op8_toxicity)}
 ORACLE: dict[str, str] = {}

@@ -67,11 +67,11 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(at[-1] - at[0]), int(at[0])), at - at[0]
 
 
-def bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bounds(data: np.ndarray, at: np.ndarray, of_word: np.ndarray = ~_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word in the bytes, and the number of the first word of each text (one more at the end)."""
     if len(data) == 0:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(at), np.int64)
-    inside = ~_SPACE[data]
+    inside = of_word[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[at] = True
     begin = inside.copy()
