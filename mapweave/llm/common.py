@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +40,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def remainder(key: str, by: int) -> F.Column:
     """crc32 of the key's text modulo a number; a null key counts as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
+
+
+SLOTS = 1 << 24
+
+
+def slots_of(values: DataFrame, column: str, slots: int = SLOTS) -> np.ndarray:
+    """One bit per slot that a value (long) of the column falls in: slots / 8 bytes on the driver, whatever the input."""
+    place = values.select((F.pmod(F.col(column), F.lit(slots)) + 1).alias("s"))
+    rows = place.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect()
+    out = np.zeros(max(slots // 8, 4096), np.uint8)
+    for r in rows:
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def in_slots(bits: np.ndarray, values: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """Whether each value (int64 or uint64) may be one of those the bits were made of."""
+    s = values.view(np.int64) & (slots - 1)
+    return (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import arrow_sequences, language_id, packing, toxicity
+from mapweave.llm import arrow_sequences, language_id, ngram_join, packing, toxicity
 from mapweave.llm.common import table
 from mapweave.session import scratch_path
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -27,5 +31,26 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_arrow_sequences, op8_toxicity)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_language_id, op4_best_fit_packing, op5_arrow_sequences, op8_toxicity)}
+# Five-word sets, links by whole-number arithmetic, and the smallest id reachable.
+_WORDS = """
+list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')
+"""
+OP2_SQL = f"""
+with recursive w as (select doc_id, {_WORDS} as w from documents),
+s as materialized (
+  select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i+4], ' ') end as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+k as materialized (select doc_id, md5(string_agg(g, '|' order by g)) as k from s group by doc_id),
+r as materialized (select min(doc_id) as rep, k from k group by k),
+o as (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y on x.g = y.g and x.doc_id < y.doc_id
+  where x.doc_id in (select rep from r) and y.doc_id in (select rep from r) group by all),
+l as materialized (select a, b from o join n p on p.doc_id = a join n q on q.doc_id = b where 100 * shared >= 80 * (p.n + q.n - shared)),
+e as materialized (select a, b from l union select b, a from l),
+reach(a, b) as (select rep, rep from r union select reach.a, e.b from reach join e on e.a = reach.b),
+c as (select a, min(b) as c from reach group by a)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.c, w.doc_id) as component_id
+from w left join n using (doc_id) left join k using (doc_id) left join r on r.k = k.k left join c on c.a = r.rep
+"""
+ORACLE: dict[str, str] = {"op2_ngram_join": OP2_SQL}
