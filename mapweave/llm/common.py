@@ -42,6 +42,11 @@ def remainder(key: str, by: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by
 
 
+def row_key() -> F.Column:
+    """A number per (doc_id, text); rows that repeat both share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 SLOTS = 1 << 24
 
 
