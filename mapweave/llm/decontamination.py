@@ -3,7 +3,8 @@
 A mask is laid over a window of words; the words at its zeros are ignored, the others are hashed.  Windows of a training text and of a
 benchmark item with equal hashes give a diagonal (place in the text minus place in the item).  Along each diagonal the
 longest stretch in which at least ``PERCENT`` of the words agree is measured; it is an overlap from ``TOKENS`` words on, or
-from the item's length where that is less.  Words are runs of letters, digits and bytes beyond ASCII, A-Z lower-cased.
+from the item's length where that is less.  Words are runs of letters, digits and bytes beyond ASCII; A-Z and the capitals
+of Latin-1 are lower-cased.
 
 A bit table of the benchmark's hashes (2 MB, whatever the benchmark's size) spares the join those windows of training
 texts that cannot match; what passes is joined exactly.
@@ -37,6 +38,8 @@ SPAN = max(map(len, MASKS))
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, at = buffer_of(texts)
+    upper = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
+    data = np.concatenate([data[:1], data[1:] + (upper.astype(np.uint8) << 5)])
     begins, ends, first = bounds(data, at, _WORD)
     return hashes(data, begins, ends), first
 

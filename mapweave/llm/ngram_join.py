@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import in_slots, slots_of, stored
+from mapweave.llm.common import in_slots, row_key, slots_of, stored
 from mapweave.llm.components import components
 from mapweave.llm.words import mix, pieces, word_hashes
 
@@ -107,7 +107,7 @@ def _sets(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, words: int, pe
                 firsts.append(np.concatenate([s[~late], s[late]])[:need].view(np.int64))
             at = np.concatenate([[0], np.cumsum([len(x) for x in firsts])])
             yield pa.record_batch({
-                "doc_id": piece.column("doc_id"), "node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary()),
+                "doc_id": piece.column("doc_id"), "row": piece.column("row"), "node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary()),
                 "firsts": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts]))),
             })
 
@@ -143,14 +143,15 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row per row of docs (doc_id, text): doc_id, n_shingles, component_id.
+    """A row per row of docs (doc_id, text): doc_id, n_shingles, component_id, class_id (of the sets alone; null for the
+    empty set) and row (xxhash64 of doc_id and text).
 
     Defined cases: a null text, or one without words, is linked with nothing and is its own class; rows with equal sets,
     repeated rows and repeated ids among them, are in one class; a class is named by its smallest doc_id that is not
     null; an empty table gives no rows; other columns are ignored."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
     crowded = crowded_slots(texts.select("text"), words)
-    kind = "doc_id long, node long, size long, bits binary, firsts array<long>"
+    kind = "doc_id long, row long, node long, size long, bits binary, firsts array<long>"
     sets = stored(texts.mapInArrow(partial(_sets, crowded=crowded, words=words, percent=percent), kind), "sets")
     nodes = stored(sets.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "nodes")
 
@@ -190,8 +191,17 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
     labels = sets.where("size > 0").select("node", "doc_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = final.join(least, "component").select("node", "component_id")
-    alone = nodes.select("node", "doc_id")
-    named_nodes = alone.join(of_node, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return sets.select("doc_id", F.col("size").alias("n_shingles"), "node").join(named_nodes, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_node = final.join(least, "component").select("node", "component_id", "component")
+    named_nodes = nodes.select("node", "doc_id").join(of_node, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "node").alias("class_id"))
+    out = sets.select("doc_id", F.col("size").alias("n_shingles"), "node", "row").join(named_nodes, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "class_id", "row")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest doc_id; rows with an empty set all stay."""
+    found = stored(join(docs, words, percent), "classes")
+    kept = found.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("v")).select(F.col("v.row").alias("_row"))
+    keyed = docs.withColumn("_row", row_key())
+    empty = found.where("class_id is null").select(F.col("row").alias("_row")).distinct()
+    one = keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
+    return one.union(keyed.join(empty, "_row", "left_semi")).select(*docs.columns)
