@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import arrow_sequences, decontamination, language_id, ngram_join, packing, toxicity
+from mapweave.llm import arrow_sequences, decontamination, language_id, ngram_join, packing, toxicity, vector_dedup
 from mapweave.llm.common import table
 from mapweave.session import scratch_path
 
@@ -31,11 +31,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_language_id, op4_best_fit_packing, op5_arrow_sequences, op6_decontamination, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_language_id, op4_best_fit_packing, op5_arrow_sequences, op6_decontamination, op7_vector_dedup, op8_toxicity)}
 # Five-word sets, links by whole-number arithmetic, and the smallest id reachable.
 _WORDS = """
 list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')
