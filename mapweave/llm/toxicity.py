@@ -27,18 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import remainder, stored
+from mapweave.llm.common import in_slots, remainder, slots_of, stored
 from mapweave.llm.words import FOLDED, bounds, buffer_of, hashes, mix, pieces
 
 MAX_FEATURES = 4000
-SAMPLE = 20_000  # training rows the regression is fitted on, those with the smallest crc32 of their id
+SAMPLE = 20_000  # training rows the regression is fitted on, about; those with the smallest hashes of their ids
 MIN_DOCS = 3
 BEGINNINGS = (4, 5, 6, 7, 8)
 SYMBOLS = 28  # gap, a-z, any other letter
 
 #: Look-alike signs and the letters they stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-KEEP, SWAP, REPEAT, DROP = math.log(0.9), math.log(0.05), math.log(0.3), math.log(0.2)
+KEEP, SWAP, DROP = math.log(0.9), math.log(0.05), math.log(0.2)
+REPEAT, DOUBLE = math.log(0.3), math.log(0.002)  # a letter said again, in a run of three or more and in a double letter
+GAP, STRAY = math.log(0.5), math.log(0.0003)  # a gap shown by a sign like no letter, and by a look-alike sign
 
 _LETTER_BYTE = np.zeros(256, bool)
 _LETTER_BYTE[65:91] = _LETTER_BYTE[97:123] = _LETTER_BYTE[128:] = True
@@ -102,7 +104,10 @@ def restore(span: str, model: np.ndarray, separators: str = "") -> str:
     """The likeliest letters behind one span: Viterbi over the lattice, a state being the last two letters."""
     # state: (symbol before last, last symbol, last seen sign) -> (log probability, text so far)
     states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
-    for sign in span.lower():
+    low = span.lower()
+    runs = {i for m in re.finditer(r"(.)\1\1+", low, re.DOTALL) for i in range(*m.span())}
+    for i, sign in enumerate(low):
+        again = REPEAT if i in runs else DOUBLE
         new: dict[tuple[int, int, str], tuple[float, str]] = {}
 
         def offer(key: tuple[int, int, str], value: float, text: str) -> None:
@@ -117,16 +122,17 @@ def restore(span: str, model: np.ndarray, separators: str = "") -> str:
             if own:
                 offer((b, own, sign), value + KEEP + model[a, b, own], text + sign)
                 if sign == last:
-                    offer((a, b, last), value + REPEAT, text)
+                    offer((a, b, last), value + again, text)
                 continue
             for letter in LOOKALIKES.get(sign, ""):
                 k = _symbol(letter)
                 offer((b, k, sign), value + SWAP + model[a, b, k], text + letter)
             if sign == last:
-                offer((a, b, last), value + REPEAT, text)
+                offer((a, b, last), value + again, text)
             # The sign means itself: a gap between words.
             gap = model[a, b, 0] if b else 0.0
-            offer((b if b else a, 0, sign), value + KEEP + gap, text + " " if b else text)
+            own_gap = STRAY if sign in LOOKALIKES else GAP
+            offer((b if b else a, 0, sign), value + own_gap + gap, text + " " if b else text)
         states = new
     return max((value + (model[a, b, 0] if b else 0.0), text) for (a, b, _), (value, text) in states.items())[1].strip()
 
@@ -261,11 +267,24 @@ def _fit(rows: list[list[int]], toxic: np.ndarray, n: int, rounds: int = 400) ->
     return w, bias
 
 
+def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, text and toxic of the labelled documents.  A bit table of their ids, 2 MB whatever their number, keeps most
+    other texts out of the shuffle; the join is exact."""
+    bits = slots_of(known, "doc_id")
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_slots(bits, batch.column("doc_id").to_numpy())))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    return texts.mapInArrow(maybe, "doc_id long, text string").join(known.hint("merge"), "doc_id")
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Letters from all docs (doc_id, text); labels (doc_id, toxic) only where crc32(doc_id) mod 5 is not 0."""
     model = Model(letter_model(letter_counts(docs)))
-    known = labels.where("toxic is not null and doc_id is not null").where(remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, "doc_id").where("text is not null")
+    known = labels.where("toxic is not null and doc_id is not null").where(remainder("doc_id", 5) != 0).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    labelled = stored(_labelled(docs, known), "labelled")
     counts = stored(feature_counts(labelled, model.letters).where(f"ones >= {MIN_DOCS}"), "features")
     total = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("ones")).first()
     if not total["ones"] or total["ones"] == total["n"]:
@@ -286,7 +305,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 at = np.searchsorted(d, np.arange(piece.num_rows + 1))
                 yield pa.record_batch({"toxic": piece.column("toxic"), "hits": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(k, pa.int32()))})
 
-    sample = labelled.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(SAMPLE) if total["n"] > SAMPLE else labelled
+    share = min(1.0, SAMPLE / total["n"])
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = sample.select("text", "toxic").mapInArrow(seen, "toxic int, hits array<int>").collect()
     if rows:
         model.weights, model.bias = _fit([r["hits"] for r in rows], np.array([r["toxic"] for r in rows], float), len(model.keys))
