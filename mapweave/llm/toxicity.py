@@ -100,7 +100,7 @@ def _symbol(c: str) -> int:
     return k if 1 <= k <= 26 else 27 if c.isalpha() else 0
 
 
-def restore(span: str, model: np.ndarray, separators: str = "") -> str:
+def restore(span: str, model: np.ndarray, separators: str = "", stray: float = STRAY) -> str:
     """The likeliest letters behind one span: Viterbi over the lattice, a state being the last two letters."""
     # state: (symbol before last, last symbol, last seen sign) -> (log probability, text so far)
     states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
@@ -131,7 +131,7 @@ def restore(span: str, model: np.ndarray, separators: str = "") -> str:
                 offer((a, b, last), value + again, text)
             # The sign means itself: a gap between words.
             gap = model[a, b, 0] if b else 0.0
-            own_gap = STRAY if sign in LOOKALIKES else GAP
+            own_gap = stray if sign in LOOKALIKES else GAP
             offer((b if b else a, 0, sign), value + own_gap + gap, text + " " if b else text)
         states = new
     return max((value + (model[a, b, 0] if b else 0.0), text) for (a, b, _), (value, text) in states.items())[1].strip()
@@ -182,7 +182,8 @@ def restored_texts(texts: pa.Array, model: np.ndarray, memory: dict[tuple[str, s
             if key not in memory:
                 if len(memory) > 200_000:
                     memory.clear()
-                memory[key] = restore(key[0], model, key[1])
+                # Also with every look-alike sign read as a letter, where a rare beginning speaks against it.
+                memory[key] = " ".join(dict.fromkeys(restore(key[0], model, key[1], x) for x in (STRAY, -50.0)))
             got.append(memory[key])
         out[i] = " ".join(got)
     return pa.array(out, pa.string())
