@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import arrow_sequences, chat_format, decontamination, language_id, ngram_join, packing, toxicity, vector_dedup
+from mapweave.llm import arrow_sequences, chat_format, decontamination, language_id, licenses, ngram_join, packing, toxicity, vector_dedup
 from mapweave.llm.common import table
 from mapweave.session import scratch_path
 
@@ -39,11 +39,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_language_id, op4_best_fit_packing, op5_arrow_sequences, op6_decontamination, op7_vector_dedup, op8_toxicity, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_language_id, op4_best_fit_packing, op5_arrow_sequences, op6_decontamination, op7_vector_dedup, op8_toxicity, op9_licenses, op10_chat_format)}
 # Five-word sets, links by whole-number arithmetic, and the smallest id reachable.
 _WORDS = """
 list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')
