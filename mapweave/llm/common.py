@@ -30,13 +30,25 @@ def tokenizer_path(name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back: lineage is cut, and a lost executor loses nothing."""
+    """Written to the shared folder and read back: lineage is cut, and a lost executor loses nothing.
+
+    The collection afterwards lets Spark's cleaner drop the shuffle files of the finished job, which otherwise stay
+    until the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by stored() that nothing will read again."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def remainder(key: str, by: int) -> F.Column:
     """crc32 of the key's text modulo a number; a null key counts as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % by

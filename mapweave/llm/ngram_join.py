@@ -6,8 +6,8 @@
 3. Two sets with similarity t or more share one of the first ``n - ceil(t * n) + 1`` n-grams.  N-grams that occur there
    in two documents or more are the keys of tiles; a tile holds the nodes of one key and one size band (sizes differ by 1 / t
    at most within two neighbouring bands).
-4. In each tile all nodes meet its smallest node, and the smallest nodes of neighbouring bands meet.  Bitmaps of 1024 parities bound
-   the overlap: each differing element turns one bit, so |A & B| <= (|A| + |B| - bits that differ) / 2.  Pairs that
+4. In each tile all nodes meet its smallest node, and the smallest nodes of neighbouring bands meet.  Bitmaps of
+   parities, about a bit per element, bound the overlap: each differing element turns one bit, so |A & B| <= (|A| + |B| - bits that differ) / 2.  Pairs that
    pass are checked exactly on sorted arrays.
 5. Pairs of one key that are not yet in one class meet too, by the same bounds and check.  So no link between classes is
    lost, while a group of copies is not expanded into all its pairs.
@@ -32,7 +32,7 @@ WORDS = 5
 PERCENT = 80
 SLOTS = 1 << 22
 BLOCK = 1 << 16
-BITS = 1024
+BITS = 1024  # in a bitmap at least, and as many as the set has elements, in powers of two
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -101,7 +101,8 @@ def _sets(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, words: int, pe
             for s in shingles(piece.column("text"), words):
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
-                bits.append(np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1).tobytes())
+                width = max(BITS, 1 << max(0, len(s) - 1).bit_length())
+                bits.append(np.packbits(np.bincount((s >> np.uint64(24)).astype(np.int64) & (width - 1), minlength=width) & 1).tobytes())
                 late = crowded[_slot(s)]
                 need = len(s) - (-(-percent * len(s) // 100)) + 1 if len(s) else 0
                 firsts.append(np.concatenate([s[~late], s[late]])[:need].view(np.int64))
@@ -115,9 +116,17 @@ def _sets(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, words: int, pe
 def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose bitmaps allow the overlap that the similarity needs."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b"))
+        raw = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b")]
+        size = np.array([[len(x) for x in r] for r in raw]).reshape(2, -1)
         total = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
-        most = (total - np.bitwise_count(a ^ b).sum(1)) // 2
+        differ = np.zeros(len(total), np.int64)
+        for key in {(x, y) for x, y in size.T.tolist()}:
+            here = np.flatnonzero((size.T == key).all(1))
+            few = [np.frombuffer(b"".join(r[i] for i in here.tolist()), np.uint64).reshape(len(here), -1) for r in raw]
+            # A wider bitmap folds to a narrower one.
+            few = [np.bitwise_xor.reduce(x.reshape(len(here), -1, min(key) // 8), axis=1) for x in few]
+            differ[here] = np.bitwise_count(few[0] ^ few[1]).sum(1)
+        most = (total - differ) // 2
         keep = (100 + percent) * most >= percent * total
         yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 

@@ -10,7 +10,7 @@ from mapweave.session import scratch_path
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"))
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
