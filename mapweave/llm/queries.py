@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import arrow_sequences, chat_format, decontamination, language_id, licenses, ngram_join, packing, toxicity, vector_dedup
+from mapweave.llm import arrow_sequences, chat_format, decontamination, katz, language_id, licenses, ngram_join, packing, toxicity, vector_dedup
 from mapweave.llm.common import table
 from mapweave.session import scratch_path
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -47,7 +51,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_language_id, op4_best_fit_packing, op5_arrow_sequences, op6_decontamination, op7_vector_dedup, op8_toxicity, op9_licenses, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_katz, op2_ngram_join, op3_language_id, op4_best_fit_packing, op5_arrow_sequences, op6_decontamination, op7_vector_dedup, op8_toxicity, op9_licenses, op10_chat_format)}
 # Five-word sets, links by whole-number arithmetic, and the smallest id reachable.
 _WORDS = """
 list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')
