@@ -32,6 +32,7 @@ WORDS = 5
 PERCENT = 80
 SLOTS = 1 << 22
 BLOCK = 1 << 16
+SHORT = 8  # 64-bit words of the bitmap that the last join carries
 BITS = 1024  # in a bitmap at least, and as many as the set has elements, in powers of two
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -97,18 +98,20 @@ def node_of(grams: np.ndarray) -> int:
 def _sets(batches: Iterator[pa.RecordBatch], crowded: np.ndarray, words: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch):
-            nodes, sizes, bits, firsts = [], [], [], []
+            nodes, sizes, bits, sigs, firsts = [], [], [], [], []
             for s in shingles(piece.column("text"), words):
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
                 width = max(BITS, 1 << max(0, len(s) - 1).bit_length())
                 bits.append(np.packbits(np.bincount((s >> np.uint64(24)).astype(np.int64) & (width - 1), minlength=width) & 1).tobytes())
+                short = np.frombuffer(bits[-1], np.uint64).reshape(-1, SHORT)
+                sigs.append(np.bitwise_xor.reduce(short, axis=0).view(np.int64))
                 late = crowded[_slot(s)]
                 need = len(s) - (-(-percent * len(s) // 100)) + 1 if len(s) else 0
                 firsts.append(np.concatenate([s[~late], s[late]])[:need].view(np.int64))
             at = np.concatenate([[0], np.cumsum([len(x) for x in firsts])])
             yield pa.record_batch({
-                "doc_id": piece.column("doc_id"), "row": piece.column("row"), "node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary()),
+                "doc_id": piece.column("doc_id"), "row": piece.column("row"), "node": pa.array(nodes, pa.int64()), "size": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary()), "sig": pa.array([x.tolist() for x in sigs], pa.list_(pa.int64())),
                 "firsts": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts]))),
             })
 
@@ -160,9 +163,9 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     null; an empty table gives no rows; other columns are ignored."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("row"))
     crowded = crowded_slots(texts.select("text"), words)
-    kind = "doc_id long, row long, node long, size long, bits binary, firsts array<long>"
+    kind = "doc_id long, row long, node long, size long, bits binary, sig array<long>, firsts array<long>"
     sets = stored(texts.mapInArrow(partial(_sets, crowded=crowded, words=words, percent=percent), kind), "sets")
-    nodes = stored(sets.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = stored(sets.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "nodes")
 
     postings = sets.where("size > 0").select(F.explode("firsts").alias("key"), "node")
     often = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -192,9 +195,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
     named = tiles.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = stored(named.join(open_keys, "key").select("key", "node", "size", "component"), "rest")
-    other = rest.selectExpr("key", "node as b", "size as size_b", "component as component_b")
-    apart = rest.join(other, "key").where(f"component <> component_b and node < b and 100 * least(size, size_b) >= {percent} * greatest(size, size_b)")
+    rest = named.join(open_keys, "key").join(nodes.select("node", "sig"), "node")
+    rest = stored(rest.select("key", "node", "size", "component", "sig"), "rest")
+    other = rest.selectExpr("key", "node as b", "size as size_b", "component as component_b", "sig as sig_b")
+    # The short bitmaps' bound is part of the join, so pairs that cannot be alike are never made.
+    differ = "aggregate(zip_with(sig, sig_b, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)"
+    possible = f"{100 + percent} * ((size + size_b - {differ}) div 2) >= {percent} * (size + size_b)"
+    apart = rest.join(other, "key").where(f"component <> component_b and node < b and 100 * least(size, size_b) >= {percent} * greatest(size, size_b) and {possible}")
     more = links(apart.selectExpr("node as a", "b"))
     final = components(found.union(more))
 
