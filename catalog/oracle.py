@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 
-from mapweave.functions.noise import permutation
 
 STEPS: dict[str, str] = {}
 ORACLE: dict[str, str] = {}
@@ -207,8 +206,9 @@ select tx, ty, gx + tx * 5e2 as min_x, 0e0 as min_y, -(gy + ty * 5e2 + 5e2) as m
 STEPS["fitted"] = "select min(min_x) - 5e2 as fx0, -max(max_z) - 5e2 as fz0, max(max_x) + 5e2 as fx1, -min(min_z) + 5e2 as fz1 from box"
 STEPS["world"] = f"select {r('fx0')} as wx0, {r('fz0')} as wz0, {r('fx1')} as wx1, {r('fz1')} as wz1 from fitted"
 STEPS["chunk"] = """
-select cx, cz from (select unnest(range(0, cast(ceil((wx1 - wx0) / 5e2) as bigint))) as cx, * from world),
-  lateral (select unnest(range(0, cast(ceil((wz1 - wz0) / 5e2) as bigint))) as cz)"""
+select cx, cz, count(*) as points from (
+  select cast(floor((x - wx0) / 5e2) as bigint) as cx, cast(floor((y - wz0) / 5e2) as bigint) as cz, * from pt, world)
+where cx >= 0 and cz >= 0 and cx < ceil((wx1 - wx0) / 5e2) and cz < ceil((wz1 - wz0) / 5e2) group by cx, cz"""
 STEPS["wcell"] = """
 select cx, cz, ix, iz, wx0 + cx * 5e2 + ix * (5e2 / 31e0) as x, wz0 + cz * 5e2 + iz * (5e2 / 31e0) as z
 from chunk, world, (select unnest(range(0, 32)) as ix), (select unnest(range(0, 32)) as iz)"""
@@ -520,11 +520,7 @@ twin("jon10_batched_triangles", " union all ".join(
     + " from b_face" + (" where x3 is not null" if half else "") for half, picks in _TRI.items()))
 twin("jon11_bad_indices", """
 select osm_id, max(face) as face, max(face) * 4 + 4 as vertex from ribbon group by osm_id""")
-twin("agg18_face_counts", """
-select tx, ty, count(distinct osm_id) as meshes, cast(sum(case when x3 is null then 1 else 2 end) as bigint) as triangles
-from b_face join bridge using (osm_id) where kind = 'building' group by tx, ty""")
-
-# Junctions: rounds of the greedy rule written out; the map settles in fewer.
+# Junctions: rounds of the greedy rule written out; a twin with places left after them fails.
 ROUNDS = 6
 
 
@@ -548,7 +544,8 @@ select {k}idx from {free} where ({k}idx) not in (
     seeds = " union all ".join(f"select * from {prefix}_seed{n}" for n in range(ROUNDS))
     STEPS[f"{prefix}_group"] = f"""
 select {k}idx, min(other) as seed from {prefix}_near join (select {k}idx as other from ({seeds})) using ({k}other)
-where other <= idx group by all"""
+where other <= idx and (select case when count(*) > 0 then error('places left after all rounds: ' || count(*)) else '' end from {prefix}_free{ROUNDS}) = ''
+group by all"""
 
 
 greedy("j", "spot", [])
@@ -562,23 +559,26 @@ select tx, ty, seed, cast(sum(ends) as bigint) as ends, sum(x * ends) / sum(ends
 from tile_spot join t_group using (tx, ty, idx) group by tx, ty, seed having sum(ends) >= 2"""
 twin("geo5_junctions", f"select tx, ty, seed, ends, {rs(3, 'x', 'y', 'radius')} from junction")
 STEPS["disc"] = """
-select tx, ty, seed // 2 as osm_id, 'junction' as part, s as face, x as x0, 6e-2 as y0, -y as z0,
+select tx, ty, seed // 2 as osm_id, seed, 'junction' as part, s as face, x as x0, 6e-2 as y0, -y as z0,
   x + radius * cos(s * (2e0 * pi() / 12e0)) as x1, 6e-2 as y1, -y + radius * sin(s * (2e0 * pi() / 12e0)) as z1,
   x + radius * cos(((s + 1) % 12) * (2e0 * pi() / 12e0)) as x2, 6e-2 as y2, -y + radius * sin(((s + 1) % 12) * (2e0 * pi() / 12e0)) as z2,
   null::double as x3, null::double as y3, null::double as z3, 0e0 as nx, 1e0 as ny, 0e0 as nz, [3e-1, 3e-1, 32e-2, 1e0] as c
 from (select *, unnest(range(0, 12)) as s from junction)"""
-twin("geo5_junction_faces", f"select tx, ty, osm_id, part, face, {_FACE} from disc")
+twin("geo5_junction_faces", f"select tx, ty, osm_id, seed, part, face, {_FACE} from disc")
 STEPS["tile_face"] = """
-select tx, ty, 'road' as kind, part, osm_id, x0, x1, x2, x3, z0, z1, z2, z3 from ribbon join bridge using (osm_id) where kind = 'road'
-union all select tx, ty, 'road', part, osm_id, x0, x1, x2, x3, z0, z1, z2, z3 from disc
-union all select tx, ty, 'building', part, osm_id, x0, x1, x2, x3, z0, z1, z2, z3 from b_face join bridge using (osm_id) where kind = 'building'"""
-twin("geo6_tile_faces", "select tx, ty, kind, part, count(*) as faces from tile_face group by all")
+select tx, ty, 'road' as kind, 'road ' || osm_id as mesh, part, osm_id, x0, x1, x2, x3, z0, z1, z2, z3 from ribbon join bridge using (osm_id) where kind = 'road'
+union all select tx, ty, 'road', 'junction ' || seed, part, osm_id, x0, x1, x2, x3, z0, z1, z2, z3 from disc
+union all select tx, ty, 'building', 'building ' || osm_id, part, osm_id, x0, x1, x2, x3, z0, z1, z2, z3 from b_face join bridge using (osm_id) where kind = 'building'"""
+twin("geo6_tile_faces", "select tx, ty, kind, mesh, part, count(*) as faces from tile_face group by all")
+twin("agg18_face_counts", """
+select tx, ty, kind, count(distinct mesh) as meshes, cast(sum(case when x3 is null then 1 else 2 end) as bigint) as triangles
+from tile_face group by tx, ty, kind""")
 twin("geo9_visible_faces", f"""
 with seen as (select * from tile_face join (select tx, ty from box where {_REGION}) using (tx, ty)),
-near as (select tx, ty, kind, osm_id from seen group by all
+near as (select tx, ty, mesh from seen group by all
   having pow((min(least(x0, x1, x2, x3)) + max(greatest(x0, x1, x2, x3))) * 5e-1 - 1e2, 2)
     + pow((min(least(z0, z1, z2, z3)) + max(greatest(z0, z1, z2, z3))) * 5e-1 + 2e2, 2) <= 81e4)
-select kind, part, count(*) as faces, count(distinct (tx, ty)) as tiles from seen join near using (tx, ty, kind, osm_id) group by kind, part""".replace("with seen as", "select * from (with seen as", 1) + ")")
+select tx, ty, kind, mesh, part, count(*) as faces from seen join near using (tx, ty, mesh) group by tx, ty, kind, mesh, part""".replace("with seen as", "select * from (with seen as", 1) + ")")
 
 # --- aggregations ----------------------------------------------------------------------
 
@@ -593,22 +593,21 @@ twin("agg5_areas_by_class", "select type, count(*) as n from area_row group by t
 twin("agg6_tile_totals", "select kind, count(*) as copies from bridge group by kind")
 twin("agg7_visible_tiles", f"""
 select count(*) filter ((min_x < max_x or min_z < max_z) and {_REGION}) as visible_tiles, count(*) as tiles from box""")
-STEPS["worth"] = "select way_id from classed left join closed using (way_id) where road_type <> 'Unknown' or (refs is not null and (building is not null or area_type <> 'Unknown'))"
-twin("agg8_signed_area", f"select way_id, {r('area', 0)} as area from rp_area join worth using (way_id)")
+twin("agg8_signed_area", f"select way_id, {r('area', 0)} as area from rp_area")
 STEPS["center"] = """
 select way_id, case when max(n) < 3 or abs(sum(k)) / 2e0 < 1e-10 then avg(x) else sum((x + x1) * k) / (6e0 * (sum(k) / 2e0)) end as x,
   case when max(n) < 3 or abs(sum(k)) / 2e0 < 1e-10 then avg(y) else sum((y + y1) * k) / (6e0 * (sum(k) / 2e0)) end as y
 from (select *, x * y1 - x1 * y as k from rp_next) group by way_id"""
-twin("agg9_centroid", f"select way_id, {rs(1, 'x', 'y')} from center join worth using (way_id)")
+twin("agg9_centroid", f"select way_id, {rs(1, 'x', 'y')} from center")
 twin("agg10_line_length", f"""
 select way_id, {r('sum(case when i < n - 1 then sqrt((x1 - x) * (x1 - x) + (y1 - y) * (y1 - y)) else 0 end)')} as length
-from rp_next join worth using (way_id) group by way_id""")
-twin("agg11_vertex_mean", f"select way_id, {r('avg(x)')} as x, {r('avg(y)')} as y from rp join worth using (way_id) group by way_id")
+from rp_next group by way_id""")
+twin("agg11_vertex_mean", f"select way_id, {r('avg(x)')} as x, {r('avg(y)')} as y from rp group by way_id")
 twin("agg12_principal_axis", f"select osm_id, {rs(3, 'ax', 'ay', 'length', 'width')} from extent")
 twin("agg13_clearance", f"select osm_id, {rs(3, 'clearance')} from clear_of")
 STEPS["three"] = """
 select way_id, arg_min(x, i) as ax, arg_min(y, i) as ay, max(x) filter (i = 1) as px, max(y) filter (i = 1) as py,
-  arg_max(x, i) as ex, arg_max(y, i) as ey from rp join worth using (way_id) where n >= 2 group by way_id"""
+  arg_max(x, i) as ex, arg_max(y, i) as ey from rp where n >= 2 group by way_id"""
 twin("agg14_point_to_segment", f"""
 select way_id, {r('sqrt(pow(px - (ax + t * (ex - ax)), 2) + pow(py - (ay + t * (ey - ay)), 2))')} as distance from (
   select *, case when l2 < 1e-10 then 0e0 else least(greatest(((px - ax) * (ex - ax) + (py - ay) * (ey - ay)) / l2, 0e0), 1e0) end as t
@@ -630,10 +629,10 @@ select way_id, area < 0 as clockwise, {r('max(x) filter (i = case when area < 0
   {r('max(y) filter (i = case when area < 0 then rp.n - 2 else 1 end)')} as ccw_y,
   {r('max(x) filter (i = case when area < 0 then 1 else rp.n - 2 end)')} as cw_x,
   {r('max(y) filter (i = case when area < 0 then 1 else rp.n - 2 end)')} as cw_y
-from rp join rp_area using (way_id) join worth using (way_id) where rp.n >= 4 group by way_id, area""")
-SPLITS = 4
+from rp join rp_area using (way_id) where rp.n >= 4 group by way_id, area""")
+SPLITS = 6  # levels written out; a twin with spans left to cut after them fails
 STEPS["span0"] = "select osm_id, 0 as lo, max(i) as hi from road_pt group by osm_id"
-for _n in range(SPLITS):
+for _n in range(SPLITS + 1):
     STEPS[f"cut{_n}"] = f"""
 select osm_id, lo, hi, arg_max(i, (d, -i)) as mid from (
   select s.osm_id, lo, hi, p.i, case when l2 < 1e-10 then sqrt(pow(p.x - a.x, 2) + pow(p.y - a.y, 2)) else
@@ -645,7 +644,8 @@ select osm_id, lo, hi, arg_max(i, (d, -i)) as mid from (
 where d > 6e1 group by osm_id, lo, hi"""
     STEPS[f"span{_n + 1}"] = f"select osm_id, lo, mid as hi from cut{_n} union all select osm_id, mid, hi from cut{_n}"
 STEPS["kept"] = "select osm_id, lo as i from span0 union select osm_id, hi from span0" + "".join(
-    f" union select osm_id, mid from cut{n}" for n in range(SPLITS))
+    f" union select osm_id, mid from cut{n}" for n in range(SPLITS)) + f"""
+  union select error('spans left after all levels: ' || osm_id)::bigint, mid from cut{SPLITS}"""
 twin("ord4_simplify", f"select osm_id, row_number() over (partition by osm_id order by i) - 1 as i, {rs(3, 'x', 'y')} from kept join road_pt using (osm_id, i)")
 ORACLE["srt2_key_order"] = ""
 twin("srt1_samples", """
@@ -673,7 +673,7 @@ select osm_id, cx, unnest(range(z0, z1 + 1)) as cz from (
   select osm_id, unnest(range(cast(floor((min(x) - any_value(wx0)) / 5e2) as bigint), cast(ceil((max(x) - any_value(wx0)) / 5e2) as bigint) + 1)) as cx,
     cast(floor((min(y) - any_value(wz0)) / 5e2) as bigint) as z0, cast(ceil((max(y) - any_value(wz0)) / 5e2) as bigint) as z1
   from area_pt, world group by osm_id)""")
-twin("til8_world_chunks", "select cx, cz from chunk")
+twin("til8_world_chunks", "select cx, cz, points from chunk")
 STEPS["eye"] = "select avg(x) as ex, avg(y) as ez from building_pt group by osm_id"
 twin("til9_chunks_around", """
 select distinct cx, cz from (select *, unnest(range(z0, z1 + 1)) as cz from (
@@ -687,9 +687,20 @@ where wx0 + cx * 5e2 + 5e2 >= wx0 and wx0 + cx * 5e2 <= wx1 and wz0 + cz * 5e2 +
 _CELL = "cx, cz, ix, iz"
 
 
+def permutation(seed: int) -> list[int]:
+    """0..255 shuffled from the last place down by a 32-bit xorshift generator; seed 0 acts as 1."""
+    line, x = [*range(256)], seed % 2**32 or 1
+    for n in range(256, 1, -1):
+        x ^= x << 13 & 0xFFFFFFFF
+        x ^= x >> 17
+        x ^= x << 5 & 0xFFFFFFFF
+        line[n - 1], line[x % n] = line[x % n], line[n - 1]
+    return line
+
+
 def noise_steps(prefix: str, src: str, keys: str, x: str, y: str, seed: int, octaves: list[tuple[float, float]]) -> None:
     """Steps <prefix>_oct (keys, k, amp, n): one row per point and octave; octaves are (frequency, amplitude)."""
-    perm = list(permutation(seed))
+    perm = permutation(seed)
     STEPS[f"{prefix}_perm"] = f"select {perm} as p"
     listed = ", ".join(f"({i}, {f!r}::double, {a!r}::double)" for i, (f, a) in enumerate(octaves))
     f2, g2 = "((sqrt(3e0) - 1e0) * 5e-1)", "((3e0 - sqrt(3e0)) / 6e0)"
@@ -742,8 +753,14 @@ twin("rst5_flat", f"select {_CELL}, {r('5e1 * (n * 1e-1)')} as h from nflat")
 twin("rst5_rolling", f"select {_CELL}, {rs(3, 'h')} from rolling")
 twin("rst5_hilly", f"select {_CELL}, {r('5e1 * level')} as h from hilly")
 twin("rst5_mountainous", f"select {_CELL}, {rs(3, 'h')} from mountain")
-STEPS["cell"] = f"select {_CELL}, x, z, h from wcell join rolling using ({_CELL})"
-STEPS["rough"] = f"select {_CELL}, x, z, 2e2 * level as h from wcell join hilly using ({_CELL})"
+STEPS["survey"] = f"""
+select {_CELL}, avg(p_size) as v from (
+  select cx, cz, cast(floor((x - (wx0 + cx * 5e2)) / (5e2 / 31e0) + 5e-1) as bigint) as ix,
+    cast(floor((y - (wz0 + cz * 5e2)) / (5e2 / 31e0) + 5e-1) as bigint) as iz, p_size from (
+    select cast(floor((x - wx0) / 5e2) as bigint) as cx, cast(floor((y - wz0) / 5e2) as bigint) as cz, pt.x, pt.y, wx0, wz0, p_size
+    from pt join part on p_partkey = node_id, world)) group by {_CELL}"""
+STEPS["cell"] = f"select {_CELL}, x, z, h + coalesce(v, 0e0) as h from wcell join rolling using ({_CELL}) left join survey using ({_CELL})"
+STEPS["rough"] = f"select {_CELL}, x, z, 2e2 * level + coalesce(v, 0e0) as h from wcell join hilly using ({_CELL}) left join survey using ({_CELL})"
 twin("rst6_flatten_center", f"""
 select {_CELL}, {r('case when d < 2e2 then 5e0 when d < 3e2 then 5e0 * (1e0 - t * t * (3e0 - 2e0 * t)) + h * (t * t * (3e0 - 2e0 * t)) else h end')} as h
 from (select *, (d - 2e2) / 1e2 as t from (select *, sqrt((x - 5e2) * (x - 5e2) + (z - 5e2) * (z - 5e2)) as d from cell))""")

@@ -576,7 +576,8 @@ def agg7_visible_tiles(spark, sf):
 
 
 def _shaped(spark, sf) -> DataFrame:
-    return imported(spark, sf).shaped
+    """All ways with their points, also those that become no feature."""
+    return features.resolve(way_table(spark, sf), _points(spark, sf))
 
 
 @query
@@ -642,13 +643,17 @@ def agg17_mask_blend(spark, sf):
 
 @query
 def agg18_face_counts(spark, sf):
-    m = imported(spark, sf)
-    by_tile = faces.tile_faces(faces.building_faces(m.buildings), _bridge(spark, sf), "building")
-    return faces.face_counts(by_tile, "tx", "ty")
+    """Meshes and triangles of every tile by kind: roads with their junctions, and buildings."""
+    return faces.face_counts(_stored_faces(spark, sf), "tx", "ty", "kind", mesh="mesh")
+
+
+def _filled(spark, sf) -> DataFrame:
+    """Chunks that hold map nodes, with their number."""
+    return raster.chunks_of_points(_points(spark, sf).select("x", F.col("y").alias("z")), _world(spark, sf))
 
 
 def _chunks(spark, sf) -> DataFrame:
-    """All chunks of the world with flags: those with a road vertex are generated, those with a building also meshed."""
+    """Chunks with map nodes, and flags: those with a road vertex are generated, those with a building also meshed."""
     w = _world(spark, sf)
     m = imported(spark, sf)
 
@@ -658,7 +663,7 @@ def _chunks(spark, sf) -> DataFrame:
         ).distinct().withColumn(name, F.lit(True))
 
     return (
-        raster.chunks_of_world(spark, w)
+        _filled(spark, sf).select("cx", "cz")
         .join(touched(m.roads, "polyline", "generated"), ["cx", "cz"], "left")
         .join(touched(m.buildings, "footprint", "has_mesh"), ["cx", "cz"], "left")
         .na.fill(False)
@@ -800,7 +805,7 @@ def til5_point_chunks(spark, sf):
 @query
 def til6_chunk_bounds(spark, sf):
     w = _world(spark, sf)
-    got = raster.chunk_bounds(raster.chunks_of_world(spark, w), w)
+    got = raster.chunk_bounds(_filled(spark, sf).select("cx", "cz"), w)
     return rounded(got, 3, "min_x", "min_z", "max_x", "max_z")
 
 
@@ -816,7 +821,7 @@ def til7_chunks_of_boxes(spark, sf):
 
 @query
 def til8_world_chunks(spark, sf):
-    return raster.chunks_of_world(spark, _world(spark, sf))
+    return _filled(spark, sf)
 
 
 @query
@@ -872,19 +877,32 @@ def geo5_junction_faces(spark, sf):
     return _face_query(proximity.junction_faces(_tile_junctions(spark, sf), "tx", "ty"))
 
 
+FACE_SPAN = 2
+
+
+def _face_store(spark, sf) -> str:
+    """Where all faces are kept by tile."""
+    key = (spark.sparkContext.applicationId, sf, "face_store")
+    if key not in tables._STORED:
+        path = scratch_path(spark, "faces")
+        tile_store.write_tiles(tile_faces(imported(spark, sf)), path, span=FACE_SPAN)
+        tables._STORED[key] = path
+    return tables._STORED[key]
+
+
 def _stored_faces(spark, sf) -> DataFrame:
-    return stored(spark, sf, "faces", lambda: tile_faces(imported(spark, sf)))
+    return tile_store.read_tiles(spark, _face_store(spark, sf), span=FACE_SPAN)
 
 
 @query
 def geo6_tile_faces(spark, sf):
-    return _stored_faces(spark, sf).groupBy("tx", "ty", "kind", "part").agg(F.count(F.lit(1)).alias("faces"))
+    return _stored_faces(spark, sf).groupBy("tx", "ty", "kind", "mesh", "part").agg(F.count(F.lit(1)).alias("faces"))
 
 
 @query
 def geo7_water(spark, sf):
     w = _world(spark, sf)
-    got = raster.water_faces(raster.chunks_of_world(spark, w), w)
+    got = raster.water_faces(_filled(spark, sf), w)
     return colour_columns(rounded(got, 3, *[f"{a}{i}" for i in range(4) for a in "xyz"]))
 
 
@@ -897,23 +915,29 @@ def geo8_surface_triangles(spark, sf):
 
 @query
 def geo9_visible_faces(spark, sf):
-    """Faces in view: tiles by region, features by distance."""
-    got = viewing.visible_faces(_stored_faces(spark, sf), _boxes(spark, sf), PLANES, EYE, RADIUS)
-    return got.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("faces"), F.count_distinct("tx", "ty").alias("tiles"))
+    """Faces in view: tiles by region, meshes by distance."""
+    got = viewing.visible_faces(spark, _face_store(spark, sf), _boxes(spark, sf), PLANES, EYE, RADIUS, FACE_SPAN)
+    return got.groupBy("tx", "ty", "kind", "mesh", "part").agg(F.count(F.lit(1)).alias("faces"))
 
 
 # --- rasters ------------------------------------------------------------------------------
 
 
 def _cells(spark, sf) -> DataFrame:
-    """Rolling terrain over the world that fits the map."""
-    return stored(spark, sf, "cells", lambda: terrain_world.world_cells(spark, _world(spark, sf)))
+    """Rolling terrain in the chunks that hold map nodes, raised by the surveyed sizes."""
+    return stored(spark, sf, "cells", lambda: _surveyed(spark, sf, _world(spark, sf)))
+
+
+def _surveyed(spark, sf, world: WorldConfig) -> DataFrame:
+    sizes = tables._table(spark, sf, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_size").alias("v"))
+    at = _points(spark, sf).join(sizes, "node_id").select("x", F.col("y").alias("z"), "v")
+    return raster.with_survey(terrain_world.world_cells(spark, world, _filled(spark, sf)), at, world)
 
 
 def _rough_cells(spark, sf) -> DataFrame:
-    """The same world with taller, busier hills, where erosion has work to do."""
+    """The same chunks with taller, busier hills."""
     rough = replace(TERRAIN, type="Hilly", max_height=200.0)
-    return stored(spark, sf, "rough", lambda: terrain_world.world_cells(spark, _world(spark, sf, rough)))
+    return stored(spark, sf, "rough", lambda: _surveyed(spark, sf, _world(spark, sf, rough)))
 
 
 @query
@@ -924,12 +948,12 @@ def flt11_under_water(spark, sf):
 @query
 def rst1_grid(spark, sf):
     w = _world(spark, sf)
-    return rounded(raster.chunk_grid(raster.chunks_of_world(spark, w), w), 3, "x", "z")
+    return rounded(raster.chunk_grid(_filled(spark, sf), w), 3, "x", "z")
 
 
 def _grid(spark, sf) -> DataFrame:
     w = _world(spark, sf)
-    return raster.chunk_grid(raster.chunks_of_world(spark, w), w)
+    return raster.chunk_grid(_filled(spark, sf), w)
 
 
 @query

@@ -13,6 +13,7 @@ from .fixed_values import NAMED_COLOURS
 
 _INTEGER = r"^\s*([+-]?[0-9]+)"
 _DECIMAL = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+_HEX = r"^\s*([+-]?)0[xX]([0-9a-fA-F]+)"
 _FLOAT_LIMIT = 3.4028234663852886e38
 
 
@@ -26,8 +27,11 @@ def leading_int(text: Column) -> Column:
 
 
 def leading_float(text: Column) -> Column:
-    """Decimal number at the start of the text; NULL when there is none or it exceeds float32."""
-    value = F.regexp_extract(text, _DECIMAL, 1).try_cast("double")
+    """Decimal or whole hexadecimal number at the start of the text; NULL when there is none or it exceeds float32."""
+    digits = F.conv(F.regexp_extract(text, _HEX, 2), 16, 10).try_cast("double")
+    hexadecimal = F.when(F.regexp_extract(text, _HEX, 1) == "-", -digits).otherwise(digits)
+    decimal = F.regexp_extract(text, _DECIMAL, 1).try_cast("double")
+    value = F.when(text.rlike(_HEX), hexadecimal).otherwise(decimal)
     return F.when(F.abs(value) <= F.lit(_FLOAT_LIMIT), value)
 
 

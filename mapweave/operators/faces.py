@@ -191,14 +191,14 @@ def feature_boxes(faces: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def face_counts(faces: DataFrame, *keys: str) -> DataFrame:
-    """Per key: features with faces, and triangles (a quad is two).
+def face_counts(faces: DataFrame, *keys: str, mesh: str = "osm_id") -> DataFrame:
+    """Per key: meshes, and triangles (a quad is two).
 
     Counting in two steps keeps both partial: a key with a third of all faces
-    is first reduced per feature."""
+    is first reduced per mesh."""
     each = F.when(F.col("x3").isNull(), F.lit(1)).otherwise(F.lit(2))
-    per_feature = faces.groupBy(*keys, "osm_id").agg(F.sum(each).alias("t"))
-    return per_feature.groupBy(*keys).agg(F.count(F.lit(1)).alias("meshes"), F.sum("t").alias("triangles"))
+    per_mesh = faces.groupBy(*keys, mesh).agg(F.sum(each).alias("t"))
+    return per_mesh.groupBy(*keys).agg(F.count(F.lit(1)).alias("meshes"), F.sum("t").alias("triangles"))
 
 
 def index_faces(faces: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ single max per cell, combined before the shuffle, brings them together.
 
 A piece is cut into strips first, one per mask row it reaches.  A strip is one
 short row of numbers: a range of cells and what their weights follow from.  The
-strips are shuffled, by mask row and a salt, and only then expanded to cells.  So
+strips are shuffled, by blocks of the mask, and only then expanded to cells.  So
 a feature as large as the map is filled by many tasks, cells are never shuffled
 before they are combined, and the work follows the covered cells, not cells
 times sides.
@@ -26,6 +26,7 @@ from ..functions.columns import clamp, norm, record, smoothstep
 from .raster import _blend
 
 MASK = ["ix", "iz"]
+BLOCK = 64
 
 
 def mask_size(world: WorldConfig) -> tuple[int, int]:
@@ -192,12 +193,17 @@ def line_strips(lines: DataFrame, world: WorldConfig) -> DataFrame:
 def paint(strips: DataFrame, world: WorldConfig) -> DataFrame:
     """osm_id, ix, iz, weight of the cells of strips; a cell comes once per strip that reaches it.
 
-    Strips travel by mask row, so that the pieces of a cell meet before cells are
-    combined, and by a salt of feature and place, so that a crowded row is shared
-    by several tasks.  The number of tasks is given outright: strips are few
-    but grow into many cells."""
-    tasks = int(strips.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = strips.select(*STRIP).repartition(tasks, F.col("iz"), F.pmod(F.hash("osm_id", "first"), F.lit(8)))
+    Strips are cut at blocks of the mask and travel by block, so that the pieces of a cell meet before cells are
+    combined.  The rebalance hint leaves the number of tasks to the engine, which also splits a block
+    that holds too many strips."""
+    low = F.floor(F.col("first") / BLOCK).cast("int")
+    high = F.floor(F.col("last") / BLOCK).cast("int")
+    rest = [c for c in STRIP if c not in ("first", "last")]
+    cut = strips.select(*STRIP, F.explode(F.sequence(low, high)).alias("bx")).select(
+        *rest, F.greatest("first", F.col("bx") * BLOCK).alias("first"), F.least("last", F.col("bx") * BLOCK + (BLOCK - 1)).alias("last"),
+        "bx", F.floor(F.col("iz") / BLOCK).cast("int").alias("bz"),
+    )
+    spread = cut.hint("rebalance", F.col("bx"), F.col("bz"))
     cell = F.lit(world.mask_cell)
     cells = spread.select(
         *[c for c in STRIP if c not in ("first", "last")], F.explode(F.sequence("first", "last")).alias("ix")

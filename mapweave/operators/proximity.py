@@ -152,7 +152,7 @@ def junction_faces(found: DataFrame, *group: str) -> DataFrame:
 
     none = F.lit(None).cast("double")
     return rows.select(
-        *group, "osm_id", F.lit("junction").alias("part"), "face",
+        *group, "osm_id", "seed", F.lit("junction").alias("part"), "face",
         F.col("x").alias("x0"), F.lit(JUNCTION_LIFT).alias("y0"), (-F.col("y")).alias("z0"),
         *rim(F.col("face"), 1), *rim((F.col("face") + 1) % JUNCTION_SEGMENTS, 2),
         none.alias("x3"), none.alias("y3"), none.alias("z3"),

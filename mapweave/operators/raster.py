@@ -201,14 +201,9 @@ def with_normals(cells: DataFrame, config: TerrainConfig, step_x: float, step_z:
 def with_relative_height(cells: DataFrame, config: TerrainConfig) -> DataFrame:
     """Add ``rel``: height between the lowest (0) and highest (1) cell of its chunk.
 
-    Chunks of at most BLOCK x BLOCK cells take their range from a window over the
-    chunk, which keeps the partitioning and computes the cells once.  A larger
-    grid is no group for one task: its range is aggregated and joined back."""
-    if config.resolution_x <= BLOCK and config.resolution_z <= BLOCK:
-        chunk = Window.partitionBy(*GRID)
-        ranged = cells.select("*", F.min("h").over(chunk).alias("min_h"), F.max("h").over(chunk).alias("max_h"))
-    else:
-        ranged = cells.join(height_range(cells, *GRID), GRID)
+    The range is aggregated in each task first and joined back, one row per chunk, so a grid of any size is
+    no group for one task."""
+    ranged = cells.join(height_range(cells, *GRID), GRID)
     spread = F.col("max_h") - F.col("min_h")
     rel = (F.col("h") - F.col("min_h")) / F.when(spread < F.lit(1e-3), F.lit(1.0)).otherwise(spread)
     return ranged.withColumn("rel", rel).drop("min_h", "max_h")
@@ -400,6 +395,33 @@ def chunks_of_world(spark: SparkSession, world: WorldConfig) -> DataFrame:
     )
 
 
+def chunks_of_points(points: DataFrame, world: WorldConfig) -> DataFrame:
+    """Chunks of the world that hold points (``x, z``), with their number.  Counted in each task first, so a crowded
+    chunk costs one row per task."""
+    import math
+
+    across, down = (math.ceil((high - low) / world.chunk_size) for low, high in zip(world.world_min, world.world_max))
+    keys = points.select(chunk_x(F.col("x"), world).alias("cx"), chunk_z(F.col("z"), world).alias("cz"))
+    inside = F.col("cx").between(0, across - 1) & F.col("cz").between(0, down - 1)
+    return keys.where(inside).groupBy("cx", "cz").agg(F.count(F.lit(1)).alias("points"))
+
+
+def with_survey(cells: DataFrame, points: DataFrame, world: WorldConfig) -> DataFrame:
+    """Raise each cell by the mean ``v`` of the points (``x, z, v``) nearest to it; cells without points stay."""
+    t = world.terrain
+    place = points.select("*", chunk_x(F.col("x"), world).alias("cx"), chunk_z(F.col("z"), world).alias("cz"))
+
+    def index(axis: str, key: str, side: int, steps: int) -> Column:
+        corner = F.lit(float(world.world_min[side])) + F.col(key) * F.lit(float(world.chunk_size))
+        return F.floor((F.col(axis) - corner) / F.lit(world.chunk_size / (steps - 1)) + F.lit(0.5)).cast("int")
+
+    mean = place.select(
+        "cx", "cz", index("x", "cx", 0, t.resolution_x).alias("ix"), index("z", "cz", 1, t.resolution_z).alias("iz"), "v"
+    ).groupBy(*CELL).agg(F.avg("v").alias("mean_v"))
+    raised = F.col("h") + F.coalesce("mean_v", F.lit(0.0))
+    return cells.join(mean, CELL, "left").withColumn("h", raised).drop("mean_v")
+
+
 def chunks_around(
     eyes: DataFrame, view_distance: float, world: WorldConfig, existing: DataFrame | None = None
 ) -> DataFrame:

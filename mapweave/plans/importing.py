@@ -48,15 +48,19 @@ def import_map(
 
 
 def tile_faces(m: MapTables) -> DataFrame:
-    """All faces by tile: kind, tx, ty and face columns; junctions are found per tile over its roads."""
+    """All faces by tile: kind, mesh, tx, ty and face columns; junctions are found per tile over its roads.
+
+    ``mesh`` names what is drawn and tested as one: a road, a building, or a junction by its seed."""
     bridge = m.bridge()
     kinds = {"road": faces.road_faces(m.roads), "building": faces.building_faces(m.buildings)}
     parts = [
-        faces.tile_faces(rows, bridge, kind).select("tx", "ty", F.lit(kind).alias("kind"), *faces.FACE_COLUMNS)
+        faces.tile_faces(rows, bridge, kind).select(
+            "tx", "ty", F.lit(kind).alias("kind"), F.concat(F.lit(f"{kind} "), F.col("osm_id").cast("string")).alias("mesh"), *faces.FACE_COLUMNS
+        )
         for kind, rows in kinds.items()
     ]
     met = proximity.junctions(tiles.with_tiles(m.roads, "polyline", m.grid), "tx", "ty")
     discs = proximity.junction_faces(met, "tx", "ty").select(
-        "tx", "ty", F.lit("road").alias("kind"), *faces.FACE_COLUMNS
+        "tx", "ty", F.lit("road").alias("kind"), F.concat(F.lit("junction "), F.col("seed").cast("string")).alias("mesh"), *faces.FACE_COLUMNS
     )
     return parts[0].unionByName(parts[1]).unionByName(discs)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import faces, visibility
+from ..sources import tile_store
 
 
 def visible_tiles(boxes: DataFrame, planes: Sequence[tuple[float, float, float, float]]) -> DataFrame:
@@ -16,14 +17,17 @@ def visible_tiles(boxes: DataFrame, planes: Sequence[tuple[float, float, float,
     ).select("tx", "ty")
 
 
+def near_faces(seen: DataFrame, eye: tuple[float, float, float], radius: float) -> DataFrame:
+    """Faces of the given tiles whose mesh lies within the radius on the ground.
+
+    The distance test needs the box of each mesh in a tile, one aggregation."""
+    near = faces.feature_boxes(seen, "tx", "ty", "mesh").where(visibility.near_flat(eye, radius))
+    return seen.join(near.select("tx", "ty", "mesh"), ["tx", "ty", "mesh"], "left_semi")
+
+
 def visible_faces(
-    stored: DataFrame, boxes: DataFrame, planes: Sequence[tuple[float, float, float, float]],
-    eye: tuple[float, float, float], radius: float,
+    spark: SparkSession, path: str, boxes: DataFrame, planes: Sequence[tuple[float, float, float, float]],
+    eye: tuple[float, float, float], radius: float, span: int = 16,
 ) -> DataFrame:
-    """Faces of visible tiles whose feature lies within the radius on the ground.
-
-    The tile test cuts the face table by a semi join on the tile key; the
-    distance test needs the box of each feature in a tile, one aggregation."""
-    seen = stored.join(visible_tiles(boxes, planes), ["tx", "ty"], "left_semi")
-    near = faces.feature_boxes(seen, "tx", "ty", "kind", "osm_id").where(visibility.near_flat(eye, radius))
-    return seen.join(near.select("tx", "ty", "kind", "osm_id"), ["tx", "ty", "kind", "osm_id"], "left_semi")
+    """Faces in view from a table stored by tile: only the folders of visible tiles are read."""
+    return near_faces(tile_store.read_keys(spark, path, visible_tiles(boxes, planes), span), eye, radius)

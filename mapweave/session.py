@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -13,12 +15,14 @@ from pyspark.sql import SparkSession
 # Spark compiles such a stage operator by operator instead, which is many times
 # faster for the long arithmetic of masks and rasters.
 SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+DEFAULTS = {"spark.sql.codegen.hugeMethodLimit": "65535"}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the settings the operators are made for; call it once per session."""
+    """Apply the settings the operators are made for where the session still has Spark's own defaults."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key) == DEFAULTS[key]:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -38,13 +42,23 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of this machine."""
+    A session of one machine (master ``local``) without that setting gets a new folder, removed when the
+    program ends; any other session has to name one that all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    one_machine = master == "local" or master.startswith("local[")
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not one_machine:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.gettempdir(), "mapweave-checkpoints")
+    return _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="mapweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def enable_checkpoints(spark: SparkSession) -> None:

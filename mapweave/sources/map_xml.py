@@ -1,8 +1,9 @@
 """Map XML (plain, gzip or bzip2) as node, way and relation tables.
 
-Spark's own XML reader does the decoding.  Plain files are split over tasks; a
-gzip file is one task by nature of the format, so large extracts are better
-given as many files, as plain XML, or converted to parquet once.
+Files are read as text cut before each element, which Spark splits over tasks at any place, and each element is
+decoded by Spark's XML parser.  Plain and bzip2 files are split, also within elements of many lines; a gzip file is
+one task by nature of the format, so large extracts are better given as many files, as plain XML, or converted to
+parquet once.  Text that looks like an element inside comments or CDATA sections is not told apart.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ _SCHEMAS = {
     "way": f"_id long, nd array<struct<_ref:long>>, {_TAG}",
     "relation": f"_id long, member array<struct<_type:string,_ref:long,_role:string>>, {_TAG}",
 }
+# Attributes, then the end of an empty element or everything up to the closing tag.
+_ELEMENT = r"(?s)^(?:\s+[^\s=<>/]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*\s*(?:/>|>.*?</{}\s*>)"
 MEMBER_TYPES = ["node", "way", "relation"]
 
 
@@ -36,20 +39,14 @@ def read_map_xml(spark: SparkSession, path: str) -> RawMap:
     """Read every element of the files at ``path`` (a file, folder or glob)."""
 
     def elements(kind: str) -> DataFrame:
-        raw = (
-            spark.read.format("xml")
-            .option("rowTag", kind)
-            .option("nullValue", "\u0000")
-            .schema(_SCHEMAS[kind])
-            .load(path)
-        )
-        return raw.withColumn(
-            "pos",
-            record(
-                file=F.col("_metadata.file_path"),
-                start=F.col("_metadata.file_block_start"),
-                row=F.monotonically_increasing_id()),
-        )
+        # A record is what follows "<kind", up to the next one; the first of a file is what comes before any.
+        text = spark.read.option("lineSep", f"<{kind}").text(path).select(
+            F.regexp_extract("value", _ELEMENT.format(kind), 0).alias("rest"),
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        ).where("rest <> ''")
+        whole = F.from_xml(F.concat(F.lit(f"<{kind}"), F.col("rest")), _SCHEMAS[kind], {"rowTag": kind, "nullValue": "\u0000"})
+        pos = record(file=F.col("file"), start=F.col("start"), row=F.monotonically_increasing_id())
+        return text.select(whole.alias("e"), pos.alias("pos")).where("e._id is not null").select("e.*", "pos")
 
     nodes = elements("node").select(
         F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"),

@@ -30,6 +30,14 @@ def write_tiles(df: DataFrame, path: str, span: int = 16, mode: str = "overwrite
     )
 
 
+def read_keys(spark: SparkSession, path: str, keys: DataFrame, span: int = 16) -> DataFrame:
+    """Fetch the tiles of a small table of keys (``tx, ty``).
+
+    The folder keys are part of the join, so Spark prunes folders while it runs."""
+    wanted = keys.select("tx", "ty", _block(F.col("tx"), span).alias("px"), _block(F.col("ty"), span).alias("py"))
+    return spark.read.parquet(path).join(wanted, ["px", "py", "tx", "ty"], "left_semi").drop("px", "py")
+
+
 def read_tiles(
     spark: SparkSession, path: str, span: int = 16,
     x_range: tuple[int, int] | None = None, y_range: tuple[int, int] | None = None,

@@ -46,6 +46,29 @@ def test_elements(spark, files, name):
     assert [(m.type, m.ref, m.role) for m in members] == [("way", 10, "outer"), ("node", 2, ""), ("relation", 8, "x")]
 
 
+def test_plain_files_are_split(spark, tmp_path):
+    """Elements of one and of many lines, across the edges of many splits, each once and whole."""
+    lines = ["<?xml version='1.0'?>", "<osm>"]
+    for i in range(3000):
+        lines.append(f'  <node id="{i}" lat="52.5" lon="13.4"/>' if i % 2 else f'  <node\n id="{i}" lat="52.5"\n lon="13.4">\n    <tag k="a>b" v="{i}"/>\n  </node>')
+    for i in range(1000):
+        lines.append(f'  <way id="{i}">\n    <nd ref="{i}"/>\n    <nd ref="{i + 1}"/><nd ref="{i + 2}"/>\n    <tag k="highway" v="service"/>\n  </way>')
+    (tmp_path / "m.osm").write_text("\n".join([*lines, "</osm>"]))
+    (tmp_path / "m.osm.bz2").write_bytes(bz2.compress((tmp_path / "m.osm").read_bytes()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        raw = map_xml.read_map_xml(spark, str(tmp_path / "m.osm"))
+        assert raw.nodes.rdd.getNumPartitions() > 8
+        nodes = {r.node_id: r.tags for r in raw.nodes.collect()}
+        assert raw.nodes.count() == 3000 and nodes == {i: {} if i % 2 else {"a>b": str(i)} for i in range(3000)}
+        ways = {r.way_id: (r.node_refs, r.tags) for r in raw.ways.collect()}
+        assert raw.ways.count() == 1000 and ways == {i: ([i, i + 1, i + 2], {"highway": "service"}) for i in range(1000)}
+        assert map_xml.read_map_xml(spark, str(tmp_path / "m.osm.bz2")).nodes.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_import_of_a_file(spark, files):
     raw = map_xml.read_map_xml(spark, str(files / "m.osm"))
     m = import_map(map_xml.last_per_id(raw.nodes, "node_id"), map_xml.last_per_id(raw.ways, "way_id"))
@@ -77,3 +100,6 @@ def test_tile_store_reads_only_its_folders(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(px" in plan and "PushedFilters: [IsNotNull(tx)" in plan
     assert tile_store.read_tiles(spark, str(tmp_path / "store"), span=4).count() == 400
+    keys = spark.createDataFrame([(i, 7) for i in range(20)], "tx int, ty int").where("tx = 13")
+    few = tile_store.read_keys(spark, str(tmp_path / "store"), keys, span=4)
+    assert [(r.tx, r.ty) for r in few.collect()] == [(13, 7)]

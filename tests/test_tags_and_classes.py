@@ -15,6 +15,7 @@ def test_leading_numbers(spark):
     assert column(spark, texts, tags.leading_int) == [12, 12, 9, None, 3, 2, 50, -1, None, None, None, None]
     assert column(spark, texts, tags.leading_float) == [12, 12.5, 9, None, 3, 2.5, 50, -1, 0.5, 99999999999, None, None]
     assert column(spark, ["1e39", "1e3", "+2."], tags.leading_float) == [None, 1000.0, 2.0]
+    assert column(spark, ["0x1A", " -0xff m", "0x", "0"], tags.leading_float) == [26.0, -255.0, 0.0, 0.0]
 
 
 def test_heights_cut_at_first_blank(spark):
