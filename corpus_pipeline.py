@@ -6,6 +6,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kep
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,17 +18,25 @@ from mapweave.llm.common import remainder, stored, table
 LEAST_LANGUAGE = 0.05
 
 
+def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that ``judge`` keeps, with the columns of docs; judge sees ``text`` under its name and all others under
+    names that cannot clash with what it adds."""
+    names = ["text" if c == "text" else f"column {i}" for i, c in enumerate(docs.columns)]
+    found = judge(docs.toDF(*names))
+    return found.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
     model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return _judged(docs, lambda d: toxicity.score(d, model).where("predicted = 0"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or of no learned language go."""
     names, profiles = language_id.learn(table(spark, sf_dir, "documents").where(remainder("doc_id", 4) != 2))
-    found = language_id.predict(docs, names, profiles)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)
+    return _judged(docs, lambda d: language_id.predict(d, names, profiles).where(known))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,9 +215,10 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each class, that of the smallest doc_id; rows with an empty set all stay."""
+    key = "row of the class"  # no column of docs is called so
     found = stored(join(docs, words, percent), "classes")
-    kept = found.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("v")).select(F.col("v.row").alias("_row"))
-    keyed = docs.withColumn("_row", row_key())
-    empty = found.where("class_id is null").select(F.col("row").alias("_row")).distinct()
-    one = keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"])
-    return one.union(keyed.join(empty, "_row", "left_semi")).select(*docs.columns)
+    kept = found.where("class_id is not null").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("v")).select(F.col("v.row").alias(key))
+    keyed = docs.withColumn(key, row_key())
+    empty = found.where("class_id is null").select(F.col("row").alias(key)).distinct()
+    one = keyed.join(kept, key, "left_semi").dropDuplicates([key])
+    return one.union(keyed.join(empty, key, "left_semi")).select(*docs.columns)

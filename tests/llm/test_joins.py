@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from fixtures import documents, empty, texts, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -154,14 +155,17 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clashing = {c: F.lit(i) for i, c in enumerate(["score", "predicted", "lang_pred", "row", "class_id", "size", "node", "held_out"])}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns(clashing)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_copies", "benchmark", "packing"]
     columns, before = docs.columns, {r["doc_id"] for r in docs.collect()}
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF).cache()
         assert docs.columns == columns
         after = {r["doc_id"] for r in docs.collect()}
+        assert docs.select(*clashing).distinct().collect() == [tuple(range(len(clashing)))]
         assert after <= before and docs.count() == len(after)
         before = after
     packed = corpus_pipeline.run(spark, SF)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == packed.count()
     assert {r["doc_id"] for r in packed.collect()} == before
