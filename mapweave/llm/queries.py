@@ -73,4 +73,17 @@ c as (select a, min(b) as c from reach group by a)
 select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.c, w.doc_id) as component_id
 from w left join n using (doc_id) left join k using (doc_id) left join r on r.k = k.k left join c on c.a = r.rep
 """
-ORACLE: dict[str, str] = {"op2_ngram_join": OP2_SQL}
+OP7_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as materialized (select *, sqrt(list_dot_product(e, e)) as size from v),
+l as materialized (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (a.size * b.size) >= 93e-2),
+reach(a, b) as (select vec_id, vec_id from embeddings union select reach.a, l.b from reach join l on l.a = reach.b),
+c as (select a as vec_id, min(b) as component_id from reach group by a),
+n as (select a as vec_id, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings join c using (vec_id) left join n using (vec_id)
+"""
+ORACLE: dict[str, str] = {"op2_ngram_join": OP2_SQL, "op7_vector_dedup": OP7_SQL}

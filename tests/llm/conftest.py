@@ -2,5 +2,5 @@ import os
 import sys
 
 HERE = os.path.dirname(os.path.abspath(__file__))
-for folder in (HERE, os.path.dirname(os.path.dirname(HERE))):
+for folder in (HERE, os.path.dirname(HERE), os.path.dirname(os.path.dirname(HERE))):
     sys.path.insert(0, folder)
