@@ -437,9 +437,9 @@ def jon2_named_colours(spark, sf):
 
 @query
 def jon3_tile_lookup(spark, sf):
-    bridge = _bridge(spark, sf)
     wanted = viewing.visible_tiles(_boxes(spark, sf), PLANES)
-    got = tiles.features_of_tile(imported(spark, sf).features(), bridge, wanted)
+    m = imported(spark, sf)
+    got = tiles.features_of_tile(m.features(), m.grid, wanted)
     return got.select("kind", "osm_id", "tx", "ty")
 
 
@@ -757,8 +757,8 @@ def set1_feature_tiles(spark, sf):
 @query
 def set2_features_of_all_tiles(spark, sf):
     """Every feature once per tile, with its class."""
-    bridge = _bridge(spark, sf)
-    got = tiles.features_of_tile(imported(spark, sf).features(), bridge, tiles.existing_tiles(bridge))
+    m = imported(spark, sf)
+    got = tiles.features_of_tile(m.features(), m.grid)
     return got.groupBy("kind", "type").agg(F.count(F.lit(1)).alias("copies"))
 
 
@@ -812,9 +812,9 @@ def til6_chunk_bounds(spark, sf):
 @query
 def til7_chunks_of_boxes(spark, sf):
     m = imported(spark, sf)
-    p = F.explode("polygon")
-    boxes = m.areas.select("osm_id", p.alias("p")).groupBy("osm_id").agg(
-        F.min("p.x").alias("min_x"), F.max("p.x").alias("max_x"), F.min("p.y").alias("min_z"), F.max("p.y").alias("max_z")
+    xs, ys = F.col("polygon")["x"], F.col("polygon")["y"]
+    boxes = m.areas.where(F.size("polygon") > 0).select(
+        "osm_id", F.array_min(xs).alias("min_x"), F.array_max(xs).alias("max_x"), F.array_min(ys).alias("min_z"), F.array_max(ys).alias("max_z")
     )
     return raster.chunks_of_box(boxes, _world(spark, sf)).select("osm_id", "cx", "cz")
 

@@ -97,10 +97,12 @@ def tiles_in_range(
     return tiles.where(F.col("tx").between(x0, x1) & F.col("ty").between(y0, y1)).orderBy("ty", "tx")
 
 
-def features_of_tile(features: DataFrame, bridge: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Feature rows of the requested tiles; a feature comes once per tile."""
-    wanted = bridge.join(tiles.select("tx", "ty"), ["tx", "ty"], "left_semi")
-    return features.join(wanted, ["kind", "osm_id"])
+def features_of_tile(features: DataFrame, grid: DataFrame, tiles: DataFrame | None = None) -> DataFrame:
+    """Feature rows (with ``shape``) of the requested tiles, or of all that hold anything; a feature comes once per tile.
+
+    The tiles of a feature are found in its own row, so features are not joined with their tiles."""
+    placed = with_tiles(features, "shape", grid)
+    return placed if tiles is None else placed.join(tiles.select("tx", "ty"), ["tx", "ty"], "left_semi")
 
 
 def tile_totals(bridge: DataFrame) -> DataFrame:
