@@ -69,7 +69,7 @@ def crowded_slots(texts: DataFrame, words: int = WORDS) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.uint32)
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, size=4 << 20):  # each adds a whole table
                 total += np.bincount(_slot(np.concatenate([np.empty(0, np.uint64), *shingles(piece.column("text"), words)])), minlength=SLOTS).astype(np.uint32)
         for i in range(0, SLOTS, BLOCK):
             if total[i : i + BLOCK].any():

@@ -217,7 +217,7 @@ def feature_counts(labelled: DataFrame, model: np.ndarray) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict = {}
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, size=2 << 20):  # each sends its features
                 toxic = piece.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
                 both = list(document_features(piece.column("text"), model, memory))
                 f, d = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])

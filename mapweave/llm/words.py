@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 _BLOCK = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -98,12 +98,12 @@ def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, value: np.nda
     return out
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of whole rows with a few MB of text each."""
+def pieces(batch: pa.RecordBatch, column: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of whole rows with about ``size`` bytes of text each, so that arrays made of them stay small."""
     _, at = buffer_of(batch.column(column))
     i = 0
     while i < batch.num_rows:
-        j = min(batch.num_rows, max(i + 1, int(np.searchsorted(at, at[i] + PIECE_BYTES, "right")) - 1))
+        j = min(batch.num_rows, max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1))
         yield batch.slice(i, j - i)
         i = j
 
