@@ -3,14 +3,16 @@
 A mask is laid over a window of words; the words at its zeros are ignored, the others are hashed.  Windows of a training text and of a
 benchmark item with equal hashes give a diagonal (place in the text minus place in the item).  Along each diagonal the
 longest stretch in which at least ``PERCENT`` of the words agree is measured; it is an overlap from ``TOKENS`` words on, or
-from the item's length where that is less.  Words are runs of letters, digits and bytes beyond ASCII; A-Z and the capitals
+from the item's length where that is less.  Every pattern of exchanged words that this rule accepts is hit by at least
+one mask: a stretch of 26 words or more that holds it splits in two of 13 or more of which one holds it, so lengths up to 25
+decide, and ``tests/llm`` lists them.  Words are runs of letters, digits and bytes beyond ASCII; A-Z and the capitals
 of Latin-1 are lower-cased.
 
 A bit table of the benchmark's hashes (2 MB, whatever the benchmark's size) spares the join those windows of training
 texts that cannot match; what passes is joined exactly.
 
-Defined cases: a null or empty text or item overlaps nothing; an item with fewer words than the masks is looked for as a
-whole, word for word; rows with the same doc_id and text are found alike, each is one row of the result per item; an
+Defined cases: a null or empty text or item overlaps nothing; an item of less than five words is looked
+for word for word (one exchanged word is more than 20 % of it); rows with the same doc_id and text are found alike, each is one row of the result per item; an
 empty table on either side gives no rows; other columns are ignored.
 """
 
@@ -27,13 +29,16 @@ from pyspark.sql import functions as F
 from mapweave.llm.common import in_slots, row_key, slots_of, stored
 from mapweave.llm.words import bounds, buffer_of, hashes, mix, pieces
 
-MASKS = ("11101100111", "1101101011011", "111010010111")
+# Found by greedy covering of all accepted patterns, as heavy as few masks allow.
+MASKS = ("11101111", "11010010111", "111110011", "1100100010111", "1110101001001", "1111111")
+SHORT = {5: ("1111", "11011", "10111", "11101")}  # by the number of an item's words
+SHORT |= dict.fromkeys(range(6, 10), ("110111", "11111", "111011", "101111", "111101"))
+SHORT |= dict.fromkeys(range(10, 13), ("1110111", "110100111", "1111101", "10011111", "1101010011"))
 TOKENS = 13
 PERCENT = 80
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
-SPAN = max(map(len, MASKS))
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +59,20 @@ def masked(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
-def windows(words: np.ndarray, first: np.ndarray, masks: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-    """Mask, hash, text number and place within the text of all windows."""
+def masks_of(size: int) -> tuple[str, ...]:
+    """The masks laid over an item of so many words."""
+    return SHORT.get(size, MASKS) if size > 4 else ("1" * size,) if size else ()
+
+
+def windows(words: np.ndarray, first: np.ndarray, masks: list[str], bits: np.ndarray | None = None) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Mask, hash, text number and place within the text of all windows, or of those that may be in the bit table."""
+    doc_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for mask in masks:
         h = masked(words, mask)
-        doc = np.searchsorted(first, np.arange(len(h)), "right") - 1
-        whole = np.arange(len(h)) + len(mask) <= first[doc + 1]
-        yield mask, h[whole], doc[whole], (np.arange(len(h)) - first[doc])[whole]
+        at = np.arange(len(h)) if bits is None else np.flatnonzero(in_slots(bits, h))
+        at = at[at + len(mask) <= first[doc_of[at] + 1]]
+        doc = doc_of[at]
+        yield mask, h[at], doc, at - first[doc]
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,22 +80,20 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for piece in pieces(batch):
             words, first = tokens(piece.column("text"))
             size = np.diff(first)
-            short = sorted({"1" * n for n in size.tolist() if 0 < n < SPAN})
-            for mask, h, doc, place in windows(words, first, [*MASKS, *short]):
-                # Items shorter than the longest mask are looked for whole; others by the masks.
-                use = size[doc] == len(mask) if mask in short else size[doc] >= SPAN
+            sizes = set(size.tolist())
+            for mask, h, doc, place in windows(words, first, sorted({m for n in sizes for m in masks_of(n)})):
+                use = np.isin(size[doc], [n for n in sizes if mask in masks_of(n)])
                 doc, h, place = doc[use], h[use], place[use]
-                yield pa.record_batch({"item_id": piece.column("item_id").take(pa.array(doc)), "hash": h.view(np.int64), "item_at": place, "short": pa.array(np.full(len(h), len(mask) if mask in short else 0), pa.int32())})
+                yield pa.record_batch({"item_id": piece.column("item_id").take(pa.array(doc)), "hash": h.view(np.int64), "item_at": place, "mask": pa.array([mask] * len(h), pa.string())})
 
 
 def _hits(batches: Iterator[pa.RecordBatch], bits: np.ndarray, masks: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in pieces(batch):
             words, first = tokens(piece.column("text"))
-            for _, h, doc, place in windows(words, first, masks):
-                hit = np.flatnonzero(in_slots(bits, h))
-                if len(hit):
-                    yield pa.record_batch({"row": piece.column("row").take(pa.array(doc[hit])), "hash": h[hit].view(np.int64), "doc_at": place[hit]})
+            for _, h, doc, place in windows(words, first, masks, bits):
+                if len(h):
+                    yield pa.record_batch({"row": piece.column("row").take(pa.array(doc)), "hash": h.view(np.int64), "doc_at": place})
 
 
 def _token_bytes(batches: Iterator[pa.RecordBatch], key: str, wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -127,8 +137,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = TOKENS, percent
     doc_start, n_tokens, n_equal."""
     texts = docs.select(row_key().alias("row"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    seeds = stored(items.mapInArrow(_item_windows, "item_id long, hash long, item_at long, short int"), "seeds")
-    masks = [*MASKS, *("1" * r["short"] for r in seeds.where("short > 0").select("short").distinct().orderBy("short").collect())]
+    seeds = stored(items.mapInArrow(_item_windows, "item_id long, hash long, item_at long, mask string"), "seeds")
+    masks = [r["mask"] for r in seeds.select("mask").distinct().orderBy("mask").collect()]
     hits = texts.mapInArrow(partial(_hits, bits=slots_of(seeds, "hash"), masks=masks), "row long, hash long, doc_at long")
     met = stored(hits.join(seeds, "hash").selectExpr("row", "item_id", "doc_at - item_at as diagonal").distinct(), "diagonals")
     words = texts.mapInArrow(partial(_token_bytes, key="row", wanted=slots_of(met, "row")), "row long, words binary").groupBy("row").agg(F.first("words").alias("words"))
