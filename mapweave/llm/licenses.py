@@ -1,13 +1,15 @@
 """Licence statements in texts: a trained paragraph classifier whose findings a template comparison confirms.
 
-Paragraphs are lines; one of more than WINDOW words is read in windows that overlap by half.  Features are the hashed
+Each line is read by itself, and the lines of a paragraph once more as one, as notices are hard-wrapped.  A paragraph
+goes on to a line without a word (comment signs alone are no words and drop out everywhere).  What has more than WINDOW
+words is read in windows that overlap by half.  Features are the hashed
 word 1- to 3-grams that occur in the licence templates; a multinomial logistic regression is trained on disturbed templates
 (words lost, exchanged and added, cut at either end) and, as the class ``unknown``, on paragraphs of a bounded sample of the
 texts and on invented lines made of the templates' single words.  A temperature fitted on held-out examples calibrates
-its probabilities.  A family is reported when its probability is CERTAIN or more and the paragraph holds at least
+its probabilities.  A family is reported when its probability is CERTAIN or more and the words hold at least
 SIMILAR of the word 3-grams of one of its templates or of a part of it of WINDOW words.
 
-Defined cases: null, empty and wordless texts have the licence ``none``; among a text's families the most certain wins,
+Defined cases: a statement counts by its line, or by its paragraph where no line of it states that family; null, empty and wordless texts have the licence ``none``; among a text's families the most certain wins,
 ties go to the first name; repeated rows get equal results; with no text for the sample only invented lines teach
 ``unknown``; an empty table gives no rows; other columns are ignored.
 """
@@ -85,6 +87,22 @@ def paragraphs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes(data, begins, ends), first, np.searchsorted(at, lines[:-1], "right") - 1
 
 
+def joined(words: np.ndarray, first: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of the paragraphs of two lines or more, the number of each one's first word (one more at the end), each one's
+    text, and the paragraph of every line (-1 for none of these)."""
+    size = np.diff(first)
+    full = size > 0
+    new = full.copy()
+    new[1:] &= ~full[:-1] | (text[1:] != text[:-1])
+    of = np.where(full, np.cumsum(new) - 1, -1)
+    lines = np.bincount(of[full], minlength=int(new.sum()))
+    of = np.where(full & (lines[of] > 1), (np.cumsum(lines > 1) - 1)[of], -1) if len(lines) else of
+    use = of >= 0
+    count = np.bincount(of[use], size[use], minlength=int((lines > 1).sum())).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(count)])
+    return words[np.repeat(use, size)], start, text[new][lines > 1], of
+
+
 def grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of the n-grams that lie within a line."""
     count = max(0, len(words) - n + 1)
@@ -131,6 +149,19 @@ class Model:
         mine = np.unique(grams(words, np.array([0, len(words)]), 3)[0])
         return max(float(np.isin(p, mine).mean()) for p in self.parts[family])
 
+    def findings(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, str, float, float]]:
+        """Number, family, probability and similarity of the lines or paragraphs with a window that may state a licence."""
+        none = len(self.families)
+        begin, end, unit = _windows(first)
+        if not len(begin):
+            return
+        total = np.zeros((len(words) + 1, none + 1))
+        np.cumsum(self.token_weights(words, first), 0, out=total[1:])
+        p = self.probabilities(total[end] - total[begin])
+        for i in np.flatnonzero(p[:, :none].max(1) >= CERTAIN).tolist():
+            k = int(p[i, :none].argmax())
+            yield int(unit[i]), self.families[k], float(p[i, k]), self.similarity(words[begin[i] : end[i]], k)
+
 
 def _windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and line of all windows of the lines that have words."""
@@ -226,32 +257,37 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     (paragraphs whose family the templates do not confirm)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = len(model.families)
         for batch in batches:
             for piece in pieces(batch):
                 words, first, text = paragraphs(piece.column("text"))
-                begin, end, line = _windows(first)
-                total = np.zeros((len(words) + 1, none + 1))
-                np.cumsum(model.token_weights(words, first), 0, out=total[1:])
-                p = model.probabilities(total[end] - total[begin]) if len(begin) else np.zeros((0, none + 1))
-                likely = np.flatnonzero(p[:, :none].max(1, initial=0) >= CERTAIN)
+                whole, start, owner, of = joined(words, first, text)
                 best: dict[int, tuple[float, str, float]] = {}
-                stated: dict[int, set[int]] = {}
-                open_: dict[int, set[int]] = {}
-                for i in likely.tolist():
-                    k = int(p[i, :none].argmax())
-                    d, chance = int(text[line[i]]), float(p[i, k])
-                    alike = model.similarity(words[begin[i] : end[i]], k)
-                    if alike < SIMILAR:
-                        open_.setdefault(d, set()).add(int(line[i]))
-                        continue
-                    stated.setdefault(d, set()).add(int(line[i]))
-                    if d not in best or (-chance, model.families[k]) < (-best[d][0], best[d][1]):
-                        best[d] = (chance, model.families[k], alike)
+                stated: dict[int, set[tuple[bool, int]]] = {}
+                open_: dict[int, set[tuple[bool, int, str]]] = {}
+                known: set[tuple[int, str]] = set()  # paragraph and family
+                read: set[int] = set()  # paragraphs with a line that may state a licence
+                for join, found in ((False, model.findings(words, first)), (True, model.findings(whole, start))):
+                    for unit, family, chance, alike in found:
+                        d, paragraph = (int(owner[unit]), unit) if join else (int(text[unit]), int(of[unit]))
+                        if not join:
+                            read.add(paragraph)
+                        if alike < SIMILAR:
+                            if not join or paragraph not in read:
+                                open_.setdefault(d, set()).add((join, unit, family))
+                            continue
+                        if not join or (paragraph, family) not in known:
+                            stated.setdefault(d, set()).add((join, unit))
+                        if join:
+                            # A wrapped notice takes its lines along, a line's own statement those of its family.
+                            open_[d] = {x for x in open_.get(d, ()) if (paragraph, family) in known and x[2] != family or (x[1] if x[0] else of[x[1]]) != paragraph}
+                        elif paragraph >= 0:
+                            known.add((paragraph, family))
+                        if d not in best or (-chance, family) < (-best[d][0], best[d][1]):
+                            best[d] = (chance, family, alike)
                 rows = [best.get(d, (0.0, NONE, 0.0)) for d in range(piece.num_rows)]
                 yield pa.record_batch({
                     "doc_id": piece.column("doc_id"), "license": pa.array([r[1] for r in rows], pa.string()), "probability": pa.array([r[0] for r in rows], pa.float64()), "similarity": pa.array([r[2] for r in rows], pa.float64()),
-                    "n_paragraphs": pa.array([len(stated.get(d, ())) for d in range(len(rows))], pa.int32()), "unconfirmed": pa.array([len(open_.get(d, set()) - stated.get(d, set())) for d in range(len(rows))], pa.int32()),
+                    "n_paragraphs": pa.array([len(stated.get(d, ())) for d in range(len(rows))], pa.int32()), "unconfirmed": pa.array([len({x[:2] for x in open_.get(d, ())} - stated.get(d, set())) for d in range(len(rows))], pa.int32()),
                 })
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

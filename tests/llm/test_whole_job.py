@@ -2,12 +2,13 @@
 
 import itertools
 import random
+import textwrap
 
 import numpy as np
 import pytest
 from fixtures import documents, words
 
-from mapweave.llm import decontamination
+from mapweave.llm import decontamination, licenses
 
 
 @pytest.mark.parametrize("size", range(5, 26))
@@ -45,3 +46,30 @@ def test_passages_with_exchanged_words_are_found(spark):
     rows += [(100, hidden(1, [1, 2]), "en"), (101, hidden(4, [2, 4, 7]), "en"), (102, hidden(0, [1]), "en")]
     found = decontamination.leaks(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(k, item) for k, (item, _) in enumerate(cases)]
+
+
+def test_licences_in_wrapped_notices_are_found(spark):
+    rng = random.Random(7)
+    long = [(f, t) for f, of in licenses.TEMPLATES.items() for t in of if len(t) > 72]
+    rows, want = [], {}
+    for f, t in long:
+        for sign in ("", "# ", " * ", "// ", "dnl "):
+            notice = "\n".join(sign + line for line in textwrap.wrap(t, 72 - len(sign)))
+            for shown in (notice, f"{words(rng, 'en', 40)}\n\n{notice}\n{sign.rstrip()}\n{words(rng, 'en', 40)}", f"{textwrap.fill(words(rng, 'en', 47), 72)}\n{notice}\n{textwrap.fill(words(rng, 'en', 60), 72)}"):
+                want[len(rows)] = f
+                rows.append((len(rows), shown, "en"))
+    apart = [(1000 + i, "\n\n".join(textwrap.wrap(words(rng, "en", 90), 72)), "en") for i in range(60)]
+    got = {r["doc_id"]: r for r in licenses.scan_documents(documents(spark, rows + apart)).collect()}
+    assert {i: got[i]["license"] for i in want} == want
+    assert all(got[i]["n_paragraphs"] == 1 for i in range(0, len(rows), 15))
+    assert all(got[i]["license"] == "none" for i, _, _ in apart)
+
+
+def test_paragraphs_join_lines_of_one_text():
+    import pyarrow as pa
+
+    lines = licenses.paragraphs(pa.array(["a b\n# c\n#\nd", "e", None, "f\n\ng h\ni\n"]))
+    whole, start, owner, of = licenses.joined(*lines)
+    assert start.tolist() == [0, 3, 6] and owner.tolist() == [0, 3]
+    assert of[np.diff(lines[1]) > 0].tolist() == [0, 0, -1, -1, -1, 1, 1]
+    assert whole.tolist() == lines[0][[0, 1, 2, 6, 7, 8]].tolist()
