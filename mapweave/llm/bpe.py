@@ -2,7 +2,8 @@
 
 These tokenizers cut a text into words first and encode each word by itself.  The cut is made here on whole Arrow
 buffers; the library encodes the distinct words, and a table of fixed size remembers them.  A text with characters
-whose class is not decided here (other than ASCII and Latin letters) goes through the library whole.
+whose class is not decided here (other than ASCII and Latin letters) goes through the library whole, and so does one that holds the content of an
+added token, such as ``<|endoftext|>``, in capitals or small letters.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = sorted({t.content.encode().lower() for t in self.whole.get_added_tokens_decoder().values()})
         self.spaced = spaced
         self._forget()
 
@@ -87,16 +88,19 @@ class WordEncoder:
         ids = self.pool[np.repeat(start - total[:-1], count) + np.arange(total[-1])]
         return ids, total[first]
 
-    @staticmethod
-    def _odd(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Numbers of the texts that hold a character other than ASCII and Latin letters from A-grave on."""
+    def _odd(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that hold a character other than ASCII and Latin letters from A-grave on, or an added token."""
+        low, found = data.tobytes().lower(), []
+        for token in self.added:
+            place = low.find(token)
+            while place >= 0:
+                found.append(place)
+                place = low.find(token, place + 1)
         high = np.flatnonzero(data >= 0x80)
-        if len(high) == 0:
-            return high
         byte = data[high]
         lead, tail = byte >= 0xC0, byte < 0xC0
         bad = lead & (byte != 0xC3) | tail & ((byte == 0x97) | (byte == 0xB7))
-        return np.unique(np.searchsorted(at, high[bad], "right") - 1)
+        return np.unique(np.searchsorted(at, np.concatenate([high[bad], np.array(found, np.int64)]), "right") - 1)
 
     def _cut(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of the words of all texts."""

@@ -5,10 +5,15 @@ import random
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import documents, words
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from mapweave.llm import decontamination, licenses
+from mapweave.llm.bpe import WordEncoder
+from mapweave.llm.common import tokenizer_path
 
 
 @pytest.mark.parametrize("size", range(5, 26))
@@ -66,10 +71,25 @@ def test_licences_in_wrapped_notices_are_found(spark):
 
 
 def test_paragraphs_join_lines_of_one_text():
-    import pyarrow as pa
-
     lines = licenses.paragraphs(pa.array(["a b\n# c\n#\nd", "e", None, "f\n\ng h\ni\n"]))
     whole, start, owner, of = licenses.joined(*lines)
     assert start.tolist() == [0, 3, 6] and owner.tolist() == [0, 3]
     assert of[np.diff(lines[1]) > 0].tolist() == [0, 0, -1, -1, -1, 1, 1]
     assert whole.tolist() == lines[0][[0, 1, 2, 6, 7, 8]].tolist()
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_of_added_tokens_are_the_library_s(name, spaced):
+    tokenizers = pytest.importorskip("tokenizers")
+    whole, fast = tokenizers.Tokenizer.from_file(tokenizer_path(name)), WordEncoder(tokenizer_path(name), spaced)
+    part = st.sampled_from(["a", " b", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "endoftext", "|>", " ", "\n", "é", "中", "it's"])
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(part, max_size=6).map("".join) | st.none(), max_size=5))
+    def check(rows):
+        ids, at = fast.encode(pa.array(rows, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [whole.encode(t or "", add_special_tokens=False).ids for t in rows]
+
+    check()
+    if spaced:
+        assert fast.encode(pa.array(["a <|endoftext|> b"]))[0].tolist() == [64, 220, 50256, 275]
