@@ -1,9 +1,10 @@
 """Toxicity of texts whose writers disguise words.
 
 A disguised word is a noisy channel's output: a letter may have become a look-alike sign, have been repeated, or have
-got a separator behind it.  Spans where that can have happened (a look-alike sign before a letter, a letter three times
-over, a row of single letters) become lattices of letters, and Viterbi finds the likeliest path under a trigram model of
-the corpus' letters.  A span without such a sign has one path, itself, so decoding it would change nothing.
+got separators behind it.  Spans where that can have happened (words with a letter and a look-alike sign anywhere, a letter
+twice in a row or a separator inside, and rows of three or more single signs, however far apart) become lattices of
+letters, and Viterbi finds the likeliest path under a trigram model of the corpus' letters.  Other spans have one path
+only, themselves.  Tasks remember distinct spans, so the work follows the vocabulary.
 
 Features of a text are its words (runs of letters and bytes beyond ASCII, A-Z lower-cased) and the words' beginnings of
 4 to 8 bytes, of the text as it is and of its restored spans.  Document counts per feature and label come from all
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.llm.common import in_slots, remainder, slots_of, stored
-from mapweave.llm.words import FOLDED, bounds, buffer_of, hashes, mix, pieces
+from mapweave.llm.words import FOLDED, VALUE, bounds, buffer_of, hashes, mix, pieces
 
 MAX_FEATURES = 4000
 SAMPLE = 20_000  # training rows the regression is fitted on, about; those with the smallest hashes of their ids
@@ -53,9 +54,16 @@ _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[0xC2:] = 27
 _SKIP = np.zeros(256, bool)
 _SKIP[128:0xC0] = True
-_SPACED = re.compile(r"(?<![^\W_])(?:[A-Za-z0-9@$!|][ .\-_*]){3,}[A-Za-z0-9@$!|](?![^\W_])")
-_THRICE = re.compile(r"([A-Za-z])\1\1", re.IGNORECASE)
-_HIDDEN = re.compile(r"[0134578@$!|+(9€£][A-Za-z]")
+SEPARATORS = " \t\n\r.-_*"
+_APART = np.zeros(256, bool)
+_APART[[ord(c) for c in SEPARATORS]] = True
+_SIGNS = "".join(map(re.escape, LOOKALIKES))
+_SPACED = re.compile(rf"(?<![^\W_])(?:[A-Za-z0-9{_SIGNS}][ \t\n\r.\-_*]+){{2,}}[A-Za-z0-9{_SIGNS}](?![^\W_])")
+_TWICE = re.compile(r"([A-Za-z])\1", re.IGNORECASE)
+_HIDDEN = re.compile(f"[{_SIGNS}]")
+_INNER = re.compile(rf"(?:[^\W_]|[{_SIGNS}])[.\-_*]+(?:[^\W_]|[{_SIGNS}])")
+_LETTERS = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
+_ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
 
 
 # Letter model
@@ -100,14 +108,14 @@ def _symbol(c: str) -> int:
     return k if 1 <= k <= 26 else 27 if c.isalpha() else 0
 
 
-def restore(span: str, model: np.ndarray, separators: str = "", stray: float = STRAY) -> str:
+def restore(span: str, model: np.ndarray, separators: str = "", stray: float = STRAY, double: float = DOUBLE) -> str:
     """The likeliest letters behind one span: Viterbi over the lattice, a state being the last two letters."""
     # state: (symbol before last, last symbol, last seen sign) -> (log probability, text so far)
     states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
     low = span.lower()
     runs = {i for m in re.finditer(r"(.)\1\1+", low, re.DOTALL) for i in range(*m.span())}
     for i, sign in enumerate(low):
-        again = REPEAT if i in runs else DOUBLE
+        again = REPEAT if i in runs else double
         new: dict[tuple[int, int, str], tuple[float, str]] = {}
 
         def offer(key: tuple[int, int, str], value: float, text: str) -> None:
@@ -137,56 +145,60 @@ def restore(span: str, model: np.ndarray, separators: str = "", stray: float = S
     return max((value + (model[a, b, 0] if b else 0.0), text) for (a, b, _), (value, text) in states.items())[1].strip()
 
 
-def hidden_spans(text: str) -> list[tuple[str, str]]:
-    """Spans that may hide words, each with the separators that may have been put in."""
-    found = [(m[0], " .-_*") for m in _SPACED.finditer(text)]
-    found += [(w, "") for w in text.split() if _HIDDEN.search(w) or _THRICE.search(w)]
-    return found
-
-
-def _suspects(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Numbers of the texts with a possible span, found on the bytes."""
-    if len(data) < 3:
-        return np.empty(0, np.int64)
-    plain = _PLAIN[data]
-    low = data | 32
-    hit = np.zeros(len(data), bool)
-    hit[:-1] = (_SIGN[data[:-1]] | (data[:-1] >= 0x80)) & plain[1:] & ~_LETTER_LEAD(data)[:-1]
-    hit[:-2] |= plain[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-    # Single signs with one separator between them, four in a row.
-    if len(data) >= 7:
-        alone = (plain | _SIGN[data] | ((data >= 48) & (data <= 57)))
-        part = np.isin(data, list(b" .-_*"))
-        n = len(data) - 6
-        hit[:n] |= alone[:n] & part[1 : n + 1] & alone[2 : n + 2] & part[3 : n + 3] & alone[4 : n + 4] & part[5 : n + 5] & alone[6 : n + 6]
-    return np.unique(np.searchsorted(at, np.flatnonzero(hit), "right") - 1)
-
-
-def _LETTER_LEAD(data: np.ndarray) -> np.ndarray:
-    """Bytes of two-byte Latin letters, which never are look-alike signs."""
-    out = data >= 0x80
-    wide = (data == 0xE2) | (data == 0xC2)  # the euro and pound signs begin so
-    tail = np.zeros(len(data), bool)
-    tail[1:] |= wide[:-1]
-    tail[2:] |= data[:-2] == 0xE2
-    return out & ~tail
-
-
-def restored_texts(texts: pa.Array, model: np.ndarray, memory: dict[tuple[str, str], str]) -> pa.Array:
-    """For each text its restored spans as one text, empty where nothing can be hidden."""
+def word_spans(word: str) -> list[tuple[str, str]]:
+    """The ways to read a word that may be disguised, each with the separators that may have been put in."""
+    if not any(map(str.isalpha, word)):
+        return []
+    found = [(word, "")] if _HIDDEN.search(word) or _TWICE.search(word) else []
+    return found + ([(word, SEPARATORS)] if _INNER.search(word) else [])
+
+
+def _restored(key: tuple[str, str], model: np.ndarray, memory: dict[tuple[str, str], str], again: bool = True) -> str:
+    """What a span restores to beyond the words that it shows."""
+    if key not in memory:
+        if len(memory) > 200_000:
+            memory.clear()
+        # Also with every look-alike sign read as a letter, where a rare beginning speaks against it, and with double
+        # letters said once, where the texts have such doubles themselves.
+        strays = (STRAY, -50.0) if _HIDDEN.search(key[0]) else (STRAY,)
+        doubles = (DOUBLE, REPEAT, 50.0) if again and _TWICE.search(key[0]) else (DOUBLE,)
+        shown = set(_LETTERS.findall(key[0].translate(_ASCII_LOWER)))
+        memory[key] = " ".join(x for x in dict.fromkeys(restore(key[0], model, key[1], x, y) for x in strays for y in doubles) if not shown.issuperset(_LETTERS.findall(x)))
+    return memory[key]
+
+
+def _rows_of_signs(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers of the texts that may hold three single signs in a row."""
+    begins, ends, first = bounds(data, at, ~_APART)
+    alone = (ends - begins == 1) | (ends - begins <= 3) & (data[begins] >= 0x80) if len(begins) else np.empty(0, bool)
+    doc = np.searchsorted(first, np.flatnonzero(alone[:-2] & alone[1:-1] & alone[2:]) + 2, "right") - 1 if len(alone) > 2 else np.empty(0, np.int64)
+    return np.unique(doc)
+
+
+def restored_texts(texts: pa.Array, model: np.ndarray, memory: dict[tuple[str, str], str], again: bool = True) -> pa.Array:
+    """For each text its restored spans as one text, empty where nothing is hidden; ``again``: also with double letters
+    said once at any price."""
     data, at = buffer_of(texts)
-    out = [""] * len(texts)
-    for i in _suspects(data, at).tolist():
-        got = []
-        for key in hidden_spans(texts[i].as_py() or ""):
-            if key not in memory:
-                if len(memory) > 200_000:
-                    memory.clear()
-                # Also with every look-alike sign read as a letter, where a rare beginning speaks against it.
-                memory[key] = " ".join(dict.fromkeys(restore(key[0], model, key[1], x) for x in (STRAY, -50.0)))
-            got.append(memory[key])
-        out[i] = " ".join(got)
-    return pa.array(out, pa.string())
+    got: list[list[str]] = [[] for _ in range(len(texts))]
+    for i in _rows_of_signs(data, at).tolist():
+        got[i] += [_restored((m[0], SEPARATORS), model, memory, again) for m in _SPACED.finditer(texts[i].as_py() or "")]
+    # Words with a look-alike sign, a letter twice or a separator between others, found on the bytes; each is read once.
+    begins, ends, first = bounds(data, at)
+    if len(begins):
+        low, plain = data | 32, _PLAIN[data]
+        hit = _SIGN[data] | (data == 0xC2) | (data == 0xE2)  # the euro and pound signs begin so
+        hit[1:] |= plain[1:] & (low[1:] == low[:-1])
+        hit[1:] |= _APART[data[1:]] & ~_APART[data[:-1]]
+        hits, letters = (np.concatenate([[0], np.cumsum(x)]) for x in (hit, plain | (data >= 0x80)))
+        use = np.flatnonzero((hits[ends] > hits[begins]) & (letters[ends] > letters[begins]))
+        kinds, one, of = np.unique(hashes(data, begins[use], ends[use], VALUE), return_index=True, return_inverse=True)
+        raw, b, e = data.tobytes(), begins[use[one]], ends[use[one]]
+        read = [" ".join(filter(None, (_restored(k, model, memory, again) for k in word_spans(raw[x:y].decode())))) for x, y in zip(b.tolist(), e.tolist())]
+        some = np.array([bool(x) for x in read], bool)[of] if len(read) else np.empty(0, bool)
+        doc = np.searchsorted(first, use[some], "right") - 1
+        for d, k in zip(*(x.tolist() for x in np.divmod(np.unique(doc * max(1, len(kinds)) + of[some]), max(1, len(kinds))))):
+            got[d].append(read[k])
+    return pa.array([" ".join(filter(None, x)) for x in got], pa.string())
 
 
 # Features
@@ -205,9 +217,9 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(docs)
 
 
-def document_features(texts: pa.Array, model: np.ndarray, memory: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def document_features(texts: pa.Array, model: np.ndarray, memory: dict, again: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     yield features(texts)
-    more = restored_texts(texts, model, memory)
+    more = restored_texts(texts, model, memory, again)
     yield features(more)
 
 
@@ -219,7 +231,8 @@ def feature_counts(labelled: DataFrame, model: np.ndarray) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch, size=2 << 20):  # each sends its features
                 toxic = piece.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-                both = list(document_features(piece.column("text"), model, memory))
+                # A word said with its double letters once would share its own weight.
+                both = list(document_features(piece.column("text"), model, memory, again=False))
                 f, d = np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both])
                 f, number = np.unique(f, return_inverse=True)
                 pair = np.unique(number.astype(np.int64) * piece.num_rows + d)

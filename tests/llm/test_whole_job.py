@@ -11,7 +11,7 @@ from fixtures import documents, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mapweave.llm import decontamination, licenses
+from mapweave.llm import decontamination, licenses, toxicity
 from mapweave.llm.bpe import WordEncoder
 from mapweave.llm.common import tokenizer_path
 
@@ -93,3 +93,35 @@ def test_ids_of_added_tokens_are_the_library_s(name, spaced):
     check()
     if spaced:
         assert fast.encode(pa.array(["a <|endoftext|> b"]))[0].tolist() == [64, 220, 50256, 275]
+
+
+DISGUISES = ["idio7", "idi07", "idi0+", "1diot", "id1ot", "patheti(", "p@thetic", "a$$", "@ss", "a5s", "d13", "stuupid", "sstupid", "stupidd", "i d i o t", "i  d  i  o  t", "i . d . i . o . t", "1 d 1 0 7", "a s s", "id.iot", "i.diot", "idio.t", "id--iot", "£00ser"]
+MEANT = ["idiot"] * 5 + ["pathetic"] * 2 + ["ass"] * 3 + ["die"] + ["stupid"] * 3 + ["idiot"] * 4 + ["ass"] + ["idiot"] * 4 + ["looser"]
+
+
+def test_disguises_at_every_letter_are_restored():
+    counts = np.zeros(toxicity.SYMBOLS**3)
+    for w in ["idiot", "stupid", "pathetic", "ass", "die", "looser", "the", "cat", "sat"] * 20:
+        s = [0, *(ord(c) - 96 for c in w), 0]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            counts[(a * 28 + b) * 28 + c] += 1
+    m = toxicity.letter_model(counts)
+    got = toxicity.restored_texts(pa.array([*(f"the cat {d} sat" for d in DISGUISES), "the cat sat", None, "", "12 $$"]), m, {}).to_pylist()
+    assert [w for w, g in zip(MEANT, got) if w not in g.split()] == []
+    assert got[len(MEANT) :] == [""] * 4
+
+
+def test_texts_with_a_disguised_word_alone_are_toxic(spark):
+    rng = random.Random(14)
+    bad = sorted({*MEANT} - {"looser"})
+    rows, labels = [], []
+    for i in range(400):
+        w = words(rng, "en", 40).split()
+        if i % 4 == 0:
+            w[rng.randrange(40)] = rng.choice(bad)
+        rows.append((i, " ".join(w), "en"))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(1000 + k, f"the an {d} her", "en") for k, d in enumerate(DISGUISES[:-1])] + [(2000, "the an her", "en")]
+    found = toxicity.score_documents(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    got = {r["doc_id"]: r["predicted"] for r in found}
+    assert [d for k, d in enumerate(DISGUISES[:-1]) if not got[1000 + k]] == [] and got[2000] == 0
