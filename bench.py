@@ -21,7 +21,7 @@ from catalog.tables import imported, node_table, way_table  # noqa: E402
 from mapweave.config import TerrainConfig, WorldConfig  # noqa: E402
 from mapweave.operators import faces, features, mask, raster, tiles  # noqa: E402
 from mapweave.plans import terrain_world  # noqa: E402
-from mapweave.plans.importing import import_map, tile_faces  # noqa: E402
+from mapweave.plans.importing import import_map, tile_faces, tile_meshes  # noqa: E402
 from mapweave.session import local_session  # noqa: E402
 
 

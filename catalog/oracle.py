@@ -565,10 +565,11 @@ select tx, ty, seed // 2 as osm_id, seed, 'junction' as part, s as face, x as x0
   null::double as x3, null::double as y3, null::double as z3, 0e0 as nx, 1e0 as ny, 0e0 as nz, [3e-1, 3e-1, 32e-2, 1e0] as c
 from (select *, unnest(range(0, 12)) as s from junction)"""
 twin("geo5_junction_faces", f"select tx, ty, osm_id, seed, part, face, {_FACE} from disc")
-STEPS["tile_face"] = """
-select tx, ty, 'road' as kind, 'road ' || osm_id as mesh, part, osm_id, x0, x1, x2, x3, z0, z1, z2, z3 from ribbon join bridge using (osm_id) where kind = 'road'
-union all select tx, ty, 'road', 'junction ' || seed, part, osm_id, x0, x1, x2, x3, z0, z1, z2, z3 from disc
-union all select tx, ty, 'building', 'building ' || osm_id, part, osm_id, x0, x1, x2, x3, z0, z1, z2, z3 from b_face join bridge using (osm_id) where kind = 'building'"""
+_XYZS = ", ".join(f"{a}{i}" for a in "xyz" for i in range(4))
+STEPS["tile_face"] = f"""
+select tx, ty, 'road' as kind, 'road ' || osm_id as mesh, part, osm_id, {_XYZS} from ribbon join bridge using (osm_id) where kind = 'road'
+union all select tx, ty, 'road', 'junction ' || seed, part, osm_id, {_XYZS} from disc
+union all select tx, ty, 'building', 'building ' || osm_id, part, osm_id, {_XYZS} from b_face join bridge using (osm_id) where kind = 'building'"""
 twin("geo6_tile_faces", "select tx, ty, kind, mesh, part, count(*) as faces from tile_face group by all")
 twin("agg18_face_counts", """
 select tx, ty, kind, count(distinct mesh) as meshes, cast(sum(case when x3 is null then 1 else 2 end) as bigint) as triangles
@@ -580,6 +581,24 @@ near as (select tx, ty, mesh from seen group by all
     + pow((min(least(z0, z1, z2, z3)) + max(greatest(z0, z1, z2, z3))) * 5e-1 + 2e2, 2) <= 81e4)
 select tx, ty, kind, mesh, part, count(*) as faces from seen join near using (tx, ty, mesh) group by tx, ty, kind, mesh, part""".replace("with seen as", "select * from (with seen as", 1) + ")")
 
+STEPS["area_ring"] = f"""
+select tx, ty, osm_id, i, x, case type when 'Water' then 1e-2 when 'Parking' then 3e-2 else 2e-2 end as y, -y as z, {_AREAC} as c
+from area_pt join (select osm_id, type from area_row) using (osm_id) join (select tx, ty, osm_id from bridge where kind = 'area') using (osm_id)"""
+twin("geo6_tile_areas", f"select tx, ty, osm_id, i, {rs(3, 'x', 'y', 'z')}, {rgba_columns('c')} from area_ring")
+_LOW = ", ".join(f"min(least({', '.join(f'{a}{i}' for i in range(4))})) as min_{a}, max(greatest({', '.join(f'{a}{i}' for i in range(4))})) as max_{a}" for a in "xyz")
+STEPS["mesh_box"] = f"""
+select tx, ty, kind, mesh, {_LOW}, cast(sum(case when x3 is null then 1 else 2 end) as bigint) as triangles from tile_face group by tx, ty, kind, mesh
+union all select tx, ty, 'area', 'area ' || osm_id, min(x), max(x), min(y), max(y), min(z), max(z), 0 from area_ring group by tx, ty, osm_id"""
+twin("geo9_visible_meshes", f"""
+select tx, ty, kind, mesh, {rs(2, *[f'{s}_{a}' for a in 'xyz' for s in ('min', 'max')])}, triangles
+from mesh_box join (select tx, ty from box where {_REGION}) using (tx, ty)
+where pow((min_x + max_x) * 5e-1 - 1e2, 2) + pow((min_z + max_z) * 5e-1 + 2e2, 2) <= 81e4""")
+twin("jon5_tile_ledger", """
+select tx, ty, f.features, coalesce(m.meshes, 0) as meshes, coalesce(m.triangles, 0) as triangles,
+  case when (tx, ty) in (select (tx, ty) from near_tile) then 1 else 2 end as run
+from (select tx, ty, count(*) as features from bridge group by tx, ty) f
+left join (select tx, ty, count(*) as meshes, cast(sum(triangles) as bigint) as triangles from mesh_box group by tx, ty) m using (tx, ty)""")
+
 # --- aggregations ----------------------------------------------------------------------
 
 twin("agg1_bounds", f"select {rs(7, 'min_lat', 'max_lat', 'min_lon', 'max_lon')} from bounds")

@@ -17,10 +17,10 @@ from mapweave.functions.columns import lerp_colour, one_row, rgba, smoothstep
 from mapweave.functions.noise import with_fractal, with_ridges
 from mapweave.functions.tags import tag
 from mapweave.operators import (
-    extents, faces, features, lines, mask, proximity, raster, simplify, tiles, visibility,
+    extents, faces, features, lines, mask, meshes, proximity, raster, simplify, tiles, visibility,
 )
-from mapweave.plans import terrain_world, viewing
-from mapweave.plans.importing import tile_faces
+from mapweave.plans import terrain_world, tile_build, viewing
+from mapweave.plans.importing import tile_meshes
 from mapweave.session import scratch_path, tune
 from mapweave.sources import map_xml, tile_store
 
@@ -457,6 +457,20 @@ def jon5_missing_tiles(spark, sf):
     return tiles.missing_tiles(existing, built, pending)
 
 
+@query
+def jon5_tile_ledger(spark, sf):
+    """Two runs of the tile builder: the tiles near the eye first, then whatever is missing; the ledger after both."""
+    key = (spark.sparkContext.applicationId, sf, "tile_build")
+    if key not in tables._STORED:
+        m, path = imported(spark, sf), scratch_path(spark, "tile_build")
+        store = tile_build.TileStore(spark, path, FACE_SPAN)
+        near = _boxes(spark, sf).where(visibility.near(EYE, RADIUS))
+        for wanted in (near, None):
+            tile_build.build_tiles(store, m, wanted)
+        tables._STORED[key] = path
+    return tile_build.TileStore(spark, tables._STORED[key], FACE_SPAN).built().select("tx", "ty", "features", "meshes", "triangles", "run")
+
+
 @query
 def jon6_near_pairs(spark, sf):
     """Road-end places with every nearer-than-2-m first place of a cell."""
@@ -644,7 +658,8 @@ def agg17_mask_blend(spark, sf):
 @query
 def agg18_face_counts(spark, sf):
     """Meshes and triangles of every tile by kind: roads with their junctions, and buildings."""
-    return faces.face_counts(_stored_faces(spark, sf), "tx", "ty", "kind", mesh="mesh")
+    counted = _stored_meshes(spark, sf).where("faces is not null").groupBy("tx", "ty", "kind")
+    return counted.agg(F.count(F.lit(1)).alias("meshes"), F.sum(meshes.triangle_count()).alias("triangles"))
 
 
 def _filled(spark, sf) -> DataFrame:
@@ -880,23 +895,35 @@ def geo5_junction_faces(spark, sf):
 FACE_SPAN = 2
 
 
-def _face_store(spark, sf) -> str:
-    """Where all faces are kept by tile."""
-    key = (spark.sparkContext.applicationId, sf, "face_store")
+def _mesh_store(spark, sf) -> str:
+    """Where all meshes are kept by tile."""
+    key = (spark.sparkContext.applicationId, sf, "mesh_store")
     if key not in tables._STORED:
-        path = scratch_path(spark, "faces")
-        tile_store.write_tiles(tile_faces(imported(spark, sf)), path, span=FACE_SPAN)
+        path = scratch_path(spark, "meshes")
+        tile_store.write_tiles(tile_meshes(imported(spark, sf)), path, span=FACE_SPAN)
         tables._STORED[key] = path
     return tables._STORED[key]
 
 
-def _stored_faces(spark, sf) -> DataFrame:
-    return tile_store.read_tiles(spark, _face_store(spark, sf), span=FACE_SPAN)
+def _stored_meshes(spark, sf) -> DataFrame:
+    return tile_store.read_tiles(spark, _mesh_store(spark, sf), span=FACE_SPAN)
 
 
 @query
 def geo6_tile_faces(spark, sf):
-    return _stored_faces(spark, sf).groupBy("tx", "ty", "kind", "mesh", "part").agg(F.count(F.lit(1)).alias("faces"))
+    return meshes.faces_of(_stored_meshes(spark, sf)).groupBy("tx", "ty", "kind", "mesh", "part").agg(F.count(F.lit(1)).alias("faces"))
+
+
+def _ring_points(rows: DataFrame) -> DataFrame:
+    """One row per ring point of area meshes."""
+    points = rows.where("kind = 'area'").select("tx", "ty", "osm_id", "color", F.posexplode("ring").alias("i", "p")).select("tx", "ty", "osm_id", "i", "p.*", "color")
+    return colour_columns(rounded(points, 3, "x", "y", "z"))
+
+
+@query
+def geo6_tile_areas(spark, sf):
+    """Areas of each tile as lifted, coloured rings."""
+    return _ring_points(_stored_meshes(spark, sf))
 
 
 @query
@@ -916,10 +943,21 @@ def geo8_surface_triangles(spark, sf):
 @query
 def geo9_visible_faces(spark, sf):
     """Faces in view: tiles by region, meshes by distance."""
-    got = viewing.visible_faces(spark, _face_store(spark, sf), _boxes(spark, sf), PLANES, EYE, RADIUS, FACE_SPAN)
+    got = meshes.faces_of(_visible(spark, sf))
     return got.groupBy("tx", "ty", "kind", "mesh", "part").agg(F.count(F.lit(1)).alias("faces"))
 
 
+def _visible(spark, sf) -> DataFrame:
+    return viewing.visible_meshes(spark, _mesh_store(spark, sf), _boxes(spark, sf), PLANES, EYE, RADIUS, FACE_SPAN)
+
+
+@query
+def geo9_visible_meshes(spark, sf):
+    """Meshes in view, areas among them, with their boxes."""
+    got = _visible(spark, sf).select("tx", "ty", "kind", "mesh", *meshes.BOX, meshes.triangle_count().alias("triangles"))
+    return rounded(got, 2, *meshes.BOX)
+
+
 # --- rasters ------------------------------------------------------------------------------
 
 

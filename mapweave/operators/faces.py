@@ -1,7 +1,8 @@
 """Faces of features: walls, roofs and road ribbons as rows with corner columns.
 
 A quad row has corners 0..3, a triangle row has NULLs for corner 3.  Space is
-x east, y up, z south.  Every function here works inside feature rows.
+x east, y up, z south.  Every function here works inside feature rows; columns named
+in ``keep`` (a feature's tile, say) go along with every face.
 """
 
 from __future__ import annotations
@@ -45,30 +46,31 @@ def _with_upward_normal(rows: DataFrame, third: str) -> DataFrame:
     return scaled.select("*", *[(F.col(f"k{k}") * F.col("scale")).alias(f"n{k}") for k in "xyz"])
 
 
-def _sides(buildings: DataFrame, **extra: Column) -> DataFrame:
-    """One row per side of every footprint: osm_id, height, face, px, py, qx, qy and the extra columns."""
+def _sides(buildings: DataFrame, keep: tuple[str, ...], **extra: Column) -> DataFrame:
+    """One row per side of every footprint: osm_id, height, face, px, py, qx, qy, the kept and the extra columns."""
+    kept = ["osm_id", "height", *keep, *extra]
     return (
         buildings.where(F.size("footprint") >= 3)
-        .select("osm_id", "height", "footprint", *[v.alias(k) for k, v in extra.items()])
-        .select("osm_id", "height", *extra, F.posexplode(shapes.ring_sides(F.col("footprint"))).alias("face", "side"))
+        .select("osm_id", "height", *keep, "footprint", *[v.alias(k) for k, v in extra.items()])
+        .select(*kept, F.posexplode(shapes.ring_sides(F.col("footprint"))).alias("face", "side"))
         .select(
-            "osm_id", "height", *extra, "face", F.col("side.p.x").alias("px"), F.col("side.p.y").alias("py"),
+            *kept, "face", F.col("side.p.x").alias("px"), F.col("side.p.y").alias("py"),
             F.col("side.q.x").alias("qx"), F.col("side.q.y").alias("qy"),
         )
     )
 
 
-def wall_faces(buildings: DataFrame) -> DataFrame:
+def wall_faces(buildings: DataFrame, *keep: str) -> DataFrame:
     """One upright quad per side of a footprint; its normal is NULL when the side has no length."""
     colour = tags.parse_colour(F.col("building_color"), classify.wall_colour(F.col("type")))
-    rows = _sides(buildings, color=colour)
+    rows = _sides(buildings, keep, color=colour)
     ex, ez = F.col("qx") - F.col("px"), -(F.col("qy") - F.col("py"))
     rows = rows.select("*", ex.alias("ex"), ez.alias("ez")).select(
         "*", F.nullif(norm(F.col("ex"), F.col("ez")), F.lit(0.0)).alias("length")
     )
     floor, top = F.lit(0.0), F.col("height")
     return rows.select(
-        "osm_id", F.lit("wall").alias("part"), "face",
+        *keep, "osm_id", F.lit("wall").alias("part"), "face",
         *_corner(0, F.col("px"), floor, F.col("py")), *_corner(1, F.col("qx"), floor, F.col("qy")),
         *_corner(2, F.col("qx"), top, F.col("qy")), *_corner(3, F.col("px"), top, F.col("py")),
         (F.col("ez") / F.col("length")).alias("nx"),
@@ -82,10 +84,10 @@ def _roof_colour() -> Column:
     return tags.parse_colour(F.col("roof_color"), classify.roof_colour(F.col("type")))
 
 
-def gabled_roof_faces(buildings: DataFrame) -> DataFrame:
+def gabled_roof_faces(buildings: DataFrame, *keep: str) -> DataFrame:
     """One quad per side up to a ridge along the longest side."""
     rows = _sides(
-        buildings.where(F.col("roof_type") == "Gabled"),
+        buildings.where(F.col("roof_type") == "Gabled"), keep,
         color=_roof_colour(), axis=shapes.principal_axis(F.col("footprint")),
     ).select("*", "axis.*")
     half = F.col("length") * F.lit(0.5)
@@ -95,7 +97,7 @@ def gabled_roof_faces(buildings: DataFrame) -> DataFrame:
         (F.col("px") + F.col("qx")) * F.lit(0.5) - F.col("cx")
     ) * F.col("ay")
     placed = rows.select(
-        "osm_id", "face", "color", across.alias("across"),
+        *keep, "osm_id", "face", "color", across.alias("across"),
         *_corner(0, F.col("px"), F.col("height"), F.col("py")),
         *_corner(1, F.col("qx"), F.col("height"), F.col("qy")),
         *_corner(2, F.col("cx") + F.col("ax") * half, ridge, F.col("cy") + F.col("ay") * half),
@@ -105,41 +107,41 @@ def gabled_roof_faces(buildings: DataFrame) -> DataFrame:
         F.when(F.col("across") > F.lit(0.0), F.col(f"{k}3")).otherwise(F.col(f"{k}2")).alias(f"{k}_third") for k in "xyz"
     ]
     return _with_upward_normal(placed.select("*", *third), "_third").select(
-        "osm_id", F.lit("roof").alias("part"), "face", *CORNERS, "nx", "ny", "nz", "color"
+        *keep, "osm_id", F.lit("roof").alias("part"), "face", *CORNERS, "nx", "ny", "nz", "color"
     )
 
 
-def pointed_roof_faces(buildings: DataFrame) -> DataFrame:
+def pointed_roof_faces(buildings: DataFrame, *keep: str) -> DataFrame:
     """One triangle per side up to an apex over the vertex mean (hipped and pyramidal roofs)."""
     pointed = buildings.where(F.col("roof_type").isin("Hipped", "Pyramidal")).withColumn(
         "mean", shapes.vertex_mean(F.col("footprint"))
     )
     rows = _sides(
-        pointed, color=_roof_colour(), mean=F.col("mean"),
+        pointed, keep, color=_roof_colour(), mean=F.col("mean"),
         clearance=shapes.clearance(F.col("footprint"), F.col("mean")),
     )
     placed = rows.select(
-        "osm_id", "face", "color",
+        *keep, "osm_id", "face", "color",
         *_corner(0, F.col("px"), F.col("height"), F.col("py")),
         *_corner(1, F.col("qx"), F.col("height"), F.col("qy")),
         *_corner(2, F.col("mean.x"), F.col("height") + F.col("clearance") * F.lit(ROOF_PITCH), F.col("mean.y")),
         *_no_corner(3),
     )
     return _with_upward_normal(placed, "2").select(
-        "osm_id", F.lit("roof").alias("part"), "face", *CORNERS, "nx", "ny", "nz", "color"
+        *keep, "osm_id", F.lit("roof").alias("part"), "face", *CORNERS, "nx", "ny", "nz", "color"
     )
 
 
-def building_faces(buildings: DataFrame) -> DataFrame:
+def building_faces(buildings: DataFrame, *keep: str) -> DataFrame:
     """Walls and sloped roofs.  Flat roofs and other roof classes stay as rings at roof height."""
-    return wall_faces(buildings).unionByName(gabled_roof_faces(buildings)).unionByName(pointed_roof_faces(buildings))
+    return wall_faces(buildings, *keep).unionByName(gabled_roof_faces(buildings, *keep)).unionByName(pointed_roof_faces(buildings, *keep))
 
 
-def road_faces(roads: DataFrame) -> DataFrame:
+def road_faces(roads: DataFrame, *keep: str) -> DataFrame:
     """One flat quad per road segment, as wide as the road, mitred along the point directions."""
     rows = lines.segment_directions(
         roads.select(
-            "osm_id", "polyline", (F.col("width") * F.lit(0.5)).alias("half"),
+            *keep, "osm_id", "polyline", (F.col("width") * F.lit(0.5)).alias("half"),
             classify.road_colour(F.col("type")).alias("color"),
         ),
         "polyline",
@@ -148,7 +150,7 @@ def road_faces(roads: DataFrame) -> DataFrame:
     left = lambda k: (F.col(f"{k}x") + F.col(f"{k}ty") * half, lift, F.col(f"{k}y") - F.col(f"{k}tx") * half)
     right = lambda k: (F.col(f"{k}x") - F.col(f"{k}ty") * half, lift, F.col(f"{k}y") + F.col(f"{k}tx") * half)
     return rows.select(
-        "osm_id", F.lit("ribbon").alias("part"), F.col("i").alias("face"),
+        *keep, "osm_id", F.lit("ribbon").alias("part"), F.col("i").alias("face"),
         *_corner(0, *left("p")), *_corner(1, *right("p")), *_corner(2, *right("q")), *_corner(3, *left("q")),
         F.lit(0.0).alias("nx"), F.lit(1.0).alias("ny"), F.lit(0.0).alias("nz"), "color",
     )
@@ -245,8 +247,3 @@ def bad_indices(vertices: DataFrame, indices: DataFrame) -> DataFrame:
     numbered = indices.select("osm_id", "part", "face", F.explode(F.array("a", "b", "c")).alias("vertex"))
     return numbered.join(vertices.select("osm_id", "part", "vertex"), ["osm_id", "part", "vertex"], "left_anti")
 
-
-def tile_faces(faces: DataFrame, bridge: DataFrame, kind: str) -> DataFrame:
-    """Faces of each tile a feature of ``kind`` belongs to; a face comes once per tile."""
-    tiles = bridge.where(F.col("kind") == kind)
-    return faces.join(tiles, "osm_id")

@@ -1,4 +1,4 @@
-"""The faces in view: tiles by region, features by distance."""
+"""What is in view: tiles by region, meshes by distance."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import faces, visibility
+from ..operators import meshes, visibility
 from ..sources import tile_store
 
 
@@ -17,17 +17,15 @@ def visible_tiles(boxes: DataFrame, planes: Sequence[tuple[float, float, float,
     ).select("tx", "ty")
 
 
-def near_faces(seen: DataFrame, eye: tuple[float, float, float], radius: float) -> DataFrame:
-    """Faces of the given tiles whose mesh lies within the radius on the ground.
+def near_meshes(seen: DataFrame, eye: tuple[float, float, float], radius: float) -> DataFrame:
+    """Mesh rows whose box centre lies within the radius on the ground: one row predicate."""
+    return seen.where(meshes.in_reach(eye, radius) & visibility.near_flat(eye, radius))
 
-    The distance test needs the box of each mesh in a tile, one aggregation."""
-    near = faces.feature_boxes(seen, "tx", "ty", "mesh").where(visibility.near_flat(eye, radius))
-    return seen.join(near.select("tx", "ty", "mesh"), ["tx", "ty", "mesh"], "left_semi")
 
-
-def visible_faces(
+def visible_meshes(
     spark: SparkSession, path: str, boxes: DataFrame, planes: Sequence[tuple[float, float, float, float]],
     eye: tuple[float, float, float], radius: float, span: int = 16,
 ) -> DataFrame:
-    """Faces in view from a table stored by tile: only the folders of visible tiles are read."""
-    return near_faces(tile_store.read_keys(spark, path, visible_tiles(boxes, planes), span), eye, radius)
+    """Meshes in view from a table of mesh rows stored by tile: only the folders of visible tiles are read, and in them
+    only row groups whose boxes can be near."""
+    return near_meshes(tile_store.read_keys(spark, path, visible_tiles(boxes, planes), span), eye, radius)

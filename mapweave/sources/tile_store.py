@@ -7,11 +7,14 @@ so the row-group statistics skip the other tiles of the folder.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def _block(tile: Column, span: int) -> Column:
+def block(tile: Column, span: int) -> Column:
+    """The folder key of a tile key."""
     return F.floor(tile / F.lit(float(span))).cast("int")
 
 
@@ -20,7 +23,7 @@ def write_tiles(df: DataFrame, path: str, span: int = 16, mode: str = "overwrite
 
     The rebalance hint gathers a folder in few files and lets adaptive
     execution split a folder that holds too much of the data."""
-    keyed = df.withColumn("px", _block(F.col("tx"), span)).withColumn("py", _block(F.col("ty"), span))
+    keyed = df.withColumn("px", block(F.col("tx"), span)).withColumn("py", block(F.col("ty"), span))
     (
         keyed.hint("rebalance", F.col("px"), F.col("py"))
         .sortWithinPartitions("px", "py", "tx", "ty")
@@ -34,7 +37,7 @@ def read_keys(spark: SparkSession, path: str, keys: DataFrame, span: int = 16) -
     """Fetch the tiles of a small table of keys (``tx, ty``).
 
     The folder keys are part of the join, so Spark prunes folders while it runs."""
-    wanted = keys.select("tx", "ty", _block(F.col("tx"), span).alias("px"), _block(F.col("ty"), span).alias("py"))
+    wanted = keys.select("tx", "ty", block(F.col("tx"), span).alias("px"), block(F.col("ty"), span).alias("py"))
     return spark.read.parquet(path).join(wanted, ["px", "py", "tx", "ty"], "left_semi").drop("px", "py")
 
 
@@ -49,3 +52,13 @@ def read_tiles(
             low, high = limits
             df = df.where(F.col(folder).between(low // span, high // span) & F.col(tile).between(low, high))
     return df.drop("px", "py")
+
+
+def stored_or_none(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame | None:
+    """A stored table, or None where nothing has been stored yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
