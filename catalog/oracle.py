@@ -524,12 +524,23 @@ select osm_id, max(face) as face, max(face) * 4 + 4 as vertex from ribbon group
 ROUNDS = 6
 
 
+def mixed(number: str) -> str:
+    """The order in which places are met."""
+    up = f"({number} + {1 << 61})"
+    high, low = f"({up} >> 31)", f"({up} % {1 << 31})"
+    for constant in (1500450271, 1190494759, 987654319, 2038074743):
+        at = f"(({low} + {constant}) % {(1 << 31) - 1})"
+        high, low = low, f"(({high} + ({at} * {at}) % {(1 << 31) - 1}) % {1 << 31})"
+    return f"({high} * {1 << 31} + {low})"
+
+
 def greedy(prefix: str, spots: str, keys: list[str]) -> None:
     k = "".join(f"{c}, " for c in keys)
     on = "".join(f"a.{c} = b.{c} and " for c in keys)
+    STEPS[f"{prefix}_turn"] = f"select *, {mixed('idx')} as turn from {spots}"
     STEPS[f"{prefix}_near"] = f"""
-select {''.join(f'a.{c}, ' for c in keys)}a.idx as idx, b.idx as other from (select *, floor(x / 2e0) as cx, floor(y / 2e0) as cy from {spots}) a
-join (select *, unnest([-1, 0, 1]) as ox from (select *, unnest([-1, 0, 1]) as oy from {spots})) b
+select {''.join(f'a.{c}, ' for c in keys)}a.idx as idx, b.idx as other, a.turn as turn, b.turn as other_turn from (select *, floor(x / 2e0) as cx, floor(y / 2e0) as cy from {prefix}_turn) a
+join (select *, unnest([-1, 0, 1]) as ox from (select *, unnest([-1, 0, 1]) as oy from {prefix}_turn)) b
   on {on}a.cx = floor(b.x / 2e0) + ox and a.cy = floor(b.y / 2e0) + oy
 where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 4e0"""
     STEPS[f"{prefix}_free0"] = f"select {k}idx from {spots}"
@@ -537,14 +548,14 @@ where (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 4e0"""
         free = f"{prefix}_free{n}"
         STEPS[f"{prefix}_seed{n}"] = f"""
 select {k}idx from {free} where ({k}idx) not in (
-  select ({k}idx) from {prefix}_near join (select {k}idx as other from {free}) using ({k}other) where other < idx)"""
+  select ({k}idx) from {prefix}_near join (select {k}idx as other from {free}) using ({k}other) where other_turn < turn)"""
         STEPS[f"{prefix}_free{n + 1}"] = f"""
 select {k}idx from {free} where ({k}idx) not in (
   select ({k}idx) from {prefix}_near join (select {k}idx as other from {prefix}_seed{n}) using ({k}other))"""
     seeds = " union all ".join(f"select * from {prefix}_seed{n}" for n in range(ROUNDS))
     STEPS[f"{prefix}_group"] = f"""
-select {k}idx, min(other) as seed from {prefix}_near join (select {k}idx as other from ({seeds})) using ({k}other)
-where other <= idx and (select case when count(*) > 0 then error('places left after all rounds: ' || count(*)) else '' end from {prefix}_free{ROUNDS}) = ''
+select {k}idx, arg_min(other, other_turn) as seed from {prefix}_near join (select {k}idx as other from ({seeds})) using ({k}other)
+where other_turn <= turn and (select case when count(*) > 0 then error('places left after all rounds: ' || count(*)) else '' end from {prefix}_free{ROUNDS}) = ''
 group by all"""
 
 

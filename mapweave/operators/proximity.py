@@ -15,12 +15,38 @@ from ..functions.columns import record, rgba
 from ..functions.fixed_values import (
     JUNCTION_COLOUR, JUNCTION_DISTANCE, JUNCTION_LIFT, JUNCTION_RADIUS_PER_WIDTH, JUNCTION_SEGMENTS,
 )
-from ..session import enable_checkpoints
+from ..session import set_aside
 
 CELL_SHARE = 0.7
+# Mixing of numbers: halves of 31 bits, a prime below 2**31, one constant per round.
+_HALF, _PRIME, _SHIFT = 1 << 31, (1 << 31) - 1, 1 << 61
+_ROUNDS = (1500450271, 1190494759, 987654319, 2038074743)
 _REACH = [-2, -1, 0, 1, 2]
 
 
+def _stir(half: Column, constant: int) -> Column:
+    at = (half + F.lit(constant)) % F.lit(_PRIME)
+    return (at * at) % F.lit(_PRIME)
+
+
+def mixed(number: Column) -> Column:
+    """Another whole number for each number between -2**61 and 2**61, in an order that has nothing to do with theirs.
+
+    Whole-number arithmetic alone, so other engines can follow it; :func:`unmixed` turns it back."""
+    up = number.cast("long") + F.lit(_SHIFT)
+    high, low = F.shiftright(up, 31), up % F.lit(_HALF)
+    for constant in _ROUNDS:
+        high, low = low, (high + _stir(low, constant)) % F.lit(_HALF)
+    return high * F.lit(_HALF) + low
+
+
+def unmixed(number: Column) -> Column:
+    high, low = F.shiftright(number, 31), number % F.lit(_HALF)
+    for constant in reversed(_ROUNDS):
+        high, low = F.pmod(low - _stir(high, constant), F.lit(_HALF)), high
+    return high * F.lit(_HALF) + low - F.lit(_SHIFT)
+
+
 def _cell(value: Column, distance: float) -> Column:
     return F.floor(value / F.lit(distance * CELL_SHARE))
 
@@ -59,7 +85,7 @@ def near_pairs(points: DataFrame, leaders: DataFrame, distance: float, group: li
 def road_ends(roads: DataFrame, *group: str) -> DataFrame:
     """Start and end of every road with at least two points.
 
-    ``idx`` gives the order that decides between road ends: by road id, start before end."""
+    ``idx`` numbers them: by road id, start before end."""
     ends = F.array(
         record(end=F.lit(0), p=F.get("polyline", F.lit(0))),
         record(end=F.lit(1), p=F.element_at("polyline", -1)),
@@ -73,8 +99,8 @@ def road_ends(roads: DataFrame, *group: str) -> DataFrame:
 def spots(ends: DataFrame, group: list[str]) -> DataFrame:
     """Road ends at exactly the same place as one row with their lowest ``idx``.
 
-    Ends at one place are always grouped alike: the lowest of them is met first,
-    and whoever takes it, or it itself as a seed, is near all others.  This
+    Ends at one place are always grouped alike: they follow each other in the order,
+    and whoever takes the first, or it itself as a seed, is near all others.  This
     removes the heavy places before any comparison, with partial aggregation."""
     return ends.groupBy(*group, "x", "y").agg(
         F.min("idx").alias("idx"), F.count(F.lit(1)).alias("ends"), F.max("width").alias("width")
@@ -84,34 +110,40 @@ def spots(ends: DataFrame, group: list[str]) -> DataFrame:
 def greedy_groups(points: DataFrame, distance: float, group: list[str]) -> DataFrame:
     """Assign every point its seed: (group..., idx, seed).
 
-    In order of ``idx`` a point not yet taken becomes a seed and takes the later
-    free points nearer than ``distance`` to itself.  Seeds are found in rounds: the
-    first undecided point of a cell is a seed when no undecided point before it
-    is near; points near a new seed are decided.  Every round settles at least the
-    lowest undecided point, and nearly all points are settled in a few rounds.
-    Finally each point goes to its lowest near seed.  Lineage is cut each round."""
-    spark = points.sparkSession
-    enable_checkpoints(spark)
-    keyed = with_cells(points.select(*group, "idx", "x", "y"), distance).checkpoint()
-    undecided, seeds = keyed, None
+    In order of the mixed ``idx`` a point not yet taken becomes a seed and takes the later free points nearer than
+    ``distance`` to itself.  The order is free to choose; this one has no relation to where points lie, so a row of
+    points with rising numbers is no longer settled one after the other."""
+    return greedy_rounds(points, distance, group)[0]
+
+
+def greedy_rounds(points: DataFrame, distance: float, group: list[str]) -> tuple[DataFrame, int]:
+    """:func:`greedy_groups`, and the number of rounds it took.
+
+    The first undecided point of a cell is a seed when no undecided point before it is near; points near a new seed are
+    decided.  A point waits only for near points before it, and in a mixed order such chains grow with the logarithm of the
+    number of points.  Finally each point goes to its first near seed.  Lineage is cut each round."""
+    keyed = set_aside(with_cells(points.select(*group, mixed(F.col("idx")).alias("idx"), "x", "y"), distance), "points")
+    undecided, seeds, rounds = keyed, None, 0
     while True:
+        rounds += 1
         leaders = cell_leaders(undecided, group)
         blocked = (
             near_pairs(undecided, leaders, distance, group).where(F.col("idx") < F.col("leader"))
             .select(*group, F.col("leader").alias("idx")).distinct()
         )
-        found = leaders.join(blocked, [*group, "idx"], "left_anti").checkpoint()
+        found = set_aside(leaders.join(blocked, [*group, "idx"], "left_anti"), "seeds")
         seeds = found if seeds is None else seeds.unionByName(found)
         taken = near_pairs(undecided, found, distance, group).select(*group, "idx").distinct()
-        undecided = undecided.join(taken, [*group, "idx"], "left_anti").checkpoint()
+        undecided = set_aside(undecided.join(taken, [*group, "idx"], "left_anti"), "undecided")
         if undecided.isEmpty():
             break
-    return (
+    seeded = (
         near_pairs(keyed, seeds, distance, group)
         .where(F.col("leader") <= F.col("idx"))
         .groupBy(*group, "idx")
         .agg(F.min("leader").alias("seed"))
     )
+    return seeded.select(*group, unmixed(F.col("idx")).alias("idx"), unmixed(F.col("seed")).alias("seed")), rounds
 
 
 def junctions(roads: DataFrame, *group: str, distance: float = JUNCTION_DISTANCE) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import meshes, tiles
-from ..session import scratch_path
+from ..session import set_aside
 from ..sources.tile_store import block, stored_or_none
 from .importing import MapTables, tile_meshes
 
@@ -77,20 +77,20 @@ def build_tiles(store: TileStore, m: MapTables, wanted: DataFrame | None = None)
 
     Without ``wanted`` tiles that no longer hold anything leave the store as well."""
     spark, span = store.spark, store.span
-    before = _copied(store.built().drop("state"), "ledger")
+    before = set_aside(store.built().drop("state"), "ledger")
     now = tile_content(m)
     if wanted is not None:
         now = now.join(wanted.select(*_TILE), _TILE, "left_semi")
-    now = _copied(now.select("*", block(F.col("tx"), span).alias("px"), block(F.col("ty"), span).alias("py")), "content")
-    todo = _copied(now.join(before, _VERSION, "left_anti"), "todo")
+    now = set_aside(now.select("*", block(F.col("tx"), span).alias("px"), block(F.col("ty"), span).alias("py")), "content")
+    todo = set_aside(now.join(before, _VERSION, "left_anti"), "todo")
     gone = before.limit(0) if wanted is not None else before.join(now, _TILE, "left_anti")
-    folders = _copied(todo.select("px", "py").union(gone.select("px", "py")).distinct(), "folders")
+    folders = set_aside(todo.select("px", "py").union(gone.select("px", "py")).distinct(), "folders")
     if folders.isEmpty():
         return store.ledger().limit(0)
     run = (before.agg(F.max("run")).first()[0] or 0) + 1
 
     touched = before.join(folders, ["px", "py"], "left_semi")
-    kept = _copied(touched.join(todo, _TILE, "left_anti").join(gone, _TILE, "left_anti"), "kept")
+    kept = set_aside(touched.join(todo, _TILE, "left_anti").join(gone, _TILE, "left_anti"), "kept")
     fresh = todo.select("*", F.lit(run).alias("run"))
     left = gone.select("px", "py", "tx", "ty", "fingerprint", F.lit(0).cast("long").alias("features"), F.lit(run).alias("run"))
     rows = kept.select(*left.columns).unionByName(fresh.select(*left.columns))
@@ -108,17 +108,10 @@ def build_tiles(store: TileStore, m: MapTables, wanted: DataFrame | None = None)
     none = F.lit(0).cast("long")
     done = rows.join(counts, _VERSION, "left").select(*left.columns, F.coalesce("meshes", none).alias("meshes"), F.coalesce("triangles", none).alias("triangles"), F.lit("built").alias("state"))
     gone_rows = left.select("*", none.alias("meshes"), none.alias("triangles"), F.lit("gone").alias("state"))
-    _overwrite(_copied(done.unionByName(gone_rows), "done"), f"{store.path}/ledger")
+    _overwrite(set_aside(done.unionByName(gone_rows), "done"), f"{store.path}/ledger")
     return store.built().where(F.col("run") == run)
 
 
-def _copied(df: DataFrame, name: str) -> DataFrame:
-    """A small table of this run, kept apart from the files that the run replaces."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _overwrite(rows: DataFrame, path: str) -> None:
     """Replace the blocks that the rows belong to, and no others."""
     (

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # The JVM does not turn methods above 8000 bytes into machine code.  With this limit
@@ -61,11 +61,13 @@ def _own_folder() -> str:
     return folder
 
 
-def enable_checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for an intermediate table in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/mapweave/{name}-{uuid.uuid4().hex}"
+
+
+def set_aside(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder once and read back from there; what made them is forgotten."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
