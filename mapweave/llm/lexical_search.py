@@ -35,7 +35,8 @@ DAMPING = 8
 QUERIES = 256  # in a block
 ROWS = 4  # of cells in a sketch
 CELL = 4096  # impacts are below 10**6, so a cell of 8 bits holds them in steps of 4096
-LOOKS = 1 << 22  # cells looked up at a time
+LOOKS = 1 << 20  # cells looked up at a time
+SLICE = 1024  # documents whose sketches are opened at a time
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -166,7 +167,7 @@ def _search(batches: Iterator[pa.RecordBatch], block: Block, top: int) -> Iterat
     no_id = np.iinfo(np.int64).max
     if len(block.hashes) == 0:
         batches = iter(())
-    for batch in batches:
+    for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
         raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("sketch")]
         widths = np.array([len(x) for x in raw])
         bound = np.zeros((len(raw), len(block.keys)), np.int64)
