@@ -32,6 +32,7 @@ from mapweave.llm.words import pieces
 
 END_ID = 0
 SEQ_LEN = 2048
+READERS = 4096  # tasks that read files back at most
 ROWS = 64
 MANIFEST = "part int, path string, n_docs long, n_tokens long, bytes_per_id int"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -149,6 +150,9 @@ def _reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
-    """A row per document from the files: doc_id, start, n_tokens, ids_crc32."""
-    spread = manifest.select("path", "start").repartition("path")
+    """A row per document from the files: doc_id, start, n_tokens, ids_crc32.
+
+    The files are dealt out evenly, a task per file up to ``READERS`` tasks; a stated number is never coalesced, though the
+    manifest is small."""
+    spread = manifest.select("path", "start").repartition(max(1, min(READERS, manifest.count())))
     return spread.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")

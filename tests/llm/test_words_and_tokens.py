@@ -60,7 +60,11 @@ def ids_of(whole, text):
 
 def test_arrow_files_round_trip(spark):
     folder = scratch_path(spark, "test-sequences")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few texts are one file
     manifest = arrow_sequences.write_sequences(documents(spark), folder, seq_len=64)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.count()
+    assert files > 1 and arrow_sequences.read_documents(manifest, folder).rdd.getNumPartitions() == files
     got = [tuple(r) for r in arrow_sequences.read_documents(manifest, folder).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
     whole, want, start = plain(FILES[True]), [], 0
     for i, t, _ in sorted(texts(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
