@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..config import WorldConfig
 from ..functions import shapes
 from ..functions.columns import clamp, norm, record, smoothstep
-from .raster import _blend
+from . import blocks
 
 MASK = ["ix", "iz"]
 BLOCK = 64
@@ -238,52 +238,19 @@ def flatten_mask(roads: DataFrame, buildings: DataFrame, areas: DataFrame, world
     return blend(paint(polygon_strips(rings, world).unionByName(line_strips(lines, world)), world))
 
 
-def _corner_weights(mask: DataFrame, width: int, height: int) -> DataFrame:
-    """For every lower corner near a weight: the weights of its four corners, missing ones 0.
-
-    Each weight is handed to the squares it is a corner of, so no self-joins are needed.
-    On the last column and row a square repeats its border."""
-    ix, iz = F.col("ix"), F.col("iz")
-
-    def give(dx: int, dz: int) -> Column:
-        # This weight as corner (dx, dz) of the square at (ix - dx, iz - dz).
-        weights = {
-            f"c{a}{b}": F.col("weight") if (a, b) == (dx, dz) else F.lit(0.0) for a in (0, 1) for b in (0, 1)
-        }
-        return record(ix=ix - dx, iz=iz - dz, **weights)
-
-    squares = F.array(*[give(dx, dz) for dx in (0, 1) for dz in (0, 1)])
-    lent = mask.select(F.inline(squares)).where("ix >= 0 and iz >= 0")
-    summed = lent.groupBy("ix", "iz").agg(*[F.max(f"c{a}{b}").alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)])
-    last_x, last_z = ix == width - 1, iz == height - 1
-    c00, c10, c01, c11 = (F.col(f"c{k}") for k in ("00", "10", "01", "11"))
-    return summed.select(
-        "ix", "iz", c00.alias("c00"),
-        F.when(last_x, c00).otherwise(c10).alias("c10"),
-        F.when(last_z, c00).otherwise(c01).alias("c01"),
-        F.when(last_x & last_z, c00).when(last_x, c01).when(last_z, c10).otherwise(c11).alias("c11"),
-    )
+def pack_mask(mask: DataFrame, world: WorldConfig) -> DataFrame:
+    """The mask in blocks (see :mod:`mapweave.operators.blocks`): pack once what is sampled more than once."""
+    return blocks.pack(mask, [], "weight", *mask_size(world), fill=0.0)
 
 
 def sample_mask(points: DataFrame, mask: DataFrame, world: WorldConfig) -> DataFrame:
-    """Add ``weight`` at any ``x, z`` by bilinear lookup; a missing mask cell counts as 0."""
-    width, height = mask_size(world)
+    """Add ``weight`` at any ``x, z`` by bilinear lookup in a mask of cells or blocks; a missing mask cell counts as 0."""
+    packed = mask if "values" in mask.columns else pack_mask(mask, world)
     gx = (F.col("x") - F.lit(float(world.world_min[0]))) / F.lit(world.mask_cell)
     gz = (F.col("z") - F.lit(float(world.world_min[1]))) / F.lit(world.mask_cell)
-    corners = _corner_weights(mask, width, height).select(
-        F.col("ix").alias("mx"), F.col("iz").alias("mz"), "c00", "c10", "c01", "c11"
-    )
-    placed = points.select(
-        "*", gx.alias("gx"), gz.alias("gz"),
-        clamp(F.floor(gx), F.lit(0), F.lit(width - 1)).cast("int").alias("mx"),
-        clamp(F.floor(gz), F.lit(0), F.lit(height - 1)).cast("int").alias("mz"),
-    )
-    fx = F.when(F.col("gx") < F.lit(0.0), F.lit(0.0)).otherwise(F.col("gx") - F.floor("gx"))
-    fz = F.when(F.col("gz") < F.lit(0.0), F.lit(0.0)).otherwise(F.col("gz") - F.floor("gz"))
-    weight = _blend(F.col("c00"), F.col("c10"), F.col("c01"), F.col("c11"), fx, fz)
-    return placed.join(corners, ["mx", "mz"], "left").select(
-        *points.columns, F.coalesce(weight, F.lit(0.0)).alias("weight")
-    )
+    met = blocks.look_up(points.select("*", gx.alias("gx"), gz.alias("gz")), packed, [], *mask_size(world))
+    weight = blocks.between(*[F.col(c) for c in ("c00", "c10", "c01", "c11", "fx", "fz")])
+    return met.select(*points.columns, F.coalesce(weight, F.lit(0.0)).alias("weight"))
 
 
 def apply_mask(cells: DataFrame, mask: DataFrame, world: WorldConfig) -> DataFrame:

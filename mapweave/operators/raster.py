@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import SurfaceConfig, TerrainConfig, WorldConfig
 from ..functions.columns import clamp, lerp_colour, norm, record, rgba, smoothstep
 from ..functions.noise import with_fractal, with_ridges
+from . import blocks
 
 GRID = ["cx", "cz"]
 CELL = ["cx", "cz", "ix", "iz"]
@@ -322,38 +323,26 @@ def water_faces(chunks: DataFrame, world: WorldConfig) -> DataFrame:
     return chunks.select("cx", "cz", *out, rgba(world.surface.water_color).alias("color"))
 
 
-def _blend(c00: Column, c10: Column, c01: Column, c11: Column, fx: Column, fz: Column) -> Column:
-    one = F.lit(1.0)
-    return (c00 * (one - fx) + c10 * fx) * (one - fz) + (c01 * (one - fx) + c11 * fx) * fz
+def pack_heights(cells: DataFrame, world: WorldConfig) -> DataFrame:
+    """Chunk cells in blocks (see :mod:`mapweave.operators.blocks`): pack once what is sampled more than once."""
+    return blocks.pack(cells, ["cx", "cz"], "h", world.terrain.resolution_x, world.terrain.resolution_z)
 
 
 def sample_heights(points: DataFrame, cells: DataFrame, world: WorldConfig) -> DataFrame:
-    """Add ``h`` at any ``x, z`` by bilinear lookup in the chunk there; the base height where there is none.
-
-    Every cell first takes its neighbours' heights along, so one equi-join serves
-    all four corners.  Indices are clamped to the chunk, the fraction is not."""
+    """Add ``h`` at any ``x, z`` by bilinear lookup in the chunk there, of cells or blocks; the base height where there is
+    none.  Indices are clamped to the chunk, the fraction is not."""
     t = world.terrain
+    packed = cells if "values" in cells.columns else pack_heights(cells, world)
     step_x, step_z = world.chunk_size / (t.resolution_x - 1), world.chunk_size / (t.resolution_z - 1)
-    corner = with_neighbours(cells, t.resolution_x, t.resolution_z, diagonal=True).select(
-        *CELL, F.col("h").alias("c00"), F.coalesce("hr", "h").alias("c10"), F.coalesce("hu", "h").alias("c01"),
-        F.coalesce("hru", "hr", "hu", "h").alias("c11"),
-    )
     cx, cz = chunk_x(F.col("x"), world), chunk_z(F.col("z"), world)
     gx = (F.col("x") - (F.lit(float(world.world_min[0])) + F.col("cx") * F.lit(float(world.chunk_size)))) / F.lit(step_x)
     gz = (F.col("z") - (F.lit(float(world.world_min[1])) + F.col("cz") * F.lit(float(world.chunk_size)))) / F.lit(step_z)
     placed = points.select("*", cx.alias("cx"), cz.alias("cz")).select("*", gx.alias("gx"), gz.alias("gz"))
-    placed = placed.select(
-        "*",
-        clamp(F.floor("gx"), F.lit(0), F.lit(t.resolution_x - 1)).cast("int").alias("ix"),
-        clamp(F.floor("gz"), F.lit(0), F.lit(t.resolution_z - 1)).cast("int").alias("iz"),
-    )
-    # Left of the first cell both corners are that cell, so the fraction has no say.
-    fx = F.when(F.col("gx") < F.lit(0.0), F.lit(0.0)).otherwise(F.col("gx") - F.floor("gx"))
-    fz = F.when(F.col("gz") < F.lit(0.0), F.lit(0.0)).otherwise(F.col("gz") - F.floor("gz"))
-    h = _blend(F.col("c00"), F.col("c10"), F.col("c01"), F.col("c11"), fx, fz)
-    return placed.join(corner, CELL, "left").select(
-        *points.columns, F.coalesce(h, F.lit(world.base_height)).alias("h")
-    )
+    met = blocks.look_up(placed, packed, ["cx", "cz"], t.resolution_x, t.resolution_z)
+    c00, c10, c01, c11 = (F.col(f"c{k}") for k in ("00", "10", "01", "11"))
+    # A missing cell takes the value of one before it.
+    h = blocks.between(c00, F.coalesce(c10, c00), F.coalesce(c01, c00), F.coalesce(c11, c10, c01, c00), F.col("fx"), F.col("fz"))
+    return met.select(*points.columns, F.coalesce(h, F.lit(world.base_height)).alias("h"))
 
 
 def chunk_x(x: Column, world: WorldConfig) -> Column:
