@@ -355,6 +355,14 @@ twin("jon3_tile_lookup", f"select kind, osm_id, tx, ty from bridge join (select
 twin("jon4_tile_range", """
 select tx, ty from tile, grid where tx between least(greatest(floor((-3e2 - gx) / 5e2), 0), gw - 1) and least(greatest(floor((7e2 - gx) / 5e2), 0), gw - 1)
   and ty between least(greatest(floor((-5e3 - gy) / 5e2), 0), gh - 1) and least(greatest(floor((4e2 - gy) / 5e2), 0), gh - 1)""")
+STEPS["zoomed"] = """
+select kind, zoom, tx >> zoom as tx, ty >> zoom as ty, cast(sum(n) as bigint) as copies, count(*) as tiles
+from (select kind, tx, ty, count(*) as n from bridge group by all), (select unnest([0, 1, 2, 3]) as zoom) group by kind, zoom, tx >> zoom, ty >> zoom"""
+twin("jon4_zoom_ranges", "select * from zoomed where zoom < 3 and tx <= 5 >> zoom and ty between 1 >> zoom and 9 >> zoom")
+_BITS = " + ".join(f"(((tx >> {b}) & 1) << {2 * b}) + (((ty >> {b}) & 1) << {2 * b + 1})" for b in range(20))
+twin("srt2_zoom_order", f"""
+select zoom, tx, ty, {_BITS} as key, copies from (
+  select zoom, tx::bigint as tx, ty::bigint as ty, cast(sum(copies) as bigint) as copies from zoomed group by all)""")
 twin("jon5_missing_tiles", """
 select tx, ty from tile where tx <> 0
   and (tx, ty) not in (select (tx, ty) from near_tile)""")

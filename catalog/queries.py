@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.config import ImportConfig, SurfaceConfig, TerrainConfig, TileConfig, WorldConfig
-from mapweave.functions import classify, fixed_values, geodesy, shapes, tags
+from mapweave.functions import classify, fixed_values, geodesy, shapes, tags, zkeys
 from mapweave.functions.columns import lerp_colour, one_row, rgba, smoothstep
 from mapweave.functions.noise import with_fractal, with_ridges
 from mapweave.functions.tags import tag
 from mapweave.operators import (
-    extents, faces, features, lines, mask, meshes, proximity, raster, simplify, tiles, visibility,
+    extents, faces, features, lines, mask, meshes, proximity, raster, simplify, tiles, visibility, zooms,
 )
 from mapweave.plans import terrain_world, tile_build, viewing
 from mapweave.plans.importing import tile_meshes
@@ -448,6 +448,27 @@ def jon4_tile_range(spark, sf):
     return tiles.tiles_in_range(tiles.existing_tiles(_bridge(spark, sf)), imported(spark, sf).grid, (-300.0, -5000.0), (700.0, 400.0))
 
 
+@query
+def jon4_zoom_ranges(spark, sf):
+    """The same part of the map at three zooms, from counts kept in key order: tile columns 0 to 5, rows 1 to 9."""
+    key = (spark.sparkContext.applicationId, sf, "pyramid")
+    if key not in tables._STORED:
+        path = scratch_path(spark, "pyramid")
+        zooms.write_pyramid(zooms.pyramid(zooms.tile_counts(_bridge(spark, sf)), 3), path)
+        tables._STORED[key] = path
+    parts = [zooms.read_range(spark, tables._STORED[key], z, (0, 5 >> z), (1 >> z, 9 >> z)) for z in (0, 1, 2)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def srt2_zoom_order(spark, sf):
+    """All tiles of all zooms with their number, in the order zoom, column, row."""
+    found = zooms.pyramid(zooms.tile_counts(_bridge(spark, sf)), 3)
+    placed = found.groupBy("zoom", "key").agg(F.sum("copies").alias("copies"))
+    at = placed.select("zoom", zkeys.key_column(F.col("key")).alias("tx"), zkeys.key_row(F.col("key")).alias("ty"), "key", "copies")
+    return at.orderBy("zoom", "tx", "ty")
+
+
 @query
 def jon5_missing_tiles(spark, sf):
     bridge = _bridge(spark, sf)
