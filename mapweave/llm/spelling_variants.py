@@ -1,10 +1,10 @@
 """Words that differ from another word by one letter, and the far more frequent form each of them stands for.
 
 1. Words are counted with a partial aggregation before the one shuffle.
-2. Near words are looked for in a trie kept as a table by depth: a row per node with the next letters (three) of the words
-   that pass it.  A state (word, position, node, edits) stands for a word read up to a position while the trie was followed to a
+2. Near words are looked for in a trie kept as a table by depth: a row per node with the next two letters of the words
+   that pass it, each pair as a number.  A state (word, position, node, edits) stands for a word read up to a position while the trie was followed to a
    node.  The trie is gone through level by level: all states of a depth meet its nodes in one equi-join, and each moves on
-   by the letter it has, or uses the one edit to replace, insert or delete one; all three letters are looked at, so most states that
+   by the letter it has, or uses the one edit to replace, insert or delete one; two letters are looked at, so most states that
    lead nowhere are never made.  A state that has used its edit and ends where a word ends is a pair.
 3. The edit lies in the first or in the second half of a word.  Words are read forwards and, in a second trie, backwards,
    each from its middle on, so the crowded nodes near the root are never met: with the first half equal, few letters go on.
@@ -28,7 +28,6 @@ LEAST_OCCURRENCES = 2
 TIMES = 10  # as frequent as the word its form is, at least
 ONE_IN = 31  # runs of letters loses one
 LONG = 40
-AHEAD = 3  # letters that a node knows of the words that pass it
 FOUND = 2  # "edits" of a finished pair
 
 
@@ -45,9 +44,14 @@ def counted_words(docs: DataFrame, least_letters: int = LEAST_LETTERS, least: in
     return each.where(F.length("word") >= least_letters).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def _letters(at: Column, n: int = 1) -> Column:
-    """The word's letters from a place (from 0) on, at most n; empty beyond its end."""
-    return F.substring(F.col("word"), at + 1, F.lit(n))
+def _letter(at: Column) -> Column:
+    """The word's letter at a place from 0; empty beyond its end."""
+    return F.substring(F.col("word"), at + 1, F.lit(1))
+
+
+def _pair(at: Column) -> Column:
+    """The letters at a place and after it as a number; those beyond the end count 0.  All letters are below U+0100."""
+    return F.ascii(_letter(at)) * 256 + F.ascii(_letter(at + 1))
 
 
 def _sides(words: DataFrame) -> DataFrame:
@@ -59,34 +63,38 @@ def _sides(words: DataFrame) -> DataFrame:
 
 
 def trie(sides: DataFrame) -> DataFrame:
-    """node, next (the letters, ``AHEAD`` or up to the word's end, that follow in some word) and depth, kept by depth: the
-    beginnings that some word's state can stand on."""
+    """node, next (pairs of letters that follow in some word, 0 where a word ends) and depth, kept by depth: the beginnings
+    that some word's state can stand on."""
     # A word is met by words of its length or one letter less or more.
     place = F.explode(F.sequence(F.expr("if(side = '<', (length - 1) div 2, length div 2)"), F.col("length"))).alias("depth")
-    steps = sides.select("word", "side", place).select("depth", F.concat("side", F.substring(F.col("word"), F.lit(1), F.col("depth"))).alias("node"), _letters(F.col("depth"), AHEAD).alias("next"))
+    steps = sides.select("word", "side", place).select("depth", F.concat("side", F.substring(F.col("word"), F.lit(1), F.col("depth"))).alias("node"), _pair(F.col("depth")).alias("next"))
     return written(steps.groupBy("depth", "node").agg(F.collect_set("next").alias("next")), "trie", "depth")
 
 
 def _moves() -> Column:
     """What a state leads to, given its node: array of (position, node, edits)."""
     position, node, last = F.col("position"), F.col("node"), F.length("word")
+
     def to(at: Column, onto: Column) -> Column:
         return F.struct(at.cast("int").alias("position"), onto.alias("node"), F.when(at >= last, FOUND).otherwise(1).alias("edits"))
 
     def follow(at: Column) -> Column:
         """The word's letters from a place on, where the trie has them."""
-        return F.when((at <= last) & F.array_contains("next", _letters(at, AHEAD)), to(at + 1, F.concat(node, _letters(at))))
-
-    def begun(onto: Column, rest: Column) -> Column:
-        """Another letter than the word's, and then the word from its place on, inserted before it or in its stead."""
-        states = F.array(F.when(rest == _letters(position, AHEAD - 1), to(position, onto)), F.when(inside & (rest == _letters(position + 1, AHEAD - 1)), to(position + 1, onto)))
-        return F.array_compact(states)
-
-    inside = position < last
-    here = _letters(position)
-    others = F.filter("next", lambda s: (s != "") & (F.substring(s, 1, 1) != here) & F.substring(s, 2, AHEAD - 1).isin(_letters(position, AHEAD - 1), _letters(position + 1, AHEAD - 1)))
-    edited = F.concat(F.flatten(F.transform(others, lambda s: begun(F.concat(node, F.substring(s, 1, 1)), F.substring(s, 2, AHEAD - 1)))), F.array_compact(F.array(F.when(inside, follow(position + 1)))))
-    return F.when(F.col("edits") == 0, edited).otherwise(F.array_compact(F.array(follow(position))))
+        return F.when((at <= last) & F.array_contains("next", _pair(at)), to(at + 1, F.concat(node, _letter(at))))
+
+    def others(w: Column) -> Column:
+        """Another letter than the word's, inserted before it or in its stead, and then the word from there on."""
+        first, second = lambda s: F.shiftright(s, 8), lambda s: s.bitwiseAND(255)
+        inserted = lambda s: second(s) == w["here"]
+        replaced = lambda s: w["inside"] & (second(s) == w["after"])
+        fits = F.filter("next", lambda s: (s > 0) & (first(s) != w["here"]) & (inserted(s) | replaced(s)))
+        onto = lambda s: F.concat(node, F.char(first(s)))
+        return F.flatten(F.transform(fits, lambda s: F.array_compact(F.array(F.when(inserted(s), to(position, onto(s))), F.when(replaced(s), to(position + 1, onto(s)))))))
+
+    # A one-element array works the word's letters out once per state, not once per pair.
+    word = F.array(F.struct(F.ascii(_letter(position)).alias("here"), F.ascii(_letter(position + 1)).alias("after"), (position < last).alias("inside")))
+    deleted = F.array_compact(F.array(F.when(position < last, follow(position + 1))))
+    return F.when(F.col("edits") == 0, F.concat(F.flatten(F.transform(word, others)), deleted)).otherwise(F.array_compact(F.array(follow(position))))
 
 
 def near_in_trie(words: DataFrame) -> DataFrame:
