@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.  The first four return the columns of
 ``documents``; the last returns the packing.  Models are learned from the tables in sf_dir.
+
+Defined cases: a document with a null or letterless text goes at the language stage, a text of no words is no near copy of
+anything; of rows that repeat one stays (near copies); a null doc_id is a document like any other; stages see columns of
+other names unchanged; without documents the packing is empty, provided the models have rows to learn from.
 """
 
 from __future__ import annotations
@@ -62,7 +66,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-# Trained models and token ids are beyond SQL; tests/llm compares the stages with brute force.
+# Trained models and token ids are beyond SQL; tests/llm runs small tables through all stages.
 ORACLE_SQL = None
 
 
