@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from fixtures import documents, empty, texts, words
@@ -71,6 +72,43 @@ def test_near_copies_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("shared", [150, 700])
+def test_long_texts_with_one_passage_in_common_make_few_pairs(spark, monkeypatch, shared):
+    """No two are alike; the last join must not make their square."""
+    rng = random.Random(5)
+    passage, n = words(rng, "en", shared), 300
+    own = [" ".join(f"{rng.randrange(10**9):x}" for _ in range(rng.randrange(1200, 1500))) for _ in range(n)]
+    rows = [(k, f"{t[: len(t) // 2]} {passage} {t[len(t) // 2 :]}", "en") for k, t in enumerate(own)]
+    kept = {}
+    real = ngram_join.written
+
+    def keep(df, name, *by):
+        out = real(df, name, *by)
+        if name == "rest":
+            kept["made"] = ngram_join._apart(out, 80).count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", keep)
+    got = ngram_join.join(documents(spark, rows)).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == n
+    assert kept["made"] <= n
+
+
+def test_frequency_levels_put_shared_passages_last(spark):
+    rows = [(k, f"only in text {k} one two three " + "a passage that all the texts hold " * 2, "en") for k in range(64)]
+    levels = ngram_join.frequency_levels(documents(spark, rows).select("text"))
+    grams = {g for _, t, _ in rows for g in ngram_join.shingles(pa.array([t]))[0].tolist()}
+    of = {g: int(levels[ngram_join._slot(np.array([g], np.uint64))][0]) for g in grams}
+    assert sorted(set(of.values())) == [0, 12] and sum(v == 12 for v in of.values()) >= 7
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(1, "the same row with enough words in it", "en")] * 7 + [(2, "the same row with enough words in it", "en"), (3, None, "en"), (3, None, "en")]
+    kept = sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one(documents(spark, rows)).select("doc_id", "text").collect() if r["text"])
+    assert kept == [(1, "the same row with enough words in it")]
+    assert ngram_join.keep_one(empty(spark)).collect() == []
+
+
 def test_one_of_each_class_stays(spark):
     rows = chains()
     kept = ngram_join.keep_one(documents(spark, rows))
@@ -169,3 +207,41 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == packed.count()
     assert {r["doc_id"] for r in packed.collect()} == before
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_pipeline_on_odd_rows_equals_brute_force(spark):
+    """Nulls, repeated rows, copies and foreign columns through all stages, against plain rules where they are stated."""
+    real = [(1000 + k, r["text"], "en") for k, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect())]
+    rows = [*real, *texts()[60:70], (130, None, "en"), (131, "", "de"), (133, "12 34 !?", "en"), (None, texts()[3][1], "en"), *[real[4]] * 3]
+    docs = documents(spark, rows)
+    names = docs.columns
+
+    def now(df):
+        assert df.columns == names
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, SF)
+    left = now(clean)
+    assert set(left) <= {(i, t) for i, t, _ in rows}
+    spoken = stages["language"](spark, clean, SF)
+    assert now(spoken) == [(i, t) for i, t in left if t and any(c.isalpha() for c in t)]
+
+    kept = stages["near_copies"](spark, spoken, SF)
+    before = now(spoken)
+    sets = [shingles(t) for _, t in before]
+    pairs = [(a, b) for a in range(len(before)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    groups = {}
+    for k, root in classes(range(len(before)), pairs).items():
+        groups.setdefault(root, []).append(before[k])
+    assert now(kept) == sorted((min(g, key=lambda r: (r[0] is None, r[0])) for g in groups.values()), key=str)
+
+    final = stages["benchmark"](spark, kept, SF)
+    found = {r["doc_id"] for r in decontamination.leaks(kept, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert now(final) == [r for r in now(kept) if r[0] not in found]
+    packed = stages["packing"](spark, final, SF).collect()
+    assert {r["doc_id"] for r in packed} == {i for i, _ in now(final)} and all(r["length"] <= 2048 for r in packed)
+    assert stages["packing"](spark, final.limit(0), SF).count() == 0
+    for name in ("toxicity", "language", "near_copies", "benchmark"):
+        assert stages[name](spark, docs.limit(0), SF).count() == 0
