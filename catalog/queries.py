@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mapweave.config import ImportConfig, SurfaceConfig, TerrainConfig, TileConfig, WorldConfig
+from mapweave.config import ImportConfig, SurfaceConfig, TerrainConfig, WorldConfig
 from mapweave.functions import classify, fixed_values, geodesy, shapes, tags, zkeys
 from mapweave.functions.columns import lerp_colour, one_row, rgba, smoothstep
 from mapweave.functions.noise import with_fractal, with_ridges
