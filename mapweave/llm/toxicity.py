@@ -4,7 +4,8 @@ A disguised word is a noisy channel's output: a letter may have become a look-al
 got separators behind it.  Spans where that can have happened (words with a letter and a look-alike sign anywhere, a letter
 twice in a row or a separator inside, and rows of three or more single signs, however far apart) become lattices of
 letters, and Viterbi finds the likeliest path under a trigram model of the corpus' letters.  Other spans have one path
-only, themselves.  Tasks remember distinct spans, so the work follows the vocabulary.
+only, themselves.  Words whose double letters are all that they may hide are read a batch at a time; of others tasks
+remember distinct spans, so the work follows the vocabulary.
 
 Features of a text are its words (runs of letters and bytes beyond ASCII, A-Z lower-cased) and the words' beginnings of
 4 to 8 bytes, of the text as it is and of its restored spans.  Document counts per feature and label come from all
@@ -22,6 +23,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +59,11 @@ _SKIP[128:0xC0] = True
 SEPARATORS = " \t\n\r.-_*"
 _APART = np.zeros(256, bool)
 _APART[[ord(c) for c in SEPARATORS]] = True
+_CUT = np.zeros(256, bool)
+_CUT[[ord(c) for c in SEPARATORS if not c.isspace()]] = True
 _SIGNS = "".join(map(re.escape, LOOKALIKES))
 _SPACED = re.compile(rf"(?<![^\W_])(?:[A-Za-z0-9{_SIGNS}][ \t\n\r.\-_*]+){{2,}}[A-Za-z0-9{_SIGNS}](?![^\W_])")
+_RUN, _THRICE = re.compile(r"(.)\1*", re.DOTALL), re.compile(r"(.)\1\1+", re.DOTALL)
 _TWICE = re.compile(r"([A-Za-z])\1", re.IGNORECASE)
 _HIDDEN = re.compile(f"[{_SIGNS}]")
 _INNER = re.compile(rf"(?:[^\W_]|[{_SIGNS}])[.\-_*]+(?:[^\W_]|[{_SIGNS}])")
@@ -103,46 +108,110 @@ def letter_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3)
 
 
+@lru_cache(1 << 16)
 def _symbol(c: str) -> int:
     k = ord(c.lower()) - 96 if len(c.lower()) == 1 else 0
     return k if 1 <= k <= 26 else 27 if c.isalpha() else 0
 
 
-def restore(span: str, model: np.ndarray, separators: str = "", stray: float = STRAY, double: float = DOUBLE) -> str:
-    """The likeliest letters behind one span: Viterbi over the lattice, a state being the last two letters."""
-    # state: (symbol before last, last symbol, last seen sign) -> (log probability, text so far)
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+def _of_letters(low: str, model: list[float], double: float) -> str | None:
+    """restore() where no sign looks like a letter: how often the letter of a run is said is the only choice, and no other
+    depends on it, as the letter behind it is followed by the same two letters either way.  None where two counts tie."""
+    runs = [(m[0][0], len(m[0])) for m in _RUN.finditer(low)]
+    symbols = [0, *[_symbol(c) for c, _ in runs], 0]
+    out: list[str] = []
+    for k, (c, n) in enumerate(runs):
+        p, b, f = symbols[k : k + 3]
+        if not b:
+            out.append(" " if p else "")
+            continue
+        said = 1
+        if n > 1:
+            again, twice = REPEAT if n > 2 else double, (b * SYMBOLS + b) * SYMBOLS
+            one, two = (p * SYMBOLS + b) * SYMBOLS, KEEP + model[(p * SYMBOLS + b) * SYMBOLS + b] + model[twice + f]
+            # From two on each further letter adds the same, so the best count is 1, 2 or all.
+            scores = sorted((two + (j - 2) * (KEEP + model[twice + b]) + (n - j) * again if j > 1 else model[one + f] + (n - 1) * again, j) for j in {1, 2, n})
+            if scores[-1][0] - scores[-2][0] < 1e-9:
+                return None
+            said = scores[-1][1]
+        out.append(c * said)
+    return "".join(out).strip()
+
+
+# A text so far is a chain (text before, letter, length), so paths share what they have in common.
+_START: tuple = (None, "", 0)
+
+
+def _text(chain: tuple) -> str:
+    out = []
+    while chain[2]:
+        out.append(chain[1])
+        chain = chain[0]
+    return "".join(reversed(out))
+
+
+def _behind(x: tuple, y: tuple) -> bool:
+    """Whether the first text sorts behind the second; only what differs is looked at."""
+    a, b = [], []
+    while x is not y:
+        n, m = x[2], y[2]
+        if n >= m:
+            a.append(x[1])
+            x = x[0]
+        if m >= n:
+            b.append(y[1])
+            y = y[0]
+    return a[::-1] > b[::-1]
+
+
+def restore(span: str, model: np.ndarray | list[float], separators: str = "", stray: float = STRAY, double: float = DOUBLE) -> str:
+    """The likeliest letters behind one span: Viterbi over the lattice, a state being the last two letters.  ``model`` is
+    letter_model() or the list of its values.  Time grows with the span's length."""
+    flat = model if isinstance(model, list) else model.ravel().tolist()
     low = span.lower()
-    runs = {i for m in re.finditer(r"(.)\1\1+", low, re.DOTALL) for i in range(*m.span())}
+    if not separators and not _HIDDEN.search(low):
+        text = _of_letters(low, flat, double)
+        if text is not None:
+            return text
+    # state: (symbol before last, last symbol, last seen sign) -> (log probability, text so far)
+    states: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, _START)}
+    done: list[str] = []
+    runs = {i for m in _THRICE.finditer(low) for i in range(*m.span())}
     for i, sign in enumerate(low):
-        again = REPEAT if i in runs else double
-        new: dict[tuple[int, int, str], tuple[float, str]] = {}
-
-        def offer(key: tuple[int, int, str], value: float, text: str) -> None:
-            if key not in new or (value, text) > new[key]:
-                new[key] = (value, text)
-
+        if sign in separators:
+            states = {key: (value + DROP, text) for key, (value, text) in states.items()}
+            continue
+        own, again, letters = _symbol(sign), REPEAT if i in runs else double, LOOKALIKES.get(sign, "")
+        own_gap = stray if letters else GAP
+        ways: list[tuple[tuple[int, int, str], float, tuple]] = []
         for (a, b, last), (value, text) in states.items():
-            if sign in separators:
-                offer((a, b, last), value + DROP, text)
-                continue
-            own = _symbol(sign)
+            at = (a * SYMBOLS + b) * SYMBOLS
+            if sign == last:
+                ways.append(((a, b, last), value + again, text))
             if own:
-                offer((b, own, sign), value + KEEP + model[a, b, own], text + sign)
-                if sign == last:
-                    offer((a, b, last), value + again, text)
+                ways.append(((b, own, sign), value + KEEP + flat[at + own], (text, sign, text[2] + 1)))
                 continue
-            for letter in LOOKALIKES.get(sign, ""):
+            for letter in letters:
                 k = _symbol(letter)
-                offer((b, k, sign), value + SWAP + model[a, b, k], text + letter)
-            if sign == last:
-                offer((a, b, last), value + again, text)
+                ways.append(((b, k, sign), value + SWAP + flat[at + k], (text, letter, text[2] + 1)))
             # The sign means itself: a gap between words.
-            gap = model[a, b, 0] if b else 0.0
-            own_gap = stray if sign in LOOKALIKES else GAP
-            offer((b if b else a, 0, sign), value + own_gap + gap, text + " " if b else text)
-        states = new
-    return max((value + (model[a, b, 0] if b else 0.0), text) for (a, b, _), (value, text) in states.items())[1].strip()
+            ways.append(((b or a, 0, sign), value + own_gap + (flat[at] if b else 0.0), (text, " ", text[2] + 1) if b else text))
+        states = {}
+        for key, value, text in ways:
+            best = states.get(key)
+            if best is None or value > best[0] or value == best[0] and _behind(text, best[1]):
+                states[key] = (value, text)
+        if len(states) == 1 and text[2] > 64:
+            # All paths meet here, so what lies before is settled.
+            [(key, (value, text))] = states.items()
+            done.append(_text(text))
+            states = {key: (value, _START)}
+    ends = [(value + (flat[(a * SYMBOLS + b) * SYMBOLS] if b else 0.0), text) for (a, b, _), (value, text) in states.items()]
+    best = ends[0]
+    for end in ends[1:]:
+        if end[0] > best[0] or end[0] == best[0] and _behind(end[1], best[1]):
+            best = end
+    return ("".join(done) + _text(best[1])).strip()
 
 
 def word_spans(word: str) -> list[tuple[str, str]]:
@@ -153,7 +222,7 @@ def word_spans(word: str) -> list[tuple[str, str]]:
     return found + ([(word, SEPARATORS)] if _INNER.search(word) else [])
 
 
-def _restored(key: tuple[str, str], model: np.ndarray, memory: dict[tuple[str, str], str], again: bool = True) -> str:
+def _restored(key: tuple[str, str], model: list[float], memory: dict[tuple[str, str], str], again: bool = True) -> str:
     """What a span restores to beyond the words that it shows."""
     if key not in memory:
         if len(memory) > 200_000:
@@ -167,6 +236,54 @@ def _restored(key: tuple[str, str], model: np.ndarray, memory: dict[tuple[str, s
     return memory[key]
 
 
+def _plain_readings(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, model: np.ndarray, prices: tuple[float, ...]) -> tuple[np.ndarray, list[str]]:
+    """What _restored() gives for the plain ones of some words, all at once, and which are plain: of ASCII and Latin-1
+    letters with no look-alike sign, no inner separator and no letter three times.  There each double letter is a choice of
+    its own, as in _of_letters().  Readings keep the word's other signs, which are in no feature."""
+    n, sizes = len(begins), ends - begins
+    word = np.repeat(np.arange(n), sizes)
+    low = data[np.arange(len(word)) + np.repeat(begins - np.cumsum(sizes) + sizes, sizes)]
+    low = np.where(_PLAIN[low], low | 32, low)
+    after = np.zeros(len(low), bool)
+    after[1:] = low[:-1] == 0xC3
+    capital = after & (low < 0x9F)
+    low = np.where(capital, low + 32, low).astype(np.uint8)
+    # Signs at the word's characters; what lies beyond the word is none.
+    char = np.flatnonzero(~_SKIP[low])
+    sign, of = low[char].astype(np.int64), word[char]
+    sign[sign == 0xC3] = low[np.minimum(char[sign == 0xC3] + 1, len(low) - 1)].astype(np.int64) + 256
+    same = lambda k: np.concatenate([(sign[k:] == sign[:-k]) & (of[k:] == of[:-k]), np.zeros(min(k, len(of)), bool)])
+    pair, cut, letter = same(1), _CUT[low[char]], (sign >= 256) | _PLAIN[sign & 255] & (sign < 128)
+    odd = _SIGN[low] | (low >= 0x80) & ~_SKIP[low] & (low != 0xC3) | after & ((low == 0xB7) | (low == 0x97))
+    strange = np.zeros(n, bool)
+    strange[word[odd]] = True
+    strange[of[letter & pair & np.append(pair[1:], False)]] = True
+    strange[of[pair & (sign >= 256)]] = True
+    strange[of[:-1][cut[:-1] & ~cut[1:] & (of[1:] == of[:-1])]] = True
+    symbol = np.where(sign >= 256, 27, _SYMBOL[sign & 255] * (sign < 128))
+    at = np.flatnonzero(pair & letter & ~strange[of])
+
+    def beside(k: int) -> np.ndarray:
+        i = np.clip(at + k, 0, max(0, len(of) - 1))
+        return np.where((at + k >= 0) & (at + k < len(of)) & (of[i] == of[at]), symbol[i], 0)
+
+    before, own, behind = beside(-1), symbol[at], beside(2)
+    twice, once = KEEP + model[before, own, own] + model[own, own, behind], model[before, own, behind]
+    read: list[list[str]] = []
+    earlier = np.zeros(n, np.int64)
+    earlier[np.intersect1d(word[capital], of[at])] = -1  # a reading is in small letters, beyond ASCII too
+    for price in prices:
+        strange[of[at[np.abs(once + price - twice) < 1e-9]]] = True
+        gone = at[once + price > twice]
+        count = np.bincount(of[gone], minlength=n)
+        keep = (count > earlier)[word]  # a dearer price drops what a cheaper one does, and more
+        keep[char[gone + 1]] = False
+        places = np.concatenate([[0], np.cumsum(np.bincount(word[keep], minlength=n))]).astype(np.int32)
+        read.append(pa.StringArray.from_buffers(n, pa.py_buffer(places), pa.py_buffer(low[keep].tobytes())).to_pylist())
+        earlier = np.maximum(earlier, count)
+    return ~strange, [" ".join(filter(None, x)) for x in zip(*read)]
+
+
 def _rows_of_signs(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Numbers of the texts that may hold three single signs in a row."""
     begins, ends, first = bounds(data, at, ~_APART)
@@ -179,9 +296,10 @@ def restored_texts(texts: pa.Array, model: np.ndarray, memory: dict[tuple[str, s
     """For each text its restored spans as one text, empty where nothing is hidden; ``again``: also with double letters
     said once at any price."""
     data, at = buffer_of(texts)
+    flat = model.ravel().tolist()
     got: list[list[str]] = [[] for _ in range(len(texts))]
     for i in _rows_of_signs(data, at).tolist():
-        got[i] += [_restored((m[0], SEPARATORS), model, memory, again) for m in _SPACED.finditer(texts[i].as_py() or "")]
+        got[i] += [_restored((m[0], SEPARATORS), flat, memory, again) for m in _SPACED.finditer(texts[i].as_py() or "")]
     # Words with a look-alike sign, a letter twice or a separator between others, found on the bytes; each is read once.
     begins, ends, first = bounds(data, at)
     if len(begins):
@@ -193,7 +311,9 @@ def restored_texts(texts: pa.Array, model: np.ndarray, memory: dict[tuple[str, s
         use = np.flatnonzero((hits[ends] > hits[begins]) & (letters[ends] > letters[begins]))
         kinds, one, of = np.unique(hashes(data, begins[use], ends[use], VALUE), return_index=True, return_inverse=True)
         raw, b, e = data.tobytes(), begins[use[one]], ends[use[one]]
-        read = [" ".join(filter(None, (_restored(k, model, memory, again) for k in word_spans(raw[x:y].decode())))) for x, y in zip(b.tolist(), e.tolist())]
+        plain, read = _plain_readings(data, b, e, model, (DOUBLE, REPEAT, 50.0) if again else (DOUBLE,))
+        for i in np.flatnonzero(~plain).tolist():
+            read[i] = " ".join(filter(None, (_restored(k, flat, memory, again) for k in word_spans(raw[b[i] : e[i]].decode()))))
         some = np.array([bool(x) for x in read], bool)[of] if len(read) else np.empty(0, bool)
         doc = np.searchsorted(first, use[some], "right") - 1
         for d, k in zip(*(x.tolist() for x in np.divmod(np.unique(doc * max(1, len(kinds)) + of[some]), max(1, len(kinds))))):

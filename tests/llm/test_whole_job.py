@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import textwrap
 
 import numpy as np
@@ -125,3 +126,75 @@ def test_texts_with_a_disguised_word_alone_are_toxic(spark):
     found = toxicity.score_documents(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     got = {r["doc_id"]: r["predicted"] for r in found}
     assert [d for k, d in enumerate(DISGUISES[:-1]) if not got[1000 + k]] == [] and got[2000] == 0
+
+
+def all_paths(span, model, separators, stray, double):
+    """Each path through the lattice of a span, with its price and its text."""
+    runs = {i for m in re.finditer(r"(.)\1\1+", span) for i in range(*m.span())}
+
+    def go(i, a, b, last, value, text):
+        if i == len(span):
+            yield value + (model[a, b, 0] if b else 0.0), text.strip()
+            return
+        c = span[i]
+        if c in separators:
+            yield from go(i + 1, a, b, last, value + toxicity.DROP, text)
+            return
+        if c == last:
+            yield from go(i + 1, a, b, last, value + (toxicity.REPEAT if i in runs else double), text)
+        k = toxicity._symbol(c)
+        if k:
+            yield from go(i + 1, b, k, c, value + toxicity.KEEP + model[a, b, k], text + c)
+            return
+        for x in toxicity.LOOKALIKES.get(c, ""):
+            k = toxicity._symbol(x)
+            yield from go(i + 1, b, k, c, value + toxicity.SWAP + model[a, b, k], text + x)
+        price = stray if c in toxicity.LOOKALIKES else toxicity.GAP
+        yield from go(i + 1, b or a, 0, c, value + price + (model[a, b, 0] if b else 0.0), text + " " if b else text)
+
+    return list(go(0, 0, 0, "", 0.0, ""))
+
+
+def random_letters(seed):
+    return toxicity.letter_model(np.random.default_rng(seed).integers(0, 2000, toxicity.SYMBOLS**3).astype(float) ** 2)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_restored_spans_are_the_best_of_all_paths(seed):
+    rng, m = random.Random(seed), random_letters(seed)
+    for _ in range(300):
+        signs = rng.choice(["abeelt", "a1l!i", "ab.0_", "aé;b3", "aab"])
+        span = "".join(rng.choice(signs) * rng.choice([1, 1, 2, 3]) for _ in range(rng.randint(1, 5)))
+        for separators in ("", toxicity.SEPARATORS):
+            for stray, double in ((toxicity.STRAY, toxicity.DOUBLE), (-50.0, 50.0)):
+                paths = all_paths(span, m, separators, stray, double)
+                best = max(v for v, _ in paths)
+                assert toxicity.restore(span, m, separators, stray, double) in {t for v, t in paths if v > best - 1e-9}, span
+
+
+def test_plain_words_read_at_once_are_read_as_one_by_one():
+    rng, m = random.Random(8), random_letters(9)
+    flat, shown = m.ravel().tolist(), lambda x: set(toxicity._LETTERS.findall(x))
+    for again in (True, False):
+        spans = set()
+        for _ in range(2000):
+            signs = rng.choice(["abtel", "aÖéßb", "ab'.", "a1b!"])
+            spans.add("".join(rng.choice(signs) * rng.choice([1, 1, 2, 2, 3]) for _ in range(rng.randint(1, 5))))
+        spans = sorted(spans)
+        data = np.frombuffer("".join(spans).encode(), np.uint8)
+        ends = np.cumsum([len(x.encode()) for x in spans])
+        plain, read = toxicity._plain_readings(data, np.concatenate([[0], ends[:-1]]), ends, m, (toxicity.DOUBLE, toxicity.REPEAT, 50.0) if again else (toxicity.DOUBLE,))
+        assert 300 < plain.sum() < len(spans)
+        for x, y in ((x, y) for x, y, p in zip(spans, read, plain) if p and any(map(str.isalpha, x))):
+            own = shown(x.translate(toxicity._ASCII_LOWER))
+            want = set().union(*(shown(toxicity._restored(k, flat, {}, again)) for k in toxicity.word_spans(x)))
+            assert shown(y) | own == want | own, x
+
+
+def test_very_long_words_are_read_whole():
+    m, rng = random_letters(3), random.Random(4)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+", k=300_000))
+    assert len(toxicity.restore(word, m)) > 200_000
+    assert set(toxicity.restore("a" + "|" * 100_000, m)) <= set("ail ")
+    got = toxicity.restored_texts(pa.array(["b" * 500_000 + " " + word]), m, {}).to_pylist()
+    assert len(got[0]) > 200_000
