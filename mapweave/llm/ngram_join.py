@@ -12,7 +12,8 @@
    pass are checked exactly on sorted arrays.
 5. Pairs of one key that are not yet in one class meet too.  That join itself bounds the overlap, by the places of the key
    in both lists, by bitmaps of about a bit per element (512 to 4096) and, where more than a few share the key, by the wide
-   ones (8192 bits at most), so pairs that cannot be alike are not made; then the same check.  So no link between classes is lost, while a group of copies is not expanded into all its pairs.
+   ones (8192 bits at most), so pairs that cannot be alike are not made; then the same check.  A pair is made at the least key
+   of those that both nodes carry as their smallest ones, or, where these lists have none in common, at each key it shares.  So no link between classes is lost, while a group of copies is not expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ PERCENT = 80
 SLOTS = 1 << 22
 BLOCK = 1 << 16
 SHORT, LONGER, WIDE = 8, 64, 128  # 64-bit words of the bitmaps that the last join carries: least, most, and of wide ones at most
+HEADS = 16  # smallest keys of a node that its rows carry, so that a pair is made at one key only
 FEW = 8  # nodes of a key that meet without the wide bitmaps
 BITS = 1024  # in a bitmap at least, and four times as many as the set has elements, in powers of two
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -163,7 +165,7 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 def _apart(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of one key that are in different classes and may be alike, by the bounds that a row of ``rest`` holds."""
-    other = rest.selectExpr("key", "node as b", *[f"{c} as {c}_b" for c in ("place", "size", "component", "sig", "wide")])
+    other = rest.selectExpr("key", "node as b", *[f"{c} as {c}_b" for c in ("place", "size", "component", "sig", "wide", "heads")])
     # Before the key's places the lists share what the shorter beginning holds at most, behind them what the shorter end does.
     most = "least(place, place_b) + least(size - place, size_b - place_b)"
 
@@ -175,6 +177,8 @@ def _apart(rest: DataFrame, percent: int) -> DataFrame:
 
     enough = f"{100 + percent} * ({{}}) >= {percent} * (size + size_b)"
     bounds = [enough.format(most), *[enough.format(f"(size + size_b - {d}) div 2") for d in (differ("sig"), f"if(wide is null or wide_b is null, 0, {differ('wide')})")]]
+    # All shared keys below the least common one would be common too, so this is the first; the bounds hold at any key.
+    bounds.append("coalesce(array_min(array_intersect(heads, heads_b)), key) >= key")
     return rest.join(other, "key").where(f"component <> component_b and node < b and 100 * least(size, size_b) >= {percent} * greatest(size, size_b) and " + " and ".join(bounds))
 
 
@@ -227,10 +231,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
     named = tiles.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    rest = named.join(open_keys, "key").join(nodes.select("node", "sig", "bits"), "node")
+    opened = written(named.join(open_keys, "key").select("key", "node", "place", "size", "component", "n"), "opened")
+    heads = opened.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, HEADS).alias("heads"))
+    rest = opened.join(nodes.select("node", "sig", "bits"), "node").join(heads, "node")
     narrowed = f"transform(sequence(0, {WIDE - 1}), i -> aggregate(sequence(0, size(bits) div {WIDE} - 1), 0L, (s, j) -> s ^ get(bits, i + {WIDE} * j)))"
     wide = F.expr(f"case when n > {FEW} and size(bits) <= {WIDE} then bits when n > {FEW} then {narrowed} end").alias("wide")
-    rest = written(rest.select("key", "node", "place", "size", "component", "sig", wide), "rest")
+    rest = written(rest.select("key", "node", "place", "size", "component", "sig", wide, "heads"), "rest")
+    discard(opened)
     discard(tiles)
     discard(centres)
     apart = _apart(rest, percent)
