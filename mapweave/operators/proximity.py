@@ -67,7 +67,9 @@ def near_pairs(points: DataFrame, leaders: DataFrame, distance: float, group: li
 
     ``leaders`` has at most one row per cell.  The join is on cell equality; a
     crowded cell is a skewed key on the points side only, which adaptive
-    execution can split because a cell meets at most 25 leaders."""
+    execution can split because a cell meets at most 25 leaders.  The merge hint
+    keeps the 25 copies of all leaders from being broadcast: planning knows only
+    the packed size of the files they come from."""
     around = F.array(
         *[record(cx=F.col("cx") + dx, cy=F.col("cy") + dy) for dx in _REACH for dy in _REACH]
     )
@@ -76,7 +78,7 @@ def near_pairs(points: DataFrame, leaders: DataFrame, distance: float, group: li
     )
     dx, dy = F.col("x") - F.col("lx"), F.col("y") - F.col("ly")
     return (
-        points.join(spread, [*group, "cx", "cy"])
+        points.join(spread.hint("merge"), [*group, "cx", "cy"])
         .where(dx * dx + dy * dy < F.lit(distance * distance))
         .select(*group, "idx", "leader")
     )
