@@ -8,9 +8,13 @@ parquet once.  Text that looks like an element inside comments or CDATA sections
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import record
@@ -39,14 +43,18 @@ def read_map_xml(spark: SparkSession, path: str) -> RawMap:
     """Read every element of the files at ``path`` (a file, folder or glob)."""
 
     def elements(kind: str) -> DataFrame:
-        # A record is what follows "<kind", up to the next one; the first of a file is what comes before any.
-        text = spark.read.option("lineSep", f"<{kind}").text(path).select(
-            F.regexp_extract("value", _ELEMENT.format(kind), 0).alias("rest"),
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        tags = spark.read.option("lineSep", "<").text(path).select(
+            F.concat(F.lit("<"), "value").alias("text"), F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("cut"),
+        )
+        whole = tags.mapInArrow(_join_tags(kind, False), _PIECE).unionByName(_mended(tags.where("cut").mapInArrow(_join_tags(kind, True), _PIECE)))
+        text = whole.select(
+            F.regexp_extract(F.substr("text", F.lit(len(kind) + 2)), _ELEMENT.format(kind), 0).alias("rest"),
+            record(file=F.col("file"), start=F.col("start"), row=F.col("row")).alias("pos"),
         ).where("rest <> ''")
-        whole = F.from_xml(F.concat(F.lit(f"<{kind}"), F.col("rest")), _SCHEMAS[kind], {"rowTag": kind, "nullValue": "\u0000"})
-        pos = record(file=F.col("file"), start=F.col("start"), row=F.monotonically_increasing_id())
-        return text.select(whole.alias("e"), pos.alias("pos")).where("e._id is not null").select("e.*", "pos")
+        decoded = F.from_xml(F.concat(F.lit(f"<{kind}"), F.col("rest")), _SCHEMAS[kind], {"rowTag": kind, "nullValue": "\u0000"})
+        return text.select(decoded.alias("e"), "pos").where("e._id is not null").select("e.*", "pos")
 
     nodes = elements("node").select(
         F.col("_id").alias("node_id"), F.col("_lat").alias("lat"), F.col("_lon").alias("lon"),
@@ -65,6 +73,89 @@ def read_map_xml(spark: SparkSession, path: str) -> RawMap:
     return RawMap(nodes, ways, relations)
 
 
+_PIECE = "text string, file string, start long, row long, head boolean"
+
+
+def _join_tags(kind: str, edges: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Join the tags of each element of a kind that lies in one split (a task may read several, one after the other).
+
+    With ``edges`` what splits cut instead: the open element at a split's end (``head``), and a split's tags before its
+    first element, if they go on to the end of the element or fill the split."""
+    mine_, own_end_ = rf"^<{kind}[\s/>]", rf"^</{kind}[\s>]"
+    start_, end_ = r"^<(?:node|way|relation)[\s/>]", r"^</(?:node|way|relation)[\s>]"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen, ended = None, 0, False
+        parts, role, row, done = [], "", 0, False  # the piece at work: an own element, a lead of a split, or nothing of use
+
+        def close(out: list, at_end: bool) -> None:
+            """Put out the piece at work, which the end of a split or the next piece has ended."""
+            is_head = role == "own" and at_end and not done
+            of_use = role == "own" or role == "lead" and (done or at_end)
+            if parts and of_use and edges == (is_head or role == "lead"):
+                out.append(("".join(parts), *split, row, is_head))
+
+        for batch in batches:
+            n, out = batch.num_rows, []
+            if n == 0:
+                continue
+            text, file, start = batch.column(0), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+            mark = lambda pattern: pc.match_substring_regex(text, pattern).to_numpy(zero_copy_only=False)
+            begin, mine, end, own_end = mark(start_), mark(mine_), mark(end_), mark(own_end_)
+            over = end | mine & mark(r"/>\s*$")
+            name = file.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            fresh = np.r_[split != (file[0].as_py(), int(start[0])), (name[1:] != name[:-1]) | (start[1:] != start[:-1])]
+            # A piece begins at each start, at each split and after each end; the first may go on from the batch before.
+            cut = begin | fresh | np.r_[ended, over[:-1]]
+            at = np.union1d([0], np.flatnonzero(cut))
+            edge = np.r_[at, n]
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), text), "")
+            closed_by_split = np.r_[fresh[at[1:]], False]
+            inner = cut[at] & ~fresh[at] & ~closed_by_split
+            inner[-1] = False
+            if cut[0]:
+                close(out, bool(fresh[0]))
+                parts, role = [], ""
+            for k in np.flatnonzero(~inner).tolist():
+                i, j = int(edge[k]), int(edge[k + 1])
+                if cut[i]:
+                    if fresh[i]:
+                        split = (file[i].as_py(), int(start[i]))
+                    lead = fresh[i] and start[i] > 0 and not begin[i]
+                    parts, role, row, done = [], "own" if mine[i] else "lead" if lead else "", seen + i, False
+                if role:
+                    parts.append(texts[k].as_py())
+                    done = bool(own_end[j - 1] or over[j - 1] and role == "own")
+                    if role == "lead" and end[j - 1] and not done:
+                        role = ""  # the end of another kind of element
+                if k < len(at) - 1:
+                    close(out, bool(closed_by_split[k]))
+                    parts, role = [], ""
+            columns = [pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()))]
+            if not edges:
+                pick = np.flatnonzero(inner & mine[at])
+                more = [texts.take(pa.array(pick)), file.take(pa.array(at[pick])), pa.array(start[at[pick]]), pa.array(seen + at[pick]), pa.array(np.zeros(len(pick), bool))]
+                columns = [pa.concat_arrays([c, m]) for c, m in zip(columns, more)]
+            seen, ended = seen + n, bool(over[-1])
+            yield pa.RecordBatch.from_arrays(columns, ["text", "file", "start", "row", "head"])
+        out = []
+        close(out, True)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in out[0]], ["text", "file", "start", "row", "head"])
+
+    return run
+
+
+def _mended(pieces: DataFrame) -> DataFrame:
+    """Elements that splits cut: each head with the leads after it.  A split brings two short pieces at most."""
+    order = Window.partitionBy("file").orderBy("start", "row")
+    begun = F.last(F.when(F.col("head"), F.struct("start", "row")), ignorenulls=True).over(order)
+    whole = pieces.select("*", begun.alias("at")).where("at is not null").groupBy("file", "at").agg(
+        F.sort_array(F.collect_list(F.struct("start", "row", "text"))).alias("pieces")
+    )
+    return whole.select(F.array_join("pieces.text", "").alias("text"), "file", "at.start", "at.row", F.lit(True).alias("head"))
+
+
 def tag_map(tags: Column) -> Column:
     """List of (key, value) -> map; the last value of a repeated key wins."""
     empty = F.array().cast("array<struct<_k:string,_v:string>>")

@@ -69,6 +69,40 @@ def test_plain_files_are_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_no_row_is_longer_than_a_tag(spark, tmp_path, monkeypatch):
+    """Sections of other kinds are never read as one row, and elements are whole wherever splits cut them."""
+    join = map_xml._join_tags
+
+    def watched(kind, edges):
+        inner = join(kind, edges)
+
+        def run(batches):
+            def short(batch):
+                assert max(map(len, batch.column(0).to_pylist()), default=0) < 100
+                return batch
+
+            return inner(short(b) for b in batches)
+
+        return run
+
+    monkeypatch.setattr(map_xml, "_join_tags", watched)
+    lines = ["<osm>", *[f'<node id="{i}" lat="1" lon="2"/>' for i in range(2000)], *[f'<way id="{i}"><nd ref="{i}"/><nd ref="7"/></way>' for i in range(2000)]]
+    members = "".join(f'<member type="way" ref="{i}" role=""/>' for i in range(3000))
+    (tmp_path / "m.osm").write_text("".join([*lines, f'<relation id="1">{members}</relation>', '<relation id="2"/>', '<node id="9000" lat="1" lon="2"></node>', "</osm>"]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, rows in (("128m", "10000"), ("30000", "100"), ("7001", "7"), ("20000", "1")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            raw = map_xml.read_map_xml(spark, str(tmp_path / "m.osm"))
+            assert sorted(r.node_id for r in raw.nodes.collect()) == [*range(2000), 9000]
+            assert sorted((r.way_id, *r.node_refs) for r in raw.ways.collect()) == [(i, i, 7) for i in range(2000)]
+            assert {r.rel_id: [m.ref for m in r.members] for r in raw.relations.collect()} == {1: list(range(3000)), 2: []}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_import_of_a_file(spark, files):
     raw = map_xml.read_map_xml(spark, str(files / "m.osm"))
     m = import_map(map_xml.last_per_id(raw.nodes, "node_id"), map_xml.last_per_id(raw.ways, "way_id"))
