@@ -203,9 +203,21 @@ def paint(strips: DataFrame, world: WorldConfig) -> DataFrame:
         *rest, F.greatest("first", F.col("bx") * BLOCK).alias("first"), F.least("last", F.col("bx") * BLOCK + (BLOCK - 1)).alias("last"),
         "bx", F.floor(F.col("iz") / BLOCK).cast("int").alias("bz"),
     )
-    spread = cut.hint("rebalance", F.col("bx"), F.col("bz"))
+    return _fill(cut.hint("rebalance", F.col("bx"), F.col("bz")), world)
+
+
+def feature_cells(strips: DataFrame, world: WorldConfig) -> DataFrame:
+    """osm_id, ix, iz, weight of each feature by itself: highest weight per cell, cells of no weight left out.
+
+    The strips of a feature's mask row travel together, so its cells are combined where they are made; only strips
+    are shuffled, never cells.  A row of a feature has as many cells as the mask is wide at most."""
+    return blend(_fill(strips.select(*STRIP).repartition("osm_id", "iz"), world), "osm_id")
+
+
+def _fill(strips: DataFrame, world: WorldConfig) -> DataFrame:
+    """The cells of strips, made where the strips are."""
     cell = F.lit(world.mask_cell)
-    cells = spread.select(
+    cells = strips.select(
         *[c for c in STRIP if c not in ("first", "last")], F.explode(F.sequence("first", "last")).alias("ix")
     )
     cells = cells.select("*", (F.col("west") + F.col("ix") * cell).alias("x"))

@@ -155,6 +155,21 @@ def test_mask_of_rings_and_lines(spark):
         assert got[k] == pytest.approx(line_by_hand(line, 3.0, WORLD), abs=1e-9), k
 
 
+def test_cells_of_features_are_not_shuffled(spark):
+    """Each feature by itself: as blending after painting, with a shuffle of strips and none after the cells are made."""
+    world = WorldConfig(world_min=(0.0, 0.0), world_max=(1000.0, 1000.0))
+    ring = lambda i: [(40.0 * i, 30.0), (40.0 * i + 300.0, 80.0), (40.0 * i + 100.0, 500.0)]
+    rings = spark.createDataFrame([(i, ring(i)) for i in range(5)], f"osm_id long, shape {SHAPE_TYPE}")
+    strips = mask.polygon_strips(rings, world)
+    got = mask.feature_cells(strips, world)
+    want = mask.blend(mask.paint(strips, world), "osm_id")
+    rows = lambda df: {(r.osm_id, r.ix, r.iz): r.weight for r in df.collect()}
+    assert rows(got) == rows(want) and len({k[0] for k in rows(got)}) == 5
+    plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    made = next(i for i, line in enumerate(plan) if "sequence(first" in line)
+    assert not any("Exchange" in line for line in plan[:made])
+
+
 def test_mask_sample_and_levelling(spark):
     flat = spark.createDataFrame([(0, 0, 1.0), (8, 8, 0.5)], "ix int, iz int, weight double")
     points = spark.createDataFrame([(1, -20.0, -20.0), (2, -17.5, -20.0), (3, 20.0, 20.0), (4, 30.0, 30.0), (5, 0.0, 0.0), (6, -30.0, -20.0)], "k int, x double, z double")
