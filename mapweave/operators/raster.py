@@ -38,14 +38,16 @@ def chunk_grid(chunks: DataFrame, world: WorldConfig) -> DataFrame:
 
     Keys are spread over the tasks first, then each is expanded where it lands.
     The number of tasks is given outright: by size alone, adaptive execution
-    would put the short list of keys into one task."""
+    would put the short list of keys into one task.  The keys are named in another
+    order than a grouping by chunk has them: Spark takes a repartition out that
+    repeats the grouping's own, and with it the number of tasks."""
     t = world.terrain
     tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     west = F.lit(float(world.world_min[0])) + F.col("cx") * F.lit(float(world.chunk_size))
     north = F.lit(float(world.world_min[1])) + F.col("cz") * F.lit(float(world.chunk_size))
     line = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     return (
-        chunks.select("cx", "cz").repartition(tasks, "cx", "cz")
+        chunks.select("cx", "cz").repartition(tasks, "cz", "cx")
         .select("cx", "cz", line(t.resolution_z).alias("iz"))
         .select("cx", "cz", line(t.resolution_x).alias("ix"), "iz")
         .select(

@@ -177,3 +177,12 @@ def test_mask_sample_and_levelling(spark):
     assert got == pytest.approx({1: 1.0, 2: 0.5, 3: 0.5, 4: 0.5, 5: 0.0, 6: 1.0})
     cell = spark.createDataFrame([(0, 0, 0, 0, -17.5, -20.0, 8.0)], CELL)
     assert mask.apply_mask(cell, flat, WORLD).first().h == pytest.approx(4.0)
+
+
+def test_chunks_from_a_grouping_are_expanded_by_many_tasks(spark):
+    """A grouping by chunk before the grid once took the grid's own repartition out, and one task made all cells."""
+    world = WorldConfig(terrain=config(4))
+    points = spark.range(64).select((F.col("id") % 8 * 500.0 - 1999.0).alias("x"), (F.floor(F.col("id") / 8) * 500.0 - 1999.0).alias("z"))
+    cells = raster.chunk_grid(raster.chunks_of_points(points, world), world)
+    tasks = cells.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert cells.count() == 64 * 16 and tasks > 4
