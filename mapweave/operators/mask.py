@@ -5,18 +5,25 @@ the weight only falls with distance, the highest weight over all pieces of all
 features is the weight of the nearest one; so pieces are handled one by one and a
 single max per cell, combined before the shuffle, brings them together.
 
-A piece is cut into strips first, one per mask row it reaches.  A strip is one
-short row of numbers: a range of cells and what their weights follow from.  The
-strips are shuffled, by blocks of the mask, and only then expanded to cells.  So
-a feature as large as the map is filled by many tasks, cells are never shuffled
-before they are combined, and the work follows the covered cells, not cells
-times sides.
+For the weights of single features (:func:`paint`, :func:`feature_cells`) a piece is
+cut into strips first, one per mask row it reaches.  A strip is one short row of
+numbers: a range of cells and what their weights follow from.  The strips are
+shuffled, by blocks of the mask, and only then expanded to cells.  So a feature as
+large as the map is filled by many tasks, cells are never shuffled before they are
+combined, and the work follows the covered cells, not cells times sides.
+
+The mask of all features (:func:`flatten`) needs no strips: equal rings and equal
+segments are met once, whatever the number of features they are in, whole segments
+travel by block, and a task fills one block after the other in an array.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,11 +150,20 @@ def polygon_strips(polygons: DataFrame, world: WorldConfig) -> DataFrame:
     Inside: each side gives one crossing per mask row it spans; between the odd
     and the even crossing of a row all cells are inside, as in ray casting.
     Around: cells within the blend distance of a side."""
-    sides = polygons.where(F.size("shape") >= 3).select(
+    sides = _ring_sides(polygons)
+    return _span_strips(_spans(sides, world), world).unionByName(_segment_strips(_long_sides(sides), world))
+
+
+def _ring_sides(polygons: DataFrame) -> DataFrame:
+    return polygons.where(F.size("shape") >= 3).select(
         "osm_id", F.inline(shapes.ring_segments(F.col("shape"))).alias("p", "q")
     ).select(
         "osm_id", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by")
     )
+
+
+def _spans(sides: DataFrame, world: WorldConfig) -> DataFrame:
+    """osm_id, iz, x_from, x_to: where a ring's inside is, per mask row."""
     crossing = (
         _rows(sides, F.least("ay", "by"), F.greatest("ay", "by"), world)
         .where((F.col("ay") > F.col("z")) != (F.col("by") > F.col("z")))
@@ -158,19 +174,19 @@ def polygon_strips(polygons: DataFrame, world: WorldConfig) -> DataFrame:
         )
     )
     # A row of one ring holds as many crossings as the ring has sides there: bounded by the ring's own row.
-    spans = crossing.groupBy("osm_id", "iz").agg(F.sort_array(F.collect_list("at")).alias("at")).select(
+    return crossing.groupBy("osm_id", "iz").agg(F.sort_array(F.collect_list("at")).alias("at")).select(
         "osm_id", "iz",
         F.inline(F.transform(
             F.sequence(F.lit(0), F.floor(F.size("at") / 2).cast("int") - 1),
             lambda k: record(x_from=F.get("at", k * 2), x_to=F.get("at", k * 2 + 1)),
         )).alias("x_from", "x_to"),
     )
-    # Sides shorter than a centimetre are left out of the distance, as their ends belong to other sides.
+
+
+def _long_sides(sides: DataFrame) -> DataFrame:
+    """Sides as segments; those shorter than a centimetre are left out of the distance, as their ends belong to other sides."""
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    long_sides = sides.where(dx * dx + dy * dy >= F.lit(1e-4)).select(
-        "*", F.lit(0.0).alias("radius"), F.lit(0.0).alias("samples")
-    )
-    return _span_strips(spans, world).unionByName(_segment_strips(long_sides, world))
+    return sides.where(dx * dx + dy * dy >= F.lit(1e-4)).select("*", F.lit(0.0).alias("radius"), F.lit(0.0).alias("samples"))
 
 
 def line_strips(lines: DataFrame, world: WorldConfig) -> DataFrame:
@@ -179,6 +195,10 @@ def line_strips(lines: DataFrame, world: WorldConfig) -> DataFrame:
     A line is a chain of points half a mask cell apart (at least three per
     segment), each levelling its surroundings.  The nearest such point of a cell
     is the one nearest to its foot on the segment, so they need not be listed."""
+    return _segment_strips(_line_segments(lines, world), world)
+
+
+def _line_segments(lines: DataFrame, world: WorldConfig) -> DataFrame:
     pieces = lines.select(
         "osm_id", (F.col("width") * F.lit(0.5) + F.lit(float(world.flatten_radius))).alias("radius"),
         F.inline(shapes.segments(F.col("shape"))).alias("p", "q"),
@@ -187,7 +207,7 @@ def line_strips(lines: DataFrame, world: WorldConfig) -> DataFrame:
     )
     length = norm(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     samples = F.greatest(F.floor(length / F.lit(world.mask_cell * 0.5)), F.lit(2)).cast("double")
-    return _segment_strips(pieces.select("*", samples.alias("samples")), world)
+    return pieces.select("*", samples.alias("samples"))
 
 
 def paint(strips: DataFrame, world: WorldConfig) -> DataFrame:
@@ -247,7 +267,124 @@ def flatten_mask(roads: DataFrame, buildings: DataFrame, areas: DataFrame, world
         areas.where(F.col("type") != "Water").select("osm_id", F.col("polygon").alias("shape"))
     )
     lines = roads.select("osm_id", F.col("polyline").alias("shape"), "width")
-    return blend(paint(polygon_strips(rings, world).unionByName(line_strips(lines, world)), world))
+    return flatten(rings, lines, world)
+
+
+SEGMENT = ["ax", "ay", "ex", "ey", "inverse", "samples", "radius"]
+
+
+def flatten(rings: DataFrame, lines: DataFrame | None, world: WorldConfig) -> DataFrame:
+    """ix, iz, weight of rings (``osm_id, shape``) and lines (``osm_id, shape, width``) together.
+
+    Pieces travel by block of the mask; the rebalance hint lets the engine split a block that holds too many, whose cells
+    then come from several tasks and are combined by the last grouping.  Insides and wide pieces come first in a block, as
+    a piece that finds full weight wherever it reaches has nothing to add."""
+    placed = pieces(rings, lines, world).hint("rebalance", F.col("qx"), F.col("qz"))
+    ordered = placed.sortWithinPartitions("qx", "qz", F.col("iz").isNull(), F.desc("radius"))
+    return blend(ordered.mapInArrow(_filler(world), "ix int, iz int, weight double"))
+
+
+def pieces(rings: DataFrame, lines: DataFrame | None, world: WorldConfig) -> DataFrame:
+    """Per block (``qx, qz``) the stretches inside rings (``iz, first, last``) and the segments that may reach it.
+
+    Copies of a ring or of a segment level the same cells, so each is kept once; of equal segments the one of the largest
+    radius reaches farthest everywhere."""
+    once = rings.groupBy("shape").agg(F.min("osm_id").alias("osm_id"))
+    sides = _ring_sides(once)
+    columns = ["ax", "ay", "bx", "by", "samples", "radius"]
+    segments = _long_sides(sides).select(*columns)
+    if lines is not None:
+        segments = segments.unionByName(_line_segments(lines, world).select(*columns))
+    segments = segments.groupBy("ax", "ay", "bx", "by", "samples").agg(F.max("radius").alias("radius"))
+    inside = _span_blocks(_span_strips(_spans(sides, world), world))
+    found = inside.unionByName(_segment_blocks(segments, world), allowMissingColumns=True)
+    return found.select("qx", "qz", "iz", "first", "last", *SEGMENT)
+
+
+def _span_blocks(strips: DataFrame) -> DataFrame:
+    low, high = (F.floor(F.col(c) / BLOCK).cast("int") for c in ("first", "last"))
+    cut = strips.select("iz", "first", "last", F.explode(F.sequence(low, high)).alias("qx"), F.floor(F.col("iz") / BLOCK).cast("int").alias("qz"))
+    return cut.select(
+        "qx", "qz", "iz", F.greatest("first", F.col("qx") * BLOCK).alias("first"), F.least("last", F.col("qx") * BLOCK + (BLOCK - 1)).alias("last")
+    )
+
+
+def _segment_blocks(segments: DataFrame, world: WorldConfig) -> DataFrame:
+    """A row per block (``qx, qz``) that a segment may reach: only the stretch of it near a row of blocks is widened, as in
+    :func:`_segment_strips`."""
+    ex, ey, reach = F.col("ex"), F.col("ey"), F.col("reach")
+    one, zero = F.lit(1.0), F.lit(0.0)
+    (west, north), (wide, high) = world.world_min, mask_size(world)
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    stepped = segments.where("radius is not null").select(
+        "*", (F.col("bx") - F.col("ax")).alias("ex"), (F.col("by") - F.col("ay")).alias("ey"),
+        (F.greatest(F.col("radius"), zero) + F.lit(float(world.blend_distance))).alias("reach"),
+    )
+    rows = stepped.select("*", *_clip(
+        _below(F.least("ay", "by") - reach, north, world), _above(F.greatest("ay", "by") + reach, north, world), high
+    )).where("first <= last").select(*stepped.columns, F.explode(F.sequence(block("first"), block("last"))).alias("qz"))
+    steep = F.abs(ey) > F.lit(1e-9)
+    share = lambda edge: clamp((edge - F.col("ay")) / ey, zero, one)
+    rows = rows.select(
+        "*", F.when(steep, share(_cell_z(F.col("qz") * BLOCK, world) - reach)).otherwise(zero).alias("s1"),
+        F.when(steep, share(_cell_z(F.col("qz") * BLOCK + (BLOCK - 1), world) + reach)).otherwise(one).alias("s2"),
+    )
+    rows = rows.select("*", (F.col("ax") + F.col("s1") * ex).alias("x1"), (F.col("ax") + F.col("s2") * ex).alias("x2"))
+    square = ex * ex + ey * ey
+    return rows.select("*", *_clip(
+        _below(F.least("x1", "x2") - reach, west, world), _above(F.greatest("x1", "x2") + reach, west, world), wide
+    )).where("first <= last").select(
+        F.explode(F.sequence(block("first"), block("last"))).alias("qx"), "qz", "ax", "ay", "ex", "ey",
+        F.when(square > zero, one / square).otherwise(zero).alias("inverse"), "samples", "radius",
+    )
+
+
+def _filler(world: WorldConfig):
+    """Pieces in the order of their blocks to the cells of each block; one block is held at a time."""
+    cell, falloff = world.mask_cell, float(world.blend_distance)
+    west, north = (float(v) for v in world.world_min)
+    wide, high = mask_size(world)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, weight, across, down = None, None, None, None
+
+        def cells() -> pa.RecordBatch:
+            z, x = np.nonzero(weight > 0)
+            return pa.record_batch({"ix": (x + at[0] * BLOCK).astype(np.int32), "iz": (z + at[1] * BLOCK).astype(np.int32), "weight": weight[z, x]})
+
+        def reached(low: float, high_: float, origin: float, first: int, count: int) -> slice:
+            """Indices in the block of the cells from below ``low`` to above ``high_``."""
+            return slice(max(math.floor((low - origin) / cell) - first, 0), max(min(math.ceil((high_ - origin) / cell) - first + 1, count), 0))
+
+        for batch in batches:
+            for qx, qz, iz, first, last, ax, ay, ex, ey, inverse, samples, radius in zip(*(c.to_pylist() for c in batch.columns)):
+                if (qx, qz) != at:
+                    if at is not None:
+                        yield cells()
+                    at = qx, qz
+                    across = np.arange(qx * BLOCK, min(qx * BLOCK + BLOCK, wide)) * cell
+                    down = north + np.arange(qz * BLOCK, min(qz * BLOCK + BLOCK, high))[:, None] * cell
+                    weight = np.zeros((len(down), len(across)))
+                if iz is not None:
+                    weight[iz - qz * BLOCK, first - qx * BLOCK : last - qx * BLOCK + 1] = 1.0
+                    continue
+                reach = max(radius, 0.0) + falloff
+                rows = reached(min(ay, ay + ey) - reach, max(ay, ay + ey) + reach, north, qz * BLOCK, len(down))
+                columns = reached(min(ax, ax + ex) - reach, max(ax, ax + ex) + reach, west, qx * BLOCK, len(across))
+                part = weight[rows, columns]
+                if part.size == 0 or part.min() == 1.0:
+                    continue
+                x, z = (west - ax) + across[columns], down[rows] - ay
+                t = np.clip((x * ex + z * ey) * inverse, 0.0, 1.0)
+                if samples > 0:
+                    t = np.floor(t * samples + 0.5) / samples
+                dx, dz = x - ex * t, z - ey * t
+                beyond = np.clip((np.sqrt(dx * dx + dz * dz) - radius) / falloff, 0.0, 1.0)
+                np.maximum(part, 1.0 - beyond * beyond * (3.0 - 2.0 * beyond), out=part)
+        if at is not None:
+            yield cells()
+
+    return fill
 
 
 def pack_mask(mask: DataFrame, world: WorldConfig) -> DataFrame:

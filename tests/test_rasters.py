@@ -170,6 +170,29 @@ def test_cells_of_features_are_not_shuffled(spark):
     assert not any("Exchange" in line for line in plan[:made])
 
 
+def test_mask_of_all_features_meets_copies_once(spark):
+    """The highest weight over all rings and lines; copies add no piece, and of equal lines the widest counts."""
+    rng = random.Random(6)
+    world = WorldConfig(chunk_size=400.0, chunk_resolution=64, world_min=(-400.0, -400.0), world_max=(400.0, 400.0), flatten_radius=4.0, blend_distance=30.0)
+    some = lambda n: [(rng.uniform(-450, 450), rng.uniform(-450, 450)) for _ in range(n)]
+    rings = [some(rng.randint(3, 7)) for _ in range(4)] + [[(0.0, 0.0), (5.0, 5.0)]]
+    lines = [some(rng.randint(2, 4)) for _ in range(6)] + [[(1.0, 1.0), (1.0, 1.0)]]
+
+    def tables(copies):
+        r = [(k * 100 + i, ring) for k in range(copies) for i, ring in enumerate(rings)]
+        n = [(k * 100 + i, line, 3.0 + k) for k in range(copies) for i, line in enumerate(lines)] + [(7, lines[0], None)]
+        return spark.createDataFrame(r, f"osm_id long, shape {SHAPE_TYPE}"), spark.createDataFrame(n, f"osm_id long, shape {SHAPE_TYPE}, width double")
+
+    df = tables(3)
+    got = {(r.ix, r.iz): r.weight for r in mask.flatten(*df, world).collect()}
+    strips = mask.polygon_strips(df[0], world).unionByName(mask.line_strips(df[1], world))
+    want = {(r.ix, r.iz): r.weight for r in mask.blend(mask.paint(strips, world)).collect()}
+    assert got == pytest.approx(want, abs=1e-12) and 1.0 in got.values() and min(got.values()) < 0.1
+    # More copies are wider lines as well, which may reach one block more, but no second piece in any block.
+    again = mask.pieces(*tables(9), world)
+    assert again.count() < 1.5 * mask.pieces(*tables(1), world).count() and again.count() == again.distinct().count()
+
+
 def test_mask_sample_and_levelling(spark):
     flat = spark.createDataFrame([(0, 0, 1.0), (8, 8, 0.5)], "ix int, iz int, weight double")
     points = spark.createDataFrame([(1, -20.0, -20.0), (2, -17.5, -20.0), (3, 20.0, 20.0), (4, 30.0, 30.0), (5, 0.0, 0.0), (6, -30.0, -20.0)], "k int, x double, z double")
