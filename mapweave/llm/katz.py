@@ -10,7 +10,8 @@ counted, else bow(h) P(w | h'), with bow(h) = (1 - sum of P(w | h)) / (1 - sum o
 of h, or 0.5 more than the discounted counts if nothing else were left, so every distribution sums to one.
 Evaluation.  The recursion unrolls: log P(w | h) = log P1(w) + sum over orders of [bow(h) + gain(h, w) if counted], where
 gain = log P(w | h) - bow(h) - log P(w | h').  So a text's score is a sum over its distinct n-grams, and tables and
-n-grams meet by buckets of the hash: no history, word or text is brought together in one task.
+n-grams meet by buckets of the hash: no history, word or text is brought together in one task.  The n-grams counted most
+often (FREQUENT at most) are known to every task and are added up where the text is read; only others are sent.
 
 Tables (lm order=1, 2, ...) are written to the shared folder, one folder per order.
 
@@ -30,17 +31,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import discard, in_slots, remainder, slots_of, stored
+from mapweave.llm.common import discard, in_slots, remainder, slots_of, stored, written
 from mapweave.llm.words import mix, pieces, word_hashes
 
-ORDER = 2
+ORDER = 3
 KATZ = 5  # counts above it are not discounted
 LEAST = 2  # n-grams of two words and more that are seen less often count as unseen
 FLUSH = 1 << 19  # tokens a task gathers before it sends
 PER_BUCKET = 2 << 20  # tokens per bucket, about
+CARRIED = 1 << 19  # n-grams met more than once that a task keeps back while it counts
+FREQUENT = 1 << 18  # entries that every task knows
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xDA942042E4DD58B5)
-SLOTS = 1 << 27
+SLOTS = 1 << 27  # bits of a table at most; a small table gets eight to sixteen per row, as each executor keeps its copy on disk too
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +72,15 @@ def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np
     return k, np.bincount(back, np.concatenate(n) if n else [], minlength=len(k)).astype(np.int64)
 
 
+def _bits(grams: DataFrame) -> np.ndarray:
+    """A bit per slot that a gram falls in."""
+    return slots_of(grams, "gram", min(SLOTS, max(1 << 20, 1 << (8 * grams.count()).bit_length())))
+
+
+def _may(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    return in_slots(bits, grams, 8 * len(bits))
+
+
 def count_words(training: DataFrame) -> DataFrame:
     """gram, n of words, END and BEGIN."""
 
@@ -106,7 +118,7 @@ def _orders(token: np.ndarray, at: np.ndarray, order: int, kept: list[np.ndarray
         places = np.flatnonzero(ok)
         history, lower = here[places - 1], here[places]
         if kept:
-            may = in_slots(kept[m - 2], history, SLOTS) & in_slots(kept[m - 2], lower, SLOTS)
+            may = _may(kept[m - 2], history) & _may(kept[m - 2], lower)
             ok[places[~may]] = False
             places, history, lower = places[may], history[may], lower[may]
         new = np.zeros(len(token), np.uint64)
@@ -122,10 +134,15 @@ def count_grams(training: DataFrame, order: int, kept: list[np.ndarray], buckets
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         history, lower, numbers, held, left_out = [], [], [], 0, 0
 
-        def send() -> Iterator[pa.RecordBatch]:
+        def send(last: bool = False) -> Iterator[pa.RecordBatch]:
             h, w, n = _join(history), _join(lower), np.concatenate(numbers) if numbers else np.empty(0, np.int64)
             history.clear(), lower.clear(), numbers.clear()
             h, w, n = _pairs(h, w, n)
+            # What was met more than once will be met again: it is sent at the end, unless it is too much.
+            back = n > 1
+            if not last and back.sum() <= CARRIED:
+                history.append(h[back]), lower.append(w[back]), numbers.append(n[back])
+                h, w, n = h[~back], w[~back], n[~back]
             bucket = (higher(h, w) % np.uint64(buckets)).astype(np.int64)
             sort = np.argsort(bucket, kind="stable")
             h, w, n = h[sort], w[sort], n[sort]
@@ -147,7 +164,7 @@ def count_grams(training: DataFrame, order: int, kept: list[np.ndarray], buckets
                 if held > FLUSH:
                     yield from send()
                     held = 0
-        yield from send()
+        yield from send(last=True)
         yield pa.record_batch({"bucket": pa.array([TaskContext.get().partitionId() % buckets], pa.int32()), "history": [b""], "lower": [b""], "n": [b""], "once": pa.array([left_out], pa.int64())})
 
     def merge(table):
@@ -203,7 +220,7 @@ class Katz:
 def train(training: DataFrame, order: int = ORDER) -> Katz:
     """From texts (text)."""
     begin, end = int(BEGIN.view(np.int64)), int(END.view(np.int64))
-    words = stored(count_words(training), "lm_words")
+    words = written(count_words(training), "lm_words")
     real = words.where(f"gram <> {begin}")
     stats = real.groupBy(F.least("n", F.lit(KATZ + 1)).alias("r")).agg(F.count("*").alias("grams"), F.sum("n").alias("n"), F.sum(F.when(F.col("n") == KATZ + 1, 1).otherwise(0)).alias("last")).collect()
     total, distinct = sum(r["n"] for r in stats), sum(r["grams"] for r in stats)
@@ -217,20 +234,20 @@ def train(training: DataFrame, order: int = ORDER) -> Katz:
     kept: list[np.ndarray] = []
     buckets = max(64, -(-total // PER_BUCKET))
     for m in range(2, order + 1):
-        kept.append(slots_of(counts.where(f"n >= {LEAST}"), "gram", SLOTS))
-        found = stored(count_grams(training, m, kept, buckets), f"lm_counts{m}")
+        kept.append(_bits(counts.where(f"n >= {LEAST}")))
+        found = written(count_grams(training, m, kept, buckets), f"lm_counts{m}")
         seen = {r["n"]: r["grams"] for r in found.where("history is null").groupBy("n").agg(F.sum("grams").alias("grams")).collect()}
         taken = _discounted(discounts(seen, LEAST))
         grams = found.where("history is not null").join(tables[-1].selectExpr("gram as lower", "lp as low"), "lower")
-        grams = stored(grams.select("history", "lower", "n", "low", taken.alias("taken")), f"lm_grams{m}")
+        grams = written(grams.select("history", "lower", "n", "low", taken.alias("taken")), f"lm_grams{m}")
         discard(found)
         sums = grams.groupBy("history").agg(F.sum("taken").alias("taken"), F.sum(F.pow(F.lit(10.0), "low")).alias("low"))
         z = "greatest(cast(n as double), taken + 0.5)"
         bows = sums.join(counts.select(F.col("gram").alias("history"), "n"), "history").selectExpr("history", f"{z} as z", f"log10((1 - taken / {z}) / greatest(1 - low, 1e-12)) as bow")
-        bows = stored(bows, f"lm_bow{m}")
+        bows = written(bows, f"lm_bow{m}")
         # The same mixing as higher() would need wrapping products; the hash is made in numpy.
         joined = grams.join(bows, "history").selectExpr("history", "lower", "n", "log10(taken / z) as lp", "log10(taken / z) - bow - low as gain")
-        tables.append(stored(joined.mapInArrow(_whole, "gram long, n long, lp double, gain double"), f"lm/order={m}"))
+        tables.append(written(joined.mapInArrow(_whole, "gram long, n long, lp double, gain double"), f"lm/order={m}"))
         weights.append(stored(bows.select(F.col("history").alias("gram"), "bow"), f"lm_weights{m}"))
         discard(grams), discard(bows)
         counts = tables[-1].select("gram", "n")
@@ -243,8 +260,43 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(higher(h, w).view(np.int64)), batch.column("n"), batch.column("lp"), batch.column("gain")], names=["gram", "n", "lp", "gain"])
 
 
-def _requests(order: int, kept: list[np.ndarray], buckets: int):
-    """Per flush and bucket the distinct n-grams that may be in the tables, with the texts they are in, and per flush its texts."""
+def _narrow(numbers: np.ndarray) -> bytes:
+    """One byte each if they fit, else two or four; _wide() tells by the length."""
+    most = int(numbers.max()) if len(numbers) else 0
+    return numbers.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, {1: "u1", 2: "<u2", 4: "<u4"}[len(data) // count if count else 4]).astype(np.int64)
+
+
+@dataclass
+class Known:
+    """The most frequent entries, sorted by gram."""
+
+    gram: np.ndarray
+    gain: np.ndarray
+    bow: np.ndarray
+    word: np.ndarray  # 1 for a word, 0 for a longer n-gram
+    base: np.ndarray  # of a word
+
+    def take(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of g are known, and where those are."""
+        at = np.minimum(np.searchsorted(self.gram, g), max(0, len(self.gram) - 1))
+        hit = self.gram[at] == g if len(self.gram) else np.zeros(len(g), bool)
+        return hit, at[hit]
+
+
+def _known(rows: pa.Table, total: int, distinct: int) -> Known:
+    g = rows.column("gram").to_numpy().view(np.uint64)
+    sort = np.argsort(g, kind="stable")
+    gain, bow, n, word = (rows.column(c).to_numpy()[sort] for c in ("gain", "bow", "n", "word"))
+    return Known(g[sort], gain, bow, word, np.where(word > 0, np.log10((n + 0.1) / (total + 0.1 * (distinct + 1))), 0.0))
+
+
+def _requests(order: int, kept: list[np.ndarray], buckets: int, frequent: Known):
+    """Per flush and bucket the distinct n-grams that may be in the tables and are not frequent, with the texts they are in,
+    and per flush its texts with the sums over their frequent n-grams."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, flush = TaskContext.get().partitionId(), 0
@@ -254,10 +306,6 @@ def _requests(order: int, kept: list[np.ndarray], buckets: int):
             nonlocal flush, held
             key = (part << 24) + flush
             names = pa.concat_arrays(ids)
-            yield pa.record_batch({
-                "flush": pa.array([key], pa.int64()), "bucket": pa.array([key % buckets], pa.int32()), "grams": [b""], "many": [b""], "docs": [names.fill_null(0).to_numpy().astype("<i8").tobytes()],
-                "own": [np.concatenate(sizes).astype("<i8").tobytes()], "history": [names.is_valid().cast(pa.uint8()).to_numpy().tobytes()], "head": pa.array([True]),
-            })
             g, doc, kind = _join(grams), np.concatenate(docs), np.concatenate(kinds)
             grams.clear(), docs.clear(), kinds.clear()
             # One number per (n-gram, text, kind): sort by n-gram, then text.
@@ -266,6 +314,15 @@ def _requests(order: int, kept: list[np.ndarray], buckets: int):
             new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])]) if len(g) else np.empty(0, np.int64)
             own, hist = (np.add.reduceat((kind >> k) & 1, new, dtype=np.int32) if len(new) else new for k in (0, 1))
             g, doc = g[new], doc[new]
+            hit, at = frequent.take(g)
+            d, o, h = doc[hit], own[hit], hist[hit]
+            sums = [np.bincount(d, x, minlength=len(names)) for x in (o * frequent.gain[at] + h * frequent.bow[at], o * frequent.base[at], o * frequent.word[at])]
+            yield pa.record_batch({
+                "flush": pa.array([key], pa.int64()), "bucket": pa.array([key % buckets], pa.int32()), "grams": [np.stack(sums).astype("<f8").tobytes()], "many": [b""],
+                "docs": [names.fill_null(0).to_numpy().astype("<i8").tobytes()], "own": [np.concatenate(sizes).astype("<i8").tobytes()],
+                "history": [names.is_valid().cast(pa.uint8()).to_numpy().tobytes()], "head": pa.array([True]),
+            })
+            g, doc, own, hist = g[~hit], doc[~hit], own[~hit], hist[~hit]
             bucket = (g % np.uint64(buckets)).astype(np.int64)
             sort = np.argsort(bucket, kind="stable")
             g, doc, own, hist = g[sort], doc[sort], own[sort], hist[sort]
@@ -274,8 +331,8 @@ def _requests(order: int, kept: list[np.ndarray], buckets: int):
                 s = slice(cut[b], cut[b + 1])
                 first = np.flatnonzero(np.r_[True, g[s][1:] != g[s][:-1]])
                 yield pa.record_batch({
-                    "flush": pa.array([key], pa.int64()), "bucket": pa.array([b], pa.int32()), "grams": [g[s][first].tobytes()], "many": [np.diff(np.append(first, s.stop - s.start)).astype("<u4").tobytes()],
-                    "docs": [doc[s].astype("<u4").tobytes()], "own": [own[s].astype("<u4").tobytes()], "history": [hist[s].astype("<u4").tobytes()], "head": pa.array([False]),
+                    "flush": pa.array([key], pa.int64()), "bucket": pa.array([b], pa.int32()), "grams": [g[s][first].tobytes()], "many": [_narrow(np.diff(np.append(first, s.stop - s.start)))],
+                    "docs": [_narrow(doc[s])], "own": [_narrow(own[s])], "history": [_narrow(hist[s])], "head": pa.array([False]),
                 })
             for x in (grams, docs, kinds, ids, sizes):
                 x.clear()
@@ -296,7 +353,7 @@ def _requests(order: int, kept: list[np.ndarray], buckets: int):
                 for m, g, place in levels:
                     # Bit 0: it ends at a token (not at BEGIN); bit 1: it is the history of a next order's token.
                     kind = (~begins[place]).astype(np.uint8) + 2 * (~last[place] & (m < order)).astype(np.uint8)
-                    use = in_slots(kept[order - 1], g, SLOTS) & (kind > 0)
+                    use = _may(kept[order - 1], g) & (kind > 0)
                     grams.append(g[use]), docs.append((text[place[use]] + base).astype(np.int32)), kinds.append(kind[use])
                 held += len(token)
                 if held > FLUSH:
@@ -309,31 +366,27 @@ def _requests(order: int, kept: list[np.ndarray], buckets: int):
 
 def _answers(left, right, total: int, distinct: int):
     """Partial sums per text of one bucket."""
-    g = right.column("gram").to_numpy().view(np.uint64)
-    sort = np.argsort(g, kind="stable")
-    g = g[sort]
-    gain, bow, n = (right.column(c).to_numpy()[sort] for c in ("gain", "bow", "n"))
-    base = np.where(n > 0, np.log10((n + 0.1) / (total + 0.1 * (distinct + 1))), 0)
+    table = _known(right, total, distinct)
     flush, doc, score, plain, known, ids, valid, sizes = [], [], [], [], [], [], [], []
     for row in left.to_pylist():
         if row["head"]:
             own = np.frombuffer(row["own"], "<i8")
             flush.append(np.full(len(own), row["flush"])), doc.append(np.arange(len(own)))
             ids.append(np.frombuffer(row["docs"], "<i8")), valid.append(np.frombuffer(row["history"], np.uint8).astype(bool)), sizes.append(own)
-            for x in (score, plain, known):
-                x.append(np.zeros(len(own)))
+            for x, part in zip((score, plain, known), np.frombuffer(row["grams"], "<f8").reshape(3, len(own))):
+                x.append(part)
             continue
-        keys, many = np.frombuffer(row["grams"], np.uint64), np.frombuffer(row["many"], "<u4")
-        at = np.minimum(np.searchsorted(g, keys), max(0, len(g) - 1))
-        hit = g[at] == keys if len(g) else np.zeros(len(keys), bool)
-        where = np.repeat(np.where(hit, at, -1), many)
-        d, own, hist = (np.frombuffer(row[c], "<u4")[where >= 0] for c in ("docs", "own", "history"))
-        where = where[where >= 0]
+        keys = np.frombuffer(row["grams"], np.uint64)
+        many = _wide(row["many"], len(keys))
+        hit, at = table.take(keys)
+        there = np.repeat(hit, many)
+        where = np.repeat(at, many[hit])
+        d, own, hist = (_wide(row[c], int(many.sum()))[there] for c in ("docs", "own", "history"))
         texts, back = np.unique(d, return_inverse=True)
         flush.append(np.full(len(texts), row["flush"])), doc.append(texts.astype(np.int64))
-        score.append(np.bincount(back, own * gain[where] + hist * bow[where], minlength=len(texts)))
-        plain.append(np.bincount(back, own * base[where], minlength=len(texts)))
-        known.append(np.bincount(back, own * (n[where] > 0), minlength=len(texts)))
+        score.append(np.bincount(back, own * table.gain[where] + hist * table.bow[where], minlength=len(texts)))
+        plain.append(np.bincount(back, own * table.base[where], minlength=len(texts)))
+        known.append(np.bincount(back, own * table.word[where], minlength=len(texts)))
         ids.append(np.zeros(len(texts), np.int64)), valid.append(np.zeros(len(texts), bool)), sizes.append(np.full(len(texts), -1))
     cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
     return pa.table({
@@ -342,20 +395,27 @@ def _answers(left, right, total: int, distinct: int):
     })
 
 
-def score(docs: DataFrame, model: Katz) -> DataFrame:
-    """A row per row of docs (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, model: Katz, spend: bool = False) -> DataFrame:
+    """A row per row of docs (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score.
+
+    With ``spend`` the model's tables are deleted as soon as what the scores need is made of them."""
     order = len(model.tables)
-    zero = F.lit(0.0)
-    entries = model.tables[0].select("gram", "gain", zero.alias("bow"), "n")
+    zero, none = F.lit(0.0), F.lit(0).cast("long")
+    entries = model.tables[0].select("gram", "gain", zero.alias("bow"), "n", F.lit(1).alias("word"))
     for t in model.tables[1:]:
-        entries = entries.union(t.select("gram", "gain", zero, F.lit(0).cast("long")))
+        entries = entries.union(t.select("gram", "gain", zero, "n", F.lit(0)))
     for t in model.weights:
-        entries = entries.union(t.select("gram", zero, "bow", F.lit(0).cast("long")))
-    # A gram of one word may have a probability and a weight: one row each, so they are added here.
-    entries = entries.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("gain", "bow", "n")))
-    entries = stored(entries, "lm_entries")
-    kept = [slots_of(t.where(f"n >= {LEAST}"), "gram", SLOTS) if m else _both(t, model, order) for m, t in enumerate(model.tables[: order - 1])]
-    kept.append(slots_of(entries, "gram", SLOTS))
+        entries = entries.union(t.select("gram", zero, "bow", none, F.lit(0)))
+    # A gram may have a probability and a weight: one row each, so they are added here.
+    entries = entries.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("gain", "bow", "n")), F.max("word").alias("word"))
+    entries = written(entries, "lm_entries")
+    kept = [_bits(t.where(f"n >= {LEAST}")) if m else _both(t, model, order) for m, t in enumerate(model.tables[: order - 1])]
+    kept.append(_bits(entries))
+    if spend:
+        for t in [*model.tables, *model.weights]:
+            discard(t)
+    often = (F.col("n") >= _frequent_from(entries)) | (F.col("gram") == int(BEGIN.view(np.int64)))
+    frequent = _known(entries.where(often).toArrow(), model.total, model.distinct)
     buckets = max(64, -(-model.total // PER_BUCKET))
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,9 +423,9 @@ def score(docs: DataFrame, model: Katz) -> DataFrame:
             bucket = (batch.column("gram").to_numpy().view(np.uint64) % np.uint64(buckets)).astype(np.int32)
             yield pa.record_batch([*batch.columns, pa.array(bucket)], names=[*batch.schema.names, "bucket"])
 
-    right = entries.mapInArrow(bucketed, "gram long, gain double, bow double, n long, bucket int").groupBy("bucket")
+    right = entries.where(~often).mapInArrow(bucketed, "gram long, gain double, bow double, n long, word int, bucket int").groupBy("bucket")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = texts.mapInArrow(_requests(order, kept, buckets), "flush long, bucket int, grams binary, many binary, docs binary, own binary, history binary, head boolean")
+    asked = texts.mapInArrow(_requests(order, kept, buckets, frequent), "flush long, bucket int, grams binary, many binary, docs binary, own binary, history binary, head boolean")
     total, distinct = model.total, model.distinct
     parts = asked.groupBy("bucket").cogroup(right).applyInArrow(lambda a, b: _answers(a, b, total, distinct), "flush long, doc long, score double, base double, known long, doc_id long, tokens long")
     sums = parts.groupBy("flush", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
@@ -374,14 +434,26 @@ def score(docs: DataFrame, model: Katz) -> DataFrame:
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + lost * nothing).alias("base_score"), (F.col("score") + lost * model.unknown).alias("score"))
 
 
+def _frequent_from(entries: DataFrame) -> int:
+    """The least power of two that at most FREQUENT entries are counted as often as."""
+    rows = entries.where("n > 0").groupBy(F.floor(F.log2("n")).alias("p")).agg(F.count("*").alias("grams")).collect()
+    held, least = 0, 64
+    for r in sorted(rows, key=lambda r: -r["p"]):
+        held += r["grams"]
+        if held > FREQUENT:
+            break
+        least = r["p"]
+    return 1 << min(least, 62)
+
+
 def _both(words: DataFrame, model: Katz, order: int) -> np.ndarray:
     """Words counted twice or more, and BEGIN, which has no row of its own in the tables."""
     begin = words.sparkSession.createDataFrame([(int(BEGIN.view(np.int64)),)], "gram long")
-    return slots_of(words.where(f"n >= {LEAST}").select("gram").union(begin), "gram", SLOTS)
+    return _bits(words.where(f"n >= {LEAST}").select("gram").union(begin))
 
 
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Scores of all docs by what those whose crc32(doc_id) mod 10 is not 0 teach."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = score(texts, train(texts.where(remainder("doc_id", 10) != 0), order))
+    found = score(texts, train(texts.where(remainder("doc_id", 10) != 0), order), spend=True)
     return found.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -94,6 +94,19 @@ def test_katz_equals_its_recursive_form(spark, order):
         assert sum(m.prob(h, w) for w in m.p1) + m.prob(h, b"never seen") == pytest.approx(1, abs=1e-9)
 
 
+def test_katz_sends_or_knows_its_entries(spark, monkeypatch):
+    """The registered order looks back two words; scores are the same whether entries are known to all tasks or asked for by bucket."""
+    assert katz.ORDER >= 3
+    rows = lambda: sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in katz.score_documents(documents(spark)).collect()))
+    known = rows()
+    for name, value in (("FREQUENT", 0), ("CARRIED", 40), ("FLUSH", 100)):
+        monkeypatch.setattr(katz, name, value)
+    sent = rows()
+    assert len(known) == len(sent) > 0
+    for a, b in zip(known, sent):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9, abs=1e-6)
+
+
 def test_katz_of_nothing(spark):
     assert katz.score_documents(empty(spark)).count() == 0
 
