@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..operators import meshes, visibility
 from ..sources import tile_store
@@ -24,8 +25,8 @@ def near_meshes(seen: DataFrame, eye: tuple[float, float, float], radius: float)
 
 def visible_meshes(
     spark: SparkSession, path: str, boxes: DataFrame, planes: Sequence[tuple[float, float, float, float]],
-    eye: tuple[float, float, float], radius: float, span: int = 16,
+    eye: tuple[float, float, float], radius: float, span: int = 16, schema: StructType | None = None,
 ) -> DataFrame:
     """Meshes in view from a table of mesh rows stored by tile: only the folders of visible tiles are read, and in them
     only row groups whose boxes can be near."""
-    return near_meshes(tile_store.read_keys(spark, path, visible_tiles(boxes, planes), span), eye, radius)
+    return near_meshes(tile_store.read_keys(spark, path, visible_tiles(boxes, planes), span, schema), eye, radius)

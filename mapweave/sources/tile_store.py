@@ -33,12 +33,14 @@ def write_tiles(df: DataFrame, path: str, span: int = 16, mode: str = "overwrite
     )
 
 
-def read_keys(spark: SparkSession, path: str, keys: DataFrame, span: int = 16) -> DataFrame:
+def read_keys(spark: SparkSession, path: str, keys: DataFrame, span: int = 16, schema: StructType | None = None) -> DataFrame:
     """Fetch the tiles of a small table of keys (``tx, ty``).
 
-    The folder keys are part of the join, so Spark prunes folders while it runs."""
+    The folder keys are part of the join, so Spark prunes folders while it runs.  With the ``schema`` of what was stored
+    (without the folder keys) a store of no rows, which has no files, is read as well."""
     wanted = keys.select("tx", "ty", block(F.col("tx"), span).alias("px"), block(F.col("ty"), span).alias("py"))
-    return spark.read.parquet(path).join(wanted, ["px", "py", "tx", "ty"], "left_semi").drop("px", "py")
+    rows = spark.read if schema is None else spark.read.schema(StructType([*schema.fields, *wanted.select("px", "py").schema.fields]))
+    return rows.parquet(path).join(wanted, ["px", "py", "tx", "ty"], "left_semi").drop("px", "py")
 
 
 def read_tiles(
