@@ -9,6 +9,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mapweave.functions.columns import one_row
 from mapweave.operators import features
@@ -94,21 +95,25 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
+_SCHEMA: dict[tuple[str, str, str], StructType] = {}
 _IMPORTED: dict[tuple[str, str], MapTables] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A derived table, computed by Spark once per application and kept as parquet in the shared folder."""
+def stored(spark: SparkSession, sf_dir: str, name: str, make, *by: str) -> DataFrame:
+    """A derived table, computed by Spark once per application and kept as parquet in the shared folder (with a folder per
+    value of ``by``)."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch_path(spark, name)
-        make().write.parquet(path)
+        made = make()
+        made.write.partitionBy(*by).parquet(path)
+        _SCHEMA[key] = made.schema
         _STORED[key] = path
-    return spark.read.parquet(_STORED[key])
+    return spark.read.schema(_SCHEMA[key]).parquet(_STORED[key])
 
 
 def imported(spark: SparkSession, sf_dir: str) -> MapTables:
-    """The whole map: nodes and ways stored, then resolved once, then each kind of feature stored."""
+    """The whole map: nodes and ways stored, then resolved and stored as features of all kinds in one job."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _IMPORTED:
         _IMPORTED[key] = _import(spark, sf_dir)
@@ -116,16 +121,10 @@ def imported(spark: SparkSession, sf_dir: str) -> MapTables:
 
 
 def _import(spark: SparkSession, sf_dir: str) -> MapTables:
-    lazy = import_map(node_table(spark, sf_dir), way_table(spark, sf_dir))
-    shaped = stored(spark, sf_dir, "shaped", lambda: lazy.shaped)
     ways = way_table(spark, sf_dir)
-    return replace(
-        lazy,
-        shaped=shaped,
-        roads=stored(spark, sf_dir, "roads", lambda: features.roads(ways, shaped)),
-        buildings=stored(spark, sf_dir, "buildings", lambda: features.buildings(ways, shaped)),
-        areas=stored(spark, sf_dir, "areas", lambda: features.areas(ways, shaped)),
-    )
+    lazy = import_map(node_table(spark, sf_dir), ways)
+    met = stored(spark, sf_dir, "features", lambda: features.with_shapes(ways, lazy.shaped), "kind")
+    return replace(lazy, **{f"{kind}s": features.of_kind(met, kind) for kind in features.KINDS})
 
 
 def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:

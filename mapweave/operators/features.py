@@ -161,6 +161,37 @@ def areas(ways: DataFrame, shaped: DataFrame, config: ImportConfig = ImportConfi
     )
 
 
+def with_shapes(ways: DataFrame, shaped: DataFrame, config: ImportConfig = ImportConfig()) -> DataFrame:
+    """Rows of all kinds of features in one table, made with a single join to the shapes: kind, way_id, shape and the
+    columns of each kind (NULL for the others).  Rings are counter-clockwise and large enough; :func:`of_kind` reads it.
+
+    ``shaped`` comes grouped by way, so only the attributes are shuffled for the join."""
+    found = None
+    for kind, made, least in (("road", road_ways, 2), ("building", building_ways, 4), ("area", area_ways, 4)):
+        rows = made(ways, config).drop("node_refs").select(F.lit(kind).alias("kind"), F.lit(least).alias("least"), "*")
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    is_road = F.col("kind") == "road"
+    met = found.join(shaped, "way_id").where(F.size("shape") >= F.col("least")).drop("least")
+    if config.min_area_size is not None:
+        met = met.where(is_road | (F.abs(shapes.signed_area(F.col("shape"))) >= F.lit(config.min_area_size)))
+    return met.withColumn("shape", F.when(is_road, F.col("shape")).otherwise(shapes.counter_clockwise(F.col("shape"))))
+
+
+def of_kind(met: DataFrame, kind: str, config: ImportConfig = ImportConfig()) -> DataFrame:
+    """The road, building or area rows of :func:`with_shapes`: what :func:`roads`, :func:`buildings` or :func:`areas` gives."""
+    rows = met.where(F.col("kind") == kind)
+    if kind == "road" and config.simplify_geometry:
+        rows = simplify(rows, "shape", config.simplify_tolerance)
+    return rows.select(F.col("way_id").alias("osm_id"), F.col("shape").alias(KINDS[kind]), *_COLUMNS[kind])
+
+
+_COLUMNS = {
+    "road": ["type", "width", "lanes", "speed_limit", "name", "is_oneway", "is_bridge", "is_tunnel"],
+    "building": ["height", "levels", "type", "roof_type", "name", "roof_color", "building_color"],
+    "area": ["type", "name"],
+}
+
+
 def _large_enough(found: DataFrame, config: ImportConfig) -> DataFrame:
     if config.min_area_size is None:
         return found
