@@ -103,6 +103,34 @@ def test_no_row_is_longer_than_a_tag(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_plain_elements_need_no_parser(spark, tmp_path, monkeypatch):
+    """Elements as tools write them are read without the XML parser; what it would read otherwise goes to it, with its results."""
+    odd = [
+        '<way id="1" id="1"></way>', '<way id="2" version="1" version="2"><nd ref="5"/></way>', '<way id="3" <nd ref="5"/> ></way>',
+        '<way id="4"><tag k="a&amp;b" v="&lt;"/><nd ref="6"/></way>', "<way id='5'><nd ref='7'/></way>", '<way id="6"><nd ref="007"/><nd ref="8"/></way>',
+        '<way id="7"><tag v="x" k="y"/></way>', '<way id="8"><tag k="a" v="1\n2"/></way>', '<way id="9">some text<nd ref="9"/></way>',
+        '<way id="9223372036854775808"><nd ref="1"/></way>', '<way id="10" user="<nd ref="1"/>"></way>', '<way id="11"><tag k="a" v="\x01"/></way>',
+        '<way id="12"><tag k="a" v="1"><!-- x --></tag></way>', '<way id="13"><nd/><nd ref="x"/><nd ref="4"/></way>',
+    ]
+    plain = [
+        '<way id="20"/>', '<way id="-21"></way>', '<way version="2" user="a b" id="22" >\n <nd ref="1"/>\n<nd ref="-2" /><tag k=" a " v=""/><tag k="b" v="  9 x"/>\n</way >',
+        '<way id="23"><tag k="a" v="\u00e9\u2028\U0001f600\'"/><nd ref="123456789012345678"/></way>', '<way id="24" user=" id"><tag k="id" v="= 7"/></way>',
+    ]
+    (tmp_path / "m.osm").write_text("<osm>" + "\n".join(odd + plain) + "</osm>", encoding="utf-8")
+    (tmp_path / "plain.osm").write_text("<osm>" + "\n".join(plain) + "</osm>", encoding="utf-8")
+    rows = lambda name: sorted((r.way_id, r.node_refs, sorted(r.tags.items())) for r in map_xml.read_map_xml(spark, str(tmp_path / name)).ways.collect())
+    got, few = rows("m.osm"), rows("plain.osm")
+    assert few == [
+        (-21, [], []), (20, [], []), (22, [1, -2], [("a", ""), ("b", "9 x")]), (23, [123456789012345678], [("a", "\u00e9\u2028\U0001f600'")]),
+        (24, [], [("id", "= 7")]),
+    ]
+    with monkeypatch.context() as m:
+        m.setattr(map_xml, "_is_plain", lambda kind, text: F.lit(False))
+        assert rows("m.osm") == got and rows("plain.osm") == few
+    monkeypatch.setattr(map_xml.F, "from_xml", lambda text, schema, options: F.lit(None).cast(f"struct<{schema}>".replace(" long", ":long").replace(" double", ":double").replace(" array", ":array")))
+    assert rows("plain.osm") == few
+
+
 def test_import_of_a_file(spark, files):
     raw = map_xml.read_map_xml(spark, str(files / "m.osm"))
     m = import_map(map_xml.last_per_id(raw.nodes, "node_id"), map_xml.last_per_id(raw.ways, "way_id"))
