@@ -12,6 +12,7 @@ Evaluation.  The recursion unrolls: log P(w | h) = log P1(w) + sum over orders o
 gain = log P(w | h) - bow(h) - log P(w | h').  So a text's score is a sum over its distinct n-grams, and tables and
 n-grams meet by buckets of the hash: no history, word or text is brought together in one task.  The n-grams counted most
 often (FREQUENT at most) are known to every task and are added up where the text is read; only others are sent.
+Texts are scored in SLICES, one after the other: what one has sent is deleted before the next is read.
 
 Tables (lm order=1, 2, ...) are written to the shared folder, one folder per order.
 
@@ -24,14 +25,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import discard, in_slots, remainder, slots_of, stored, written
+from mapweave.llm.common import discard, in_slots, remainder, row_key, slots_of, stored, written
 from mapweave.llm.words import mix, pieces, word_hashes
 
 ORDER = 3
@@ -41,6 +43,7 @@ FLUSH = 1 << 19  # tokens a task gathers before it sends
 PER_BUCKET = 2 << 20  # tokens per bucket, about
 CARRIED = 1 << 19  # n-grams met more than once that a task keeps back while it counts
 FREQUENT = 1 << 18  # entries that every task knows
+SLICES = 2  # parts of the texts that are scored one after the other
 BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xDA942042E4DD58B5)
 SLOTS = 1 << 27  # bits of a table at most; a small table gets eight to sixteen per row, as each executor keeps its copy on disk too
@@ -127,7 +130,7 @@ def _orders(token: np.ndarray, at: np.ndarray, order: int, kept: list[np.ndarray
         here, whole = new, ok
 
 
-def count_grams(training: DataFrame, order: int, kept: list[np.ndarray], buckets: int) -> DataFrame:
+def count_grams(training: DataFrame, order: int, kept: Broadcast, buckets: int) -> DataFrame:
     """history, lower, n of the n-grams of ``order`` words, and one row (null, null, n) per n up to KATZ + 1: how many n-grams were seen n
     times (these rows are to be added up)."""
 
@@ -155,7 +158,7 @@ def count_grams(training: DataFrame, order: int, kept: list[np.ndarray], buckets
             for piece in pieces(batch):
                 token, at = tokens(piece.column("text"))
                 possible = int(np.maximum(np.diff(at) - (order - 1), 0).sum())
-                for m, h, w, _, _ in _orders(token, at, order, kept):
+                for m, h, w, _, _ in _orders(token, at, order, kept.value):
                     if m == order:
                         left_out += possible - len(h)
                         h, w, n = _pairs(h, w, np.ones(len(h), np.int64))
@@ -215,6 +218,7 @@ class Katz:
     total: int  # training tokens N
     distinct: int  # of them different, V
     unknown: float  # log10 probability of the unknown word
+    kept: list[np.ndarray]  # per order below the last: bits of the n-grams that longer ones are made of
 
 
 def train(training: DataFrame, order: int = ORDER) -> Katz:
@@ -235,7 +239,9 @@ def train(training: DataFrame, order: int = ORDER) -> Katz:
     buckets = max(64, -(-total // PER_BUCKET))
     for m in range(2, order + 1):
         kept.append(_bits(counts.where(f"n >= {LEAST}")))
-        found = written(count_grams(training, m, kept, buckets), f"lm_counts{m}")
+        sent = training.sparkSession.sparkContext.broadcast(kept)
+        found = written(count_grams(training, m, sent, buckets), f"lm_counts{m}")
+        sent.unpersist(blocking=True)
         seen = {r["n"]: r["grams"] for r in found.where("history is null").groupBy("n").agg(F.sum("grams").alias("grams")).collect()}
         taken = _discounted(discounts(seen, LEAST))
         grams = found.where("history is not null").join(tables[-1].selectExpr("gram as lower", "lp as low"), "lower")
@@ -248,10 +254,12 @@ def train(training: DataFrame, order: int = ORDER) -> Katz:
         # The same mixing as higher() would need wrapping products; the hash is made in numpy.
         joined = grams.join(bows, "history").selectExpr("history", "lower", "n", "log10(taken / z) as lp", "log10(taken / z) - bow - low as gain")
         tables.append(written(joined.mapInArrow(_whole, "gram long, n long, lp double, gain double"), f"lm/order={m}"))
-        weights.append(stored(bows.select(F.col("history").alias("gram"), "bow"), f"lm_weights{m}"))
-        discard(grams), discard(bows)
+        weights.append(bows.select(F.col("history").alias("gram"), "bow"))
+        discard(grams)
         counts = tables[-1].select("gram", "n")
-    return Katz(tables, weights, total, distinct, unknown)
+    if order > 1:
+        discard(words)  # the first table has them too; histories have been met with their counts
+    return Katz(tables, weights, total, distinct, unknown, kept)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +302,12 @@ def _known(rows: pa.Table, total: int, distinct: int) -> Known:
     return Known(g[sort], gain, bow, word, np.where(word > 0, np.log10((n + 0.1) / (total + 0.1 * (distinct + 1))), 0.0))
 
 
-def _requests(order: int, kept: list[np.ndarray], buckets: int, frequent: Known):
+def _requests(order: int, known: Broadcast, buckets: int):
     """Per flush and bucket the distinct n-grams that may be in the tables and are not frequent, with the texts they are in,
     and per flush its texts with the sums over their frequent n-grams."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, frequent = known.value
         part, flush = TaskContext.get().partitionId(), 0
         grams, docs, kinds, ids, sizes, held = [], [], [], [], [], 0
 
@@ -409,8 +418,7 @@ def score(docs: DataFrame, model: Katz, spend: bool = False) -> DataFrame:
     # A gram may have a probability and a weight: one row each, so they are added here.
     entries = entries.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("gain", "bow", "n")), F.max("word").alias("word"))
     entries = written(entries, "lm_entries")
-    kept = [_bits(t.where(f"n >= {LEAST}")) if m else _both(t, model, order) for m, t in enumerate(model.tables[: order - 1])]
-    kept.append(_bits(entries))
+    kept = [*model.kept, _bits(entries)]
     if spend:
         for t in [*model.tables, *model.weights]:
             discard(t)
@@ -425,7 +433,19 @@ def score(docs: DataFrame, model: Katz, spend: bool = False) -> DataFrame:
 
     right = entries.where(~often).mapInArrow(bucketed, "gram long, gain double, bow double, n long, word int, bucket int").groupBy("bucket")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = texts.mapInArrow(_requests(order, kept, buckets, frequent), "flush long, bucket int, grams binary, many binary, docs binary, own binary, history binary, head boolean")
+    known = docs.sparkSession.sparkContext.broadcast((kept, frequent))
+    if not spend:
+        return _scored(texts, right, known, model, buckets)
+    # Each row falls in one slice; the shuffle files of a slice are gone when its scores are written.
+    slices = [written(_scored(texts.where(F.pmod(row_key(), F.lit(SLICES)) == i), right, known, model, buckets), f"lm_scores{i}") for i in range(SLICES)]
+    known.unpersist(blocking=True)
+    discard(entries)
+    return reduce(DataFrame.union, slices)
+
+
+def _scored(texts: DataFrame, right: GroupedData, known: Broadcast, model: Katz, buckets: int) -> DataFrame:
+    """The rows of score() for these texts."""
+    asked = texts.mapInArrow(_requests(len(model.tables), known, buckets), "flush long, bucket int, grams binary, many binary, docs binary, own binary, history binary, head boolean")
     total, distinct = model.total, model.distinct
     parts = asked.groupBy("bucket").cogroup(right).applyInArrow(lambda a, b: _answers(a, b, total, distinct), "flush long, doc long, score double, base double, known long, doc_id long, tokens long")
     sums = parts.groupBy("flush", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
@@ -446,12 +466,6 @@ def _frequent_from(entries: DataFrame) -> int:
     return 1 << min(least, 62)
 
 
-def _both(words: DataFrame, model: Katz, order: int) -> np.ndarray:
-    """Words counted twice or more, and BEGIN, which has no row of its own in the tables."""
-    begin = words.sparkSession.createDataFrame([(int(BEGIN.view(np.int64)),)], "gram long")
-    return _bits(words.where(f"n >= {LEAST}").select("gram").union(begin))
-
-
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Scores of all docs by what those whose crc32(doc_id) mod 10 is not 0 teach."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -107,6 +107,21 @@ def test_katz_sends_or_knows_its_entries(spark, monkeypatch):
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9, abs=1e-6)
 
 
+def test_katz_scores_slice_by_slice(spark, monkeypatch):
+    """Every row falls in one slice, each slice is written before the next, and the scores are those of one slice."""
+    rows = lambda: sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in katz.score_documents(documents(spark)).collect()))
+    names, write = [], katz.written
+    monkeypatch.setattr(katz, "written", lambda df, name, *by: names.append(name) or write(df, name, *by))
+    monkeypatch.setattr(katz, "SLICES", 1)
+    whole = rows()
+    monkeypatch.setattr(katz, "SLICES", 3)
+    parts = rows()
+    assert [n for n in names if n.startswith("lm_scores")] == ["lm_scores0", "lm_scores0", "lm_scores1", "lm_scores2"]
+    assert len(whole) == len(parts) == documents(spark).count()
+    for a, b in zip(whole, parts):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9, abs=1e-6)
+
+
 def test_katz_of_nothing(spark):
     assert katz.score_documents(empty(spark)).count() == 0
 
