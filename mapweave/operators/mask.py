@@ -12,6 +12,11 @@ shuffled, by blocks of the mask, and only then expanded to cells.  So a feature
 large as the map is filled by many tasks, cells are never shuffled before they are
 combined, and the work follows the covered cells, not cells times sides.
 
+What each feature covers (:func:`ring_totals`) needs no cells outside
+a task: a feature's sides travel in one row per band of mask rows it reaches, the task
+finds the distance to the nearest side for all cells of the band and adds their weights up.
+Features of equal sides come one after another, and those distances are found once.
+
 The mask of all features (:func:`flatten`) needs no strips: equal rings and equal
 segments are met once, whatever the number of features they are in, whole segments
 travel by block, and a task fills one block after the other in an array.
@@ -34,6 +39,11 @@ from . import blocks
 
 MASK = ["ix", "iz"]
 BLOCK = 64
+# When the weights of single features are added up: mask rows of a band, cells per side of a square looked at together,
+# and distances of cells to sides found at once.
+BAND = 1024
+SQUARE = 128
+AT_ONCE = 1 << 15
 
 
 def mask_size(world: WorldConfig) -> tuple[int, int]:
@@ -234,6 +244,175 @@ def feature_cells(strips: DataFrame, world: WorldConfig) -> DataFrame:
     return blend(_fill(strips.select(*STRIP).repartition("osm_id", "iz"), world), "osm_id")
 
 
+def ring_totals(polygons: DataFrame, world: WorldConfig) -> DataFrame:
+    """osm_id, cells, full, weight of ``osm_id, shape`` rings of at least three points, each by itself: how many mask cells
+    have any weight, how many full weight, and the sum of the weights.  Rings without such cells are left out."""
+    rings = polygons.where(F.size("shape") >= 3)
+    return _totals(
+        rings.select("osm_id", shapes.ring_segments(F.col("shape")).alias("sides"), F.lit(0.0).alias("radius")), world, True
+    )
+
+
+def _totals(features: DataFrame, world: WorldConfig, ring: bool) -> DataFrame:
+    """Totals of ``osm_id, sides, radius``.
+
+    A feature comes once per band of mask rows, with the sides that may reach it there, so a feature as large as the map is
+    many rows.  The number of tasks is given outright, a few for each core: rows are short for the cells they stand for.
+    An id has one shape; if it comes more than once, its widest copy covers the others."""
+    spark = features.sparkSession
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    north, high = world.world_min[1], mask_size(world)[1]
+    reach = F.greatest(F.col("radius"), F.lit(0.0)) + F.lit(float(world.blend_distance))
+    south_of = lambda s: F.least(s["p"]["y"], s["q"]["y"])
+    north_of = lambda s: F.greatest(s["p"]["y"], s["q"]["y"])
+    whole = features.where("radius is not null and not isnan(radius)").select(
+        "*", reach.alias("reach"), F.array_min(F.transform("sides", south_of)).alias("low"), F.array_max(F.transform("sides", north_of)).alias("top")
+    ).where("low is not null").select("*", *_clip(
+        _below(F.col("low") - F.col("reach"), north, world), _above(F.col("top") + F.col("reach"), north, world), high
+    )).where("first <= last")
+    band = lambda c: F.floor(F.col(c) / BAND).cast("int")
+    cut = whole.select("*", (band("first") < band("last")).alias("cut"), F.explode(F.sequence(band("first"), band("last"))).alias("band")).select(
+        "osm_id", "sides", "radius", "reach", "cut", "band", F.greatest("first", F.col("band") * BAND).alias("first"),
+        F.least("last", F.col("band") * BAND + (BAND - 1)).alias("last"),
+    )
+    near = lambda s: (north_of(s) + F.col("reach") >= _cell_z(F.col("first") - 1, world)) & (
+        south_of(s) - F.col("reach") <= _cell_z(F.col("last") + 1, world)
+    )
+    sided = cut.select(
+        "osm_id", F.when(F.col("cut"), F.filter("sides", near)).otherwise(F.col("sides")).alias("sides"), "radius", "band", "first", "last"
+    ).where(F.size("sides") > 0).select("*", F.xxhash64("sides", "band").alias("key"))
+    ordered = sided.repartition(tasks, "key").sortWithinPartitions("key", F.desc("radius"))
+    found = ordered.mapInArrow(_adder(world, ring), "osm_id long, band int, cells long, full long, weight double")
+    totals = ["cells", "full", "weight"]
+    once = found.repartition("osm_id").groupBy("osm_id", "band").agg(*[F.max(c).alias(c) for c in totals])
+    return once.groupBy("osm_id").agg(*[F.sum(c).alias(c) for c in totals])
+
+
+def _adder(world: WorldConfig, ring: bool):
+    """Rows of sides to the totals of each row; one square of cells is held at a time."""
+    cell, falloff = world.mask_cell, float(world.blend_distance)
+    west, north = (float(v) for v in world.world_min)
+    wide, high = mask_size(world)
+
+    def reached(low: np.ndarray, top: np.ndarray, reach: np.ndarray, origin: float, count: int) -> list[np.ndarray]:
+        """Mask indices from below ``low`` to above ``top``, the last one excluded."""
+        limits = np.floor((low - reach - origin) / cell), np.ceil((top + reach - origin) / cell) + 1
+        return [np.clip(v, 0, count).astype(np.int64) for v in limits]
+
+    def distances(sides: np.ndarray, across: np.ndarray, down: np.ndarray) -> np.ndarray:
+        """From each cell to the nearest side, a few sides at a time."""
+        away = np.full((len(down), len(across)), np.inf)
+        some = max(AT_ONCE // away.size, 1)
+        for k in range(0, sides.shape[1], some):
+            ax, ay, ex, ey, along, up, samples = (v[:, None, None] for v in sides[:, k : k + some])
+            x, z = across - ax, down[:, None] - ay
+            t = x * along + z * up
+            np.minimum(np.maximum(t, 0.0, out=t), 1.0, out=t)
+            if not ring:
+                t *= samples
+                t += 0.5
+                np.floor(t, out=t)
+                t /= samples
+            dx = t * ex
+            np.subtract(x, dx, out=dx)
+            dx *= dx
+            t *= ey
+            np.subtract(z, t, out=t)
+            t *= t
+            dx += t
+            np.minimum(away, dx.min(axis=0), out=away)
+        return np.sqrt(away, out=away)
+
+    def crossings(sides: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and place of each crossing of a side and a row of cells."""
+        met, row = np.nonzero((sides[1][:, None] > down) != (sides[3][:, None] > down))
+        ax, ay, bx, by = sides[:, met]
+        return row, (ax - bx) * (down[row] - by) / (ay - by) + bx
+
+    def inside(row: np.ndarray, at: np.ndarray, across: np.ndarray, rows: int) -> np.ndarray:
+        """Which cells have an odd number of crossings to the east, as in ray casting."""
+        to = row * (len(across) + 1) + np.searchsorted(across, at)
+        count = np.bincount(to, minlength=rows * (len(across) + 1)).reshape(rows, -1)
+        return np.cumsum(count[:, :0:-1], axis=1)[:, ::-1] % 2 == 1
+
+    def weigh(away: np.ndarray, radius: float) -> tuple[int, int, float]:
+        beyond = (away - radius) / falloff
+        beyond = np.maximum(beyond[beyond < 1.0], 0.0)
+        weight = 1.0 - beyond * beyond * (3.0 - 2.0 * beyond)
+        return np.count_nonzero(weight > 0.0), np.count_nonzero(weight == 1.0), weight.sum()
+
+    def measure(sides: np.ndarray, counted: np.ndarray, reach: np.ndarray, limits: tuple[int, int, int, int], wanted: list) -> np.ndarray:
+        """cells, full and weight of each of ``wanted`` (first and last mask row, radius) within the limits."""
+        left, right, first, last = limits
+        totals = np.zeros((len(wanted), 3))
+        whole = right - left <= SQUARE and last - first < SQUARE
+        for top in range(first, last + 1, SQUARE):
+            below = min(top + SQUARE, last + 1)
+            down = north + np.arange(top, below) * cell
+            crossed = crossings(sides, down) if ring else None
+            for start in range(left, right, SQUARE):
+                stop = min(start + SQUARE, right)
+                across = west + np.arange(start, stop) * cell
+                near = counted
+                if not whole:
+                    near = counted[:, (reach[0] < stop) & (reach[1] > start) & (reach[2] < below) & (reach[3] > top)]
+                away = distances(near, across, down)
+                if ring:
+                    away[inside(*crossed, across, len(down))] = 0.0
+                for k, (low, high_, radius) in enumerate(wanted):
+                    totals[k] += weigh(away[max(low - top, 0) : max(high_ + 1 - top, 0)], radius)
+        return totals
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column("sides")
+            ends = listed.offsets.to_numpy().astype(np.int64) - listed.offsets[0].as_py()
+            flat = listed.flatten()
+            sides = np.array([flat.field(end).field(axis).to_numpy(zero_copy_only=False) for end in "pq" for axis in "xy"])
+            placed = np.isfinite(sides).all(axis=0)
+            # A side without a place counts as one of no length, which no row of cells crosses.
+            ax, ay, bx, by = sides = np.where(placed, sides, 0.0)
+            ex, ey = bx - ax, by - ay
+            square = ex * ex + ey * ey
+            inverse = 1.0 / np.where(square > 0.0, square, np.inf)
+            samples = np.maximum(np.floor(np.sqrt(square) / (cell * 0.5)), 2.0)
+            reach = np.repeat(np.maximum(batch.column("radius").to_numpy(), 0.0) + falloff, np.diff(ends))
+            left, right = reached(np.minimum(ax, bx), np.maximum(ax, bx), reach, west, wide)
+            low, top = reached(np.minimum(ay, by), np.maximum(ay, by), reach, north, high)
+            left[~placed], right[~placed] = wide, 0
+            lefts, rights = np.minimum.reduceat(left, ends[:-1]).tolist(), np.maximum.reduceat(right, ends[:-1]).tolist()
+            # Sides shorter than a centimetre belong to a ring's inside, not to its distance.
+            counts = placed & ((square >= 1e-4) | (not ring))
+            counted = np.array([ax, ay, ex, ey, ex * inverse, ey * inverse, samples])[:, counts]
+            reaches = np.array([left, right, low, top])[:, counts]
+            until = np.concatenate([[0], np.cumsum(counts)])[ends].tolist()
+            ends = ends.tolist()
+            key, first, last, radius = (batch.column(c).to_pylist() for c in ("key", "first", "last", "radius"))
+            totals = np.zeros((batch.num_rows, 3))
+            i = 0
+            while i < batch.num_rows:
+                # Rows of equal sides share the distances found for the first of them, which reaches farthest.
+                wanted, places, j = {(first[i], last[i], radius[i]): 0}, [0], i + 1
+                while (
+                    j < batch.num_rows and key[j] == key[i] and first[j] >= first[i] and last[j] <= last[i] and radius[j] <= radius[i]
+                    and np.array_equal(sides[:, ends[i] : ends[i + 1]], sides[:, ends[j] : ends[j + 1]])
+                ):
+                    places.append(wanted.setdefault((first[j], last[j], radius[j]), len(wanted)))
+                    j += 1
+                own = slice(until[i], until[i + 1])
+                limits = lefts[i], rights[i], first[i], last[i]
+                totals[i:j] = measure(sides[:, ends[i] : ends[i + 1]], counted[:, own], reaches[:, own], limits, list(wanted))[places]
+                i = j
+            some = totals[:, 0] > 0
+            kept = pa.array(some)
+            yield pa.record_batch({
+                "osm_id": batch.column("osm_id").filter(kept), "band": batch.column("band").filter(kept),
+                "cells": totals[some, 0].astype(np.int64), "full": totals[some, 1].astype(np.int64), "weight": totals[some, 2],
+            })
+
+    return add
+
+
 def _fill(strips: DataFrame, world: WorldConfig) -> DataFrame:
     """The cells of strips, made where the strips are."""
     cell = F.lit(world.mask_cell)
