@@ -12,7 +12,7 @@ shuffled, by blocks of the mask, and only then expanded to cells.  So a feature
 large as the map is filled by many tasks, cells are never shuffled before they are
 combined, and the work follows the covered cells, not cells times sides.
 
-What each feature covers (:func:`ring_totals`) needs no cells outside
+What each feature covers (:func:`ring_totals`, :func:`line_totals`) needs no cells outside
 a task: a feature's sides travel in one row per band of mask rows it reaches, the task
 finds the distance to the nearest side for all cells of the band and adds their weights up.
 Features of equal sides come one after another, and those distances are found once.
@@ -253,6 +253,12 @@ def ring_totals(polygons: DataFrame, world: WorldConfig) -> DataFrame:
     )
 
 
+def line_totals(lines: DataFrame, world: WorldConfig) -> DataFrame:
+    """The same of ``osm_id, shape, width`` polylines, sampled as in :func:`line_strips`."""
+    radius = F.col("width") * F.lit(0.5) + F.lit(float(world.flatten_radius))
+    return _totals(lines.select("osm_id", shapes.segments(F.col("shape")).alias("sides"), radius.alias("radius")), world, False)
+
+
 def _totals(features: DataFrame, world: WorldConfig, ring: bool) -> DataFrame:
     """Totals of ``osm_id, sides, radius``.
 

@@ -171,8 +171,8 @@ def test_cells_of_features_are_not_shuffled(spark):
 
 
 def test_totals_of_features_are_added_up_where_cells_are_found(spark, monkeypatch):
-    """What each ring covers equals its cells counted; ids of equal shapes, copies of an id, shapes of several bands
-    and squares and thin rings included, and no cell leaves a task."""
+    """What each ring and line covers equals its cells counted; ids of equal shapes, copies of an id, shapes of several bands
+    and squares, lost points and thin rings included, and no cell leaves a task."""
     monkeypatch.setattr(mask, "BAND", 200)
     rng = random.Random(8)
     world = WorldConfig(world_min=(-1500.0, -3000.0), world_max=(1500.0, 3000.0))
@@ -181,6 +181,7 @@ def test_totals_of_features_are_added_up_where_cells_are_found(spark, monkeypatc
     shapes_ += [[(0.0, 0.0), (5.0, 5.0)], [(1.0, 1.0), (1.0, 1.0), (1.0, 1.0)], [(9000.0, 0.0), (9100.0, 0.0), (9000.0, 50.0)], [(3.0, 3.0)]]
     shapes_ += [[(20.0 * math.cos(k / 40), 2500.0 * math.sin(k / 40)) for k in range(252)]]
     shapes_ += [[(0.0, 0.0), (0.005, 0.0), (0.005, 0.005), (0.0, 0.005)], None]
+    lost = [(0.0, 0.0), (100.0, 0.0), (None, 40.0), (100.0, 100.0), (0.0, 100.0)]
     rows = [(k * 100 + i, shape, 3.0 * k) for k in range(1, 4) for i, shape in enumerate(shapes_)]
     rows += [(100, shapes_[0], 9.0), (110, shapes_[10], None), (110, shapes_[10], -30.0), (999, shapes_[9], -30.0)]
     df = spark.createDataFrame(rows, f"osm_id long, shape {SHAPE_TYPE}, width double")
@@ -190,7 +191,11 @@ def test_totals_of_features_are_added_up_where_cells_are_found(spark, monkeypatc
         return cells.agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("weight") == 1.0).alias("full"), F.sum("weight").alias("weight"))
 
     rows_of = lambda got: {r.osm_id: (r.cells, r.full, pytest.approx(r.weight, rel=1e-9)) for r in got.collect()}
-    for got, strips in ((mask.ring_totals(df, world), mask.polygon_strips(df.select("osm_id", "shape").distinct(), world)),):
+    lines = df.unionByName(spark.createDataFrame([(500, lost, 2.0)], df.schema))
+    for got, strips in (
+        (mask.ring_totals(df, world), mask.polygon_strips(df.select("osm_id", "shape").distinct(), world)),
+        (mask.line_totals(lines, world), mask.line_strips(lines, world)),
+    ):
         want = rows_of(counted(strips))
         assert {r.osm_id: (r.cells, r.full, r.weight) for r in got.collect()} == want and len(want) > 50
         plan = got._jdf.queryExecution().executedPlan().toString()
