@@ -371,6 +371,8 @@ def _adder(world: WorldConfig, ring: bool):
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.num_rows == 0:
+                continue
             listed = batch.column("sides")
             ends = listed.offsets.to_numpy().astype(np.int64) - listed.offsets[0].as_py()
             flat = listed.flatten()
@@ -392,23 +394,22 @@ def _adder(world: WorldConfig, ring: bool):
             counted = np.array([ax, ay, ex, ey, ex * inverse, ey * inverse, samples])[:, counts]
             reaches = np.array([left, right, low, top])[:, counts]
             until = np.concatenate([[0], np.cumsum(counts)])[ends].tolist()
-            ends = ends.tolist()
-            key, first, last, radius = (batch.column(c).to_pylist() for c in ("key", "first", "last", "radius"))
+            # Rows of equal sides share the distances found for the first of them, which reaches farthest.
+            key, first, last, radius = rows = [batch.column(c).to_numpy() for c in ("key", "first", "last", "radius")]
+            length = np.repeat(np.diff(ends), np.diff(ends))
+            alike = np.logical_and.reduceat((sides == sides[:, np.arange(len(length)) - length]).all(axis=0), ends[:-1])
+            alike[1:] &= (key[1:] == key[:-1]) & (np.diff(ends)[1:] == np.diff(ends)[:-1])
+            alike[1:] &= (first[1:] >= first[:-1]) & (last[1:] <= last[:-1]) & (radius[1:] <= radius[:-1])
+            alike[0] = False
+            starts = np.flatnonzero(~alike).tolist() + [batch.num_rows]
+            ends, (_, first, last, radius) = ends.tolist(), [v.tolist() for v in rows]
             totals = np.zeros((batch.num_rows, 3))
-            i = 0
-            while i < batch.num_rows:
-                # Rows of equal sides share the distances found for the first of them, which reaches farthest.
-                wanted, places, j = {(first[i], last[i], radius[i]): 0}, [0], i + 1
-                while (
-                    j < batch.num_rows and key[j] == key[i] and first[j] >= first[i] and last[j] <= last[i] and radius[j] <= radius[i]
-                    and np.array_equal(sides[:, ends[i] : ends[i + 1]], sides[:, ends[j] : ends[j + 1]])
-                ):
-                    places.append(wanted.setdefault((first[j], last[j], radius[j]), len(wanted)))
-                    j += 1
+            for i, j in zip(starts, starts[1:]):
+                wanted: dict[tuple, int] = {}
+                places = [wanted.setdefault(w, len(wanted)) for w in zip(first[i:j], last[i:j], radius[i:j])]
                 own = slice(until[i], until[i + 1])
                 limits = lefts[i], rights[i], first[i], last[i]
                 totals[i:j] = measure(sides[:, ends[i] : ends[i + 1]], counted[:, own], reaches[:, own], limits, list(wanted))[places]
-                i = j
             some = totals[:, 0] > 0
             kept = pa.array(some)
             yield pa.record_batch({
